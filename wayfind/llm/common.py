@@ -24,6 +24,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once for each row, also where body uses it inside other lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; a temporary folder where none is set, as in tests."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
@@ -36,14 +41,15 @@ def shared_folder(spark: SparkSession) -> str:
 class Tables:
     """Intermediate tables of one operator run: written once, read often, dropped when no longer needed.
 
-    They cut lineage, so a lost executor costs no more than its own tasks.
+    They cut lineage, so a lost executor costs no more than its own tasks. They hold hashes, numbers and packed bytes, which do
+    not compress; and codecs would hold native memory for each of many small files.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        out = df.write.option("compression", "zstd")
+        out = df.write.option("compression", "uncompressed")
         (out.partitionBy(by) if by else out).parquet(path := f"{self.root}/{name}")
         return self.spark.read.schema(self.spark.read.parquet(path).schema).parquet(path)
 
@@ -54,6 +60,11 @@ class Tables:
             path.getFileSystem(conf).delete(path, True)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df with a broadcast hint if it was counted and has at most ``rows`` narrow rows; else Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def row_key(df: DataFrame, key: str, text: str = "text") -> tuple[Column, Column]:
     """Two columns that tell rows apart even where ids are null or repeat with different texts."""
     return F.coalesce(df[key].cast("long"), F.lit(-(2**63))).alias("_k"), F.xxhash64(df[text]).alias("_t")
@@ -61,3 +72,8 @@ def row_key(df: DataFrame, key: str, text: str = "text") -> tuple[Column, Column
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def fold(key: Column, parts: int) -> Column:
+    """crc32 of the id as text, modulo parts; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, ascii_lower, documents, row_key
+from .common import Tables, ascii_lower, documents, let, row_key
 
 KEY = ["a", "b"]
 
@@ -99,13 +99,20 @@ def dedup_lines(
     hits = hits.groupBy("_k", "_t").agg(F.array_sort(F.collect_set("pos")).alias("_cut"))
     lines = lines_of(docs[text])
     out = docs.withColumns({"_k": k, "_t": t}).join(hits, ["_k", "_t"], "left")
-    out = out.withColumn("_cut", F.coalesce("_cut", F.array().cast("array<int>")))
-    # The kept lines are the stretches between two dropped ones.
-    ends = F.concat(F.array(F.lit(-1)), "_cut", F.array(F.size(lines)))
-    out = out.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.size("_cut").cast("long"), "_ends": ends, "_lines": lines})
-    stretch = lambda i: F.slice("_lines", F.col("_ends")[i - 1] + 2, F.col("_ends")[i] - F.col("_ends")[i - 1] - 1)
-    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(1), F.size("_ends") - 1), stretch)), "\n")
-    return out.withColumn("kept", kept).drop("_k", "_t", "_cut", "_ends", "_lines")
+    cut = F.coalesce("_cut", F.array().cast("array<int>"))
+
+    def kept(of: Column) -> Column:
+        """The lines between two dropped ones, for all such stretches."""
+        stretch = lambda i: F.slice(of["lines"], of["ends"][i - 1] + 2, of["ends"][i] - of["ends"][i - 1] - 1)
+        return F.struct(
+            F.size(of["lines"]).cast("long").alias("n_lines"),
+            (F.size(of["ends"]) - 2).cast("long").alias("n_dropped"),
+            F.array_join(F.flatten(F.transform(F.sequence(F.lit(1), F.size(of["ends"]) - 1), stretch)), "\n").alias("kept"),
+        )
+
+    ends = let(lines, lambda x: F.struct(x.alias("lines"), F.concat(F.array(F.lit(-1)), cut, F.array(F.size(x))).alias("ends")))
+    out = out.withColumn("_of", let(ends, kept))
+    return out.select(*docs.columns, "_of.n_lines", "_of.n_dropped", "_of.kept")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

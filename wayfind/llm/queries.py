@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, near_dedup
+from . import decontaminate, line_dedup, mixing, near_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op5_mixing": mixing.op5_mixing,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
