@@ -41,15 +41,15 @@ def shared_folder(spark: SparkSession) -> str:
 class Tables:
     """Intermediate tables of one operator run: written once, read often, dropped when no longer needed.
 
-    They cut lineage, so a lost executor costs no more than its own tasks. They hold hashes, numbers and packed bytes, which do
-    not compress; and codecs would hold native memory for each of many small files.
+    They cut lineage, so a lost executor costs no more than its own tasks. Most hold hashes, numbers and packed bytes, which do
+    not compress, and codecs would hold native memory for each of many small files; so they have a codec only where one is named.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        out = df.write.option("compression", "uncompressed")
+    def write(self, df: DataFrame, name: str, by: str | None = None, codec: str = "uncompressed") -> DataFrame:
+        out = df.write.option("compression", codec)
         (out.partitionBy(by) if by else out).parquet(path := f"{self.root}/{name}")
         return self.spark.read.schema(self.spark.read.parquet(path).schema).parquet(path)
 
