@@ -51,7 +51,7 @@ class Tables:
     def write(self, df: DataFrame, name: str, by: str | None = None, codec: str = "uncompressed") -> DataFrame:
         out = df.write.option("compression", codec)
         (out.partitionBy(by) if by else out).parquet(path := f"{self.root}/{name}")
-        return self.spark.read.schema(self.spark.read.parquet(path).schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)  # an empty table may have no file to tell its schema
 
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
