@@ -9,8 +9,9 @@ and is deepened while it has more than ``leaf`` members, up to the greatest dept
   lies in the most crowded regions. Later, members outside the region's main component are compared by signature with the whole
   region, in blocks; so no pair of a group is listed unless its signatures agree, and none is skipped.
 
-Candidates are confirmed on full shingle sets, best partners first; then only candidates between different components remain to be
-confirmed. Components come from minimum labels with pointer jumping, on tables in the shared folder.
+Candidates have sizes that allow the asked similarity. They are confirmed on full shingle sets, best partners first; then only candidates
+between different components remain to be confirmed. For that, documents of one crowd share homes of a bounded size, and a partner's text
+travels once to a home, not once to each pair. Components come from minimum labels with pointer jumping, on tables in the shared folder.
 
 Cases: without words or text a document has an empty set, is linked with nothing and its own component; rows with equal ids should not
 occur (ids name components), but equal rows give equal results; null ids are kept, unlinked (component null, kept true); an empty table
@@ -28,10 +29,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, documents
-from .shingles import shingle_set, similar
+from .common import Tables, broadcast_if_small, documents
+from .shingles import alike, shingle_set
 
 HASHES, TREES, DEPTHS, LEAF, BLOCK = 64, 16, (3, 4, 5, 6), 12, 2048
+#: Bounds of one task's share in confirming: documents and shingles of a home (held in memory), and pairs for which others visit it.
+HOME, HOME_SHINGLES, VISITS = 256, 500_000, 50_000
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 _ODD = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -63,17 +66,25 @@ def _describe(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]
         yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "f1", "f2", "sig"])
 
 
-def estimate(sig: np.ndarray, other: np.ndarray) -> np.ndarray:
-    return (sig == other).mean(axis=-1)
+class Likely:
+    """Whether two sets may be as similar as asked, by their sizes and signatures."""
+
+    def __init__(self, percent: int):
+        self.percent, p = percent, percent / 100
+        #: Signatures that agree less cannot belong to sets as similar as asked, but for one in 30,000 just at the limit.
+        self.floor = p - 4 * (p * (1 - p) / HASHES) ** 0.5
+
+    def __call__(self, n: np.ndarray, sig: np.ndarray, m: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(estimate, whether it and the sizes suffice)"""
+        est = (sig == other).mean(axis=-1)
+        return est, (est >= self.floor) & (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m))
 
 
 class Forest:
     def __init__(self, docs: DataFrame, k: int, percent: int):
         spark: SparkSession = docs.sparkSession
         self.k, self.percent, self.tables = k, percent, Tables(spark, "forest")
-        #: Signatures that agree less cannot belong to sets as similar as asked, but for one in 30,000 just at the limit.
-        p = percent / 100
-        self.floor = p - 4 * (p * (1 - p) / HASHES) ** 0.5
+        self.likely = Likely(percent)
         docs = docs.select("doc_id", "text")
         sets = docs.mapInPandas(functools.partial(_describe, k=k), "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
         self.docs = docs
@@ -107,14 +118,16 @@ class Forest:
     def candidates(self) -> DataFrame:
         """(u, v, est) from small regions, and of crowded ones between members and centres; u < v."""
         small, self.crowded = self.regions()
-        sig = self.reps.select("rep", "sig")
-        leaves = small.join(sig, "rep").groupBy("region").agg(F.collect_list(F.struct("rep", "sig")).alias("members"))
-        pairs = leaves.select("members").mapInPandas(functools.partial(_leaf_pairs, floor=self.floor), "u long, v long, est float")
+        sig = self.reps.select("rep", "n_shingles", "sig")
+        leaves = small.join(sig, "rep").groupBy("region").agg(F.collect_list(F.struct("rep", "n_shingles", "sig")).alias("members"))
+        pairs = leaves.select("members").mapInPandas(functools.partial(_leaf_pairs, likely=self.likely), "u long, v long, est float")
         crowding = self.crowded.groupBy("rep").agg(F.sum("size").alias("weight"))
         centre = self.crowded.join(crowding, "rep").groupBy("region").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("centre"))
-        star = self.crowded.join(centre, "region").where("rep <> centre").select("rep", "centre").distinct()
-        star = star.join(sig, "rep").join(sig.select(F.col("rep").alias("centre"), F.col("sig").alias("sig2")), "centre")
-        star = star.mapInPandas(functools.partial(_star_pairs, floor=self.floor), "u long, v long, est float")
+        centred = self.crowded.join(centre, "region")
+        self.crowds = self.tables.write(centred.groupBy("rep").agg(F.max_by("centre", F.struct("size", "centre")).alias("crowd")), "crowds")
+        star = centred.where("rep <> centre").select("rep", "centre").distinct()
+        star = star.join(sig, "rep").join(sig.withColumnsRenamed({"rep": "centre", "n_shingles": "n2", "sig": "sig2"}), "centre")
+        star = star.mapInPandas(functools.partial(_star_pairs, likely=self.likely), "u long, v long, est float")
         return self.tables.write(pairs.unionByName(star).distinct(), "candidates")
 
     def stragglers(self, labels: DataFrame) -> DataFrame:
@@ -122,25 +135,34 @@ class Forest:
         members = self.crowded.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         counts = members.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
         main = counts.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-        members = members.join(main, "region").join(self.reps.select("rep", "sig"), "rep")
-        rows = F.struct("rep", "label", "sig")
+        members = members.join(main, "region").join(self.reps.select("rep", "n_shingles", "sig"), "rep")
+        rows = F.struct("rep", "label", "n_shingles", "sig")
         chunk = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / n))
         blocks = members.groupBy("region", chunk(BLOCK).alias("block")).agg(F.collect_list(rows).alias("all"))
         out = members.where("label <> main").groupBy("region", chunk(BLOCK).alias("part")).agg(F.collect_list(rows).alias("out"))
-        return out.join(blocks, "region").select("out", "all").mapInPandas(functools.partial(_block_pairs, floor=self.floor), "u long, v long, est float").distinct()
+        return out.join(blocks, "region").select("out", "all").mapInPandas(functools.partial(_block_pairs, likely=self.likely), "u long, v long, est float").distinct()
 
     # ---- confirmation
 
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs whose full shingle sets are similar enough. Texts travel compressed to the pairs that need them."""
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-        texts = self.docs.join(ids, "doc_id", "left_semi").mapInPandas(_pack, "doc_id long, packed binary")
-        texts = self.tables.write(texts.groupBy("doc_id").agg(F.first("packed").alias("packed")), f"texts-{name}")
-        both = pairs.join(texts.withColumnsRenamed({"doc_id": "v", "packed": "pv"}), "v").join(texts.withColumnsRenamed({"doc_id": "u", "packed": "pu"}), "u")
-        links = both.sortWithinPartitions("u", "v").mapInPandas(functools.partial(_verify, k=self.k, percent=self.percent), "u long, v long")
-        links = self.tables.write(links, f"links-{name}")
-        self.tables.drop(f"texts-{name}")
-        return links
+        """Pairs whose full shingle sets are similar enough. Of each pair, the document with more pairs is at home, the other visits."""
+        degrees = pairs.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
+        ends = degrees.join(self.crowds, "rep", "left").join(self.reps.select("rep", "n_shingles"), "rep").withColumn("crowd", F.coalesce("crowd", "rep"))
+        homes = F.ceil(F.greatest(F.count(F.lit(1)) / HOME, F.sum("n_shingles") / HOME_SHINGLES))
+        crowds = ends.groupBy("crowd").agg(homes.alias("homes"), F.sum("degree").alias("pairs")).withColumn("parts", F.ceil(F.col("pairs") / F.col("homes") / VISITS))
+        ends = ends.join(crowds, "crowd").select("rep", "degree", "parts", F.xxhash64("crowd", F.pmod(F.xxhash64("rep"), "homes")).alias("home"))
+        ends = self.tables.write(ends, f"ends-{name}")
+        of = lambda c: ends.select(F.col("rep").alias(c), F.struct("degree", -F.col("rep"), "home", "parts").alias(f"e{c}"))
+        meeting = lambda host, guest: F.struct(F.col(f"e{host}.home"), F.col(f"e{host}.parts"), F.col(host).alias("host"), F.col(guest).alias("guest"))
+        met = pairs.select("u", "v").join(of("u"), "u").join(of("v"), "v")
+        met = met.select(F.when(F.col("eu") > F.col("ev"), meeting("u", "v")).otherwise(meeting("v", "u")).alias("m")).select("m.*")
+        met = met.select(F.xxhash64("home", F.pmod(F.xxhash64("guest", F.lit(1)), "parts")).alias("block"), "host", "guest")
+        met = self.tables.write(met, f"met-{name}")
+        hosts = met.select("block", F.col("host").alias("doc_id")).distinct().withColumn("hosts", F.lit(None).cast("array<bigint>"))
+        guests = met.groupBy("block", F.col("guest").alias("doc_id")).agg(F.collect_list("host").alias("hosts"))
+        texts = self.docs.join(broadcast_if_small(ends.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").mapInPandas(_pack, "doc_id long, packed binary")
+        rows = hosts.unionByName(guests).join(texts, "doc_id").repartition("block").sortWithinPartitions("block", F.col("hosts").isNotNull())
+        return self.tables.write(rows.mapInPandas(functools.partial(_verify, k=self.k, percent=self.percent), "u long, v long"), f"links-{name}")
 
     def labels(self, links: DataFrame, name: str) -> DataFrame:
         """(rep, label): the smallest id reachable over the links, for reps that have any."""
@@ -185,42 +207,43 @@ def _pairs(u: np.ndarray, v: np.ndarray, est: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v), "est": est.astype(np.float32)})
 
 
-def _signatures(rows: list) -> np.ndarray:
-    return np.frombuffer(b"".join(bytes(r["sig"]) for r in rows), np.uint32).reshape(len(rows), HASHES)
+def _columns(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, sizes and signatures."""
+    sig = np.frombuffer(b"".join(bytes(r["sig"]) for r in rows), np.uint32).reshape(len(rows), HASHES)
+    return np.array([r["rep"] for r in rows]), np.array([r["n_shingles"] for r in rows]), sig
 
 
-def _leaf_pairs(batches: Iterator[pd.DataFrame], floor: float) -> Iterator[pd.DataFrame]:
+def _leaf_pairs(batches: Iterator[pd.DataFrame], likely: Likely) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for members in pdf["members"]:
-            ids, sig = np.array([m["rep"] for m in members]), _signatures(members)
+            ids, n, sig = _columns(members)
             i, j = np.triu_indices(len(ids), 1)
-            est = estimate(sig[i], sig[j])
-            ok = est >= floor
+            est, ok = likely(n[i], sig[i], n[j], sig[j])
             if ok.any():
                 out.append(_pairs(ids[i[ok]], ids[j[ok]], est[ok]))
         if out:
             yield pd.concat(out)
 
 
-def _star_pairs(batches: Iterator[pd.DataFrame], floor: float) -> Iterator[pd.DataFrame]:
+def _star_pairs(batches: Iterator[pd.DataFrame], likely: Likely) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf):
             a, b = (np.frombuffer(b"".join(map(bytes, pdf[c])), np.uint32).reshape(-1, HASHES) for c in ("sig", "sig2"))
-            est = estimate(a, b)
-            ok = est >= floor
+            est, ok = likely(pdf["n_shingles"].to_numpy(), a, pdf["n2"].to_numpy(), b)
             yield _pairs(pdf["rep"].to_numpy()[ok], pdf["centre"].to_numpy()[ok], est[ok])
 
 
-def _block_pairs(batches: Iterator[pd.DataFrame], floor: float) -> Iterator[pd.DataFrame]:
+def _block_pairs(batches: Iterator[pd.DataFrame], likely: Likely) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for out, every in zip(pdf["out"], pdf["all"], strict=True):
-            ids, labels, sig = np.array([m["rep"] for m in every]), np.array([m["label"] for m in every]), _signatures(every)
-            for m, s in zip(out, _signatures(out), strict=True):
-                est = estimate(sig, s)
-                ok = (est >= floor) & (labels != m["label"])
+            ids, n, sig = _columns(every)
+            labels = np.array([m["label"] for m in every])
+            for m, i, size, s in zip(out, *_columns(out), strict=True):
+                est, ok = likely(n, sig, size, s)
+                ok &= labels != m["label"]
                 if ok.any():
-                    yield _pairs(ids[ok], np.full(ok.sum(), m["rep"]), est[ok])
+                    yield _pairs(ids[ok], np.full(ok.sum(), i), est[ok])
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,13 +252,21 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _verify(batches: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[pd.DataFrame]:
-    @functools.lru_cache(64)
-    def of(packed: bytes) -> np.ndarray:
-        return shingle_set(zlib.decompress(packed).decode("utf-8", "surrogatepass"), k)
-
+    """Rows come by block, its hosts (without a list of hosts) first; only hosts of the current block are held."""
+    block, sets = None, {}
     for pdf in batches:
-        ok = [similar(of(bytes(a)), of(bytes(b)), percent) for a, b in zip(pdf["pu"], pdf["pv"], strict=True)]
-        yield pdf.loc[np.array(ok, bool), ["u", "v"]]
+        u, v = [], []
+        for at, doc, hosts, packed in zip(pdf["block"], pdf["doc_id"], pdf["hosts"], pdf["packed"], strict=True):
+            if at != block:
+                block, sets = at, {}
+            s = shingle_set(zlib.decompress(packed).decode("utf-8", "surrogatepass"), k)
+            if hosts is None:
+                sets[doc] = s
+            else:
+                found = np.asarray(hosts)[alike(s, [sets[h] for h in hosts], percent)].tolist()
+                u += [min(doc, h) for h in found]
+                v += [max(doc, h) for h in found]
+        yield pd.DataFrame({"u": u, "v": v}, dtype="int64")
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

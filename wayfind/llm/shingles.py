@@ -37,7 +37,9 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(x)
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, on whole sets."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def alike(s: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each of the other whole sets: 100 * intersection >= percent * union. No set is empty."""
+    sizes, every = np.array([len(o) for o in others]), np.concatenate(others)
+    hit = s[np.minimum(np.searchsorted(s, every), len(s) - 1)] == every
+    common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * common >= percent * (len(s) + sizes - common)
