@@ -126,6 +126,9 @@ class Forest:
         centred = self.crowded.join(centre, "region")
         self.crowds = self.tables.write(centred.groupBy("rep").agg(F.max_by("centre", F.struct("size", "centre")).alias("crowd")), "crowds")
         star = centred.where("rep <> centre").select("rep", "centre").distinct()
+        # Read apart: the joins of crowds do not shuffle the signatures of all.
+        crowds = broadcast_if_small(self.crowds.select("rep"))
+        self.crowd_sig = sig = self.tables.write(sig.join(crowds, "rep", "left_semi"), "crowd-signatures")
         star = star.join(sig, "rep").join(sig.withColumnsRenamed({"rep": "centre", "n_shingles": "n2", "sig": "sig2"}), "centre")
         star = star.mapInPandas(functools.partial(_star_pairs, likely=self.likely), "u long, v long, est float")
         return self.tables.write(pairs.unionByName(star).distinct(), "candidates")
@@ -135,7 +138,7 @@ class Forest:
         members = self.crowded.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         counts = members.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
         main = counts.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-        members = members.join(main, "region").join(self.reps.select("rep", "n_shingles", "sig"), "rep")
+        members = members.join(main, "region").join(self.crowd_sig, "rep")
         rows = F.struct("rep", "label", "n_shingles", "sig")
         chunk = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / n))
         blocks = members.groupBy("region", chunk(BLOCK).alias("block")).agg(F.collect_list(rows).alias("all"))
