@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -67,6 +68,32 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.find_leaks(spark.createDataFrame(d, "doc_id long, text string"), empty).count() == 0
 
 
+def test_decontamination_finds_each_similar_window(spark):
+    """Items of 14 to 60 words, a word changed at each position or halves swapped, against all windows of the item's size."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice([2, 3, 5, 8, 12])))
+    items = [[*(word() for _ in range(n - 1)), "".join(rng.choice("qrstuv") for _ in range(12))] for n in (14, 14, 14, 16, 20, 25, 40, 60)]
+    docs = []
+    for w in items:
+        for i in range(len(w)):
+            docs.append([*(word() for _ in range(3)), *w[:i], word(), *w[i + 1 :], word()])
+        docs += [w[len(w) // 2 :] + w[: len(w) // 2], w[: len(w) * 9 // 10], w[len(w) // 10 :], w[:9] + [word()] + w[9:] + w[:3]]
+
+    def shingles(w):
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    def similarity(w, item):
+        of, best = shingles(item), 0
+        for s in range(-len(item), len(w)):
+            x = shingles(w[max(s, 0) : s + len(item)]) if s + len(item) > 0 else Counter()
+            best = max(best, (x & of).total() / (x | of).total())
+        return best
+
+    expected = {(d, i): round(s, 6) for d, w in enumerate(docs) for i, item in enumerate(items) if set(w) & set(item) and (s := similarity(w, item)) >= 0.8}
+    tables = [spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(x)], f"{key} long, text string") for x, key in ((docs, "doc_id"), (items, "item_id"))]
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.find_leaks(*tables).collect()} == expected and len(expected) > 100
+
+
 def test_url_rules(spark):
     urls = ["http://A.net/x", "http://a.net", "https://m.example.net/en/1", "http://x.example.com/de/3?q", "http://fr.org/fr/", "no url", None, "http://h.com#a", "http://h.com/p/1"]
     got = url_filter.filter_urls(spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)], "page_id long, url string, host string")).orderBy("page_id").collect()
