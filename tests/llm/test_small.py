@@ -222,3 +222,19 @@ def test_near_dedup_against_brute_force(spark):
                 changed = True
     assert [got[i]["component_id"] for i in range(len(texts))] == label and [got[i]["n_shingles"] for i in range(len(texts))] == list(map(len, sets))
     assert near_dedup.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_near_dedup_of_crowded_regions(spark):
+    """Hundreds of documents that share a passage, each with one copy just similar enough: all are linked, as by brute force."""
+    rng = random.Random(5)
+    own = lambda n: [f"{rng.randrange(10**9)}" for _ in range(n)]
+    passage, texts = own(80), []
+    for _ in range(150):
+        a = passage + own(20)
+        texts += [a, a[:86] + own(14)]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in texts]
+    alike = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert alike == [(2 * i, 2 * i + 1) for i in range(150)]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = near_dedup.near_dedup(rows, shingle=3, percent=75).collect()
+    assert {r["doc_id"] for r in found if r["component_id"] != r["doc_id"] - r["doc_id"] % 2} == set()

@@ -6,8 +6,9 @@ and is deepened while it has more than ``leaf`` members, up to the greatest dept
 
 * In a small region all neighbours with the common prefix are candidates, kept where signatures agree well enough.
 * A region that stays crowded at the greatest depth (thousands of near copies) links its members to its centre, the member that
-  lies in the most crowded regions. Later, members outside the region's main component are compared by signature with the whole
-  region, in blocks; so no pair of a group is listed unless its signatures agree, and none is skipped.
+  lies in the most crowded regions.
+* Later, in each region that is crowded at the least depth, members outside the region's main component are compared by signature with the
+  whole region, in blocks; so no pair of a group is listed unless its signatures agree, and none is skipped because it parts at a greater depth.
 
 Candidates have sizes that allow the asked similarity. They are confirmed on full shingle sets, best partners first; then only candidates
 between different components remain to be confirmed. For that, documents of one crowd share homes of a bounded size, and a partner's text
@@ -103,7 +104,9 @@ class Forest:
         return F.posexplode(F.array(*trees)).alias("tree", "region")
 
     def regions(self) -> tuple[DataFrame, DataFrame]:
-        """(small, crowded): rows (region, rep, size) of regions with at most LEAF members, and of crowded ones at the greatest depth."""
+        """(small, crowded): rows (region, rep, size) of regions with at most LEAF members, and of crowded ones at the greatest depth.
+
+        ``wide`` keeps those that are crowded at the least depth; they hold all pairs that part further down."""
         small, inside = [], None
         for depth in DEPTHS:
             rows = self.reps.select("rep", self._prefix(depth))
@@ -113,6 +116,8 @@ class Forest:
             rows = self.tables.write(rows.join(shared, "region"), f"regions-{depth}")
             small.append(rows.where(F.col("size") <= LEAF))
             inside = rows.where(F.col("size") > LEAF)
+            if depth == DEPTHS[0]:
+                self.wide = inside
         return functools.reduce(DataFrame.unionByName, small), inside
 
     def candidates(self) -> DataFrame:
@@ -128,17 +133,19 @@ class Forest:
         star = centred.where("rep <> centre").select("rep", "centre").distinct()
         # Read apart: the joins of crowds do not shuffle the signatures of all.
         crowds = broadcast_if_small(self.crowds.select("rep"))
-        self.crowd_sig = sig = self.tables.write(sig.join(crowds, "rep", "left_semi"), "crowd-signatures")
+        sig = self.tables.write(sig.join(crowds, "rep", "left_semi"), "crowd-signatures")
         star = star.join(sig, "rep").join(sig.withColumnsRenamed({"rep": "centre", "n_shingles": "n2", "sig": "sig2"}), "centre")
         star = star.mapInPandas(functools.partial(_star_pairs, likely=self.likely), "u long, v long, est float")
         return self.tables.write(pairs.unionByName(star).distinct(), "candidates")
 
     def stragglers(self, labels: DataFrame) -> DataFrame:
-        """Candidates of crowded regions between members outside the main component and all others, in blocks."""
-        members = self.crowded.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        """Candidates of regions crowded at the least depth between members outside the main component and all others, in blocks."""
+        members = self.wide.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         counts = members.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
         main = counts.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-        members = members.join(main, "region").join(self.crowd_sig, "rep")
+        members = self.tables.write(members.join(main, "region").select("region", "rep", "size", "label", "main"), "mixed-regions")
+        mixed = broadcast_if_small(members.select("rep").distinct())
+        members = members.join(self.reps.select("rep", "n_shingles", "sig").join(mixed, "rep", "left_semi"), "rep")
         rows = F.struct("rep", "label", "n_shingles", "sig")
         chunk = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / n))
         blocks = members.groupBy("region", chunk(BLOCK).alias("block")).agg(F.collect_list(rows).alias("all"))
