@@ -25,10 +25,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of ten documents or more go; so do documents of which no word is left. The others keep their columns."""
+    """Lines of ten documents or more go. A document that would lose its last word keeps its text: of such copies, the next stage leaves one."""
     out = dedup_lines(docs)
-    out = out.where((F.col("n_dropped") == 0) | F.col("kept").rlike("[^\\x20\\x09-\\x0D]"))
-    text = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept"))
+    text = F.when((F.col("n_dropped") > 0) & F.col("kept").rlike("[^\\x20\\x09-\\x0D]"), F.col("kept")).otherwise(F.col("text"))
     return out.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(*docs.columns)
 
 

@@ -238,3 +238,13 @@ def test_near_dedup_of_crowded_regions(spark):
     rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
     found = near_dedup.near_dedup(rows, shingle=3, percent=75).collect()
     assert {r["doc_id"] for r in found if r["component_id"] != r["doc_id"] - r["doc_id"] % 2} == set()
+
+
+def test_line_dedup_stage_keeps_rows(spark):
+    import corpus_pipeline
+
+    copy = "First line\nsecond line"
+    texts = [copy] * 12 + [f"Footer\nown {i}" for i in range(12)] + ["Footer", "footer ", None, ""]
+    rows = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, rows, "").collect()}
+    assert [got.pop(i) for i in range(len(texts))] == [copy] * 12 + [f"own {i}" for i in range(12)] + ["Footer", "footer ", None, ""] and not got
