@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of all operators: blank and the control characters from tab to carriage return.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -30,16 +32,19 @@ def let(value: Column, body) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder where none is set, as in tests."""
+    """The cluster's spark.checkpoint.dir; where none is set, a temporary folder of a local session, and an error on a cluster."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-wayfind-"))
     return _OWN[0]
 
 
 class Tables:
-    """Intermediate tables of one operator run: written once, read often, dropped when no longer needed.
+    """Intermediate tables of one operator run: written once, read often. Those that the (lazy) result does not read are dropped on the way;
+    the others stay in the shared folder, as they are read when the result is.
 
     They cut lineage, so a lost executor costs no more than its own tasks. Most hold hashes, numbers and packed bytes, which do
     not compress, and codecs would hold native memory for each of many small files; so they have a codec only where one is named.
@@ -60,9 +65,23 @@ class Tables:
             path.getFileSystem(conf).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """df with a broadcast hint if it was counted and has at most ``rows`` narrow rows; else Spark joins it by a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes_of(of: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(of), F.lit(0)).cast("long")
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(of, F.lit(0).cast("long"), lambda n, x: n + _bytes_of(x, kind.elementType)), F.lit(0).cast("long"))
+    if isinstance(kind, T.StructType):
+        return functools.reduce(Column.__add__, [_bytes_of(of[f.name], f.dataType) for f in kind], F.lit(8).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def broadcast_if_small(df: DataFrame, limit: int = 8_000_000) -> DataFrame:
+    """df with a broadcast hint if its measured size (values, and 16 bytes a row) is at most ``limit`` bytes; else Spark joins it by a shuffle.
+
+    df is read once more for the measurement, so it should be a written table."""
+    row = functools.reduce(Column.__add__, [_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema], F.lit(16).cast("long"))
+    size = df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df
 
 
 def row_key(df: DataFrame, key: str, text: str = "text") -> tuple[Column, Column]:

@@ -1,22 +1,25 @@
 """Near-duplicate documents by an LSH forest of MinHash signatures.
 
-Copies of one shingle set are first collapsed to a representative. A representative's signature is read in ``trees`` orders; a tree is the
-list of representatives sorted by its order, and a *region* is a common prefix of it. A region starts at the least depth
-and is deepened while it has more than ``leaf`` members, up to the greatest depth, so depth adapts to how crowded a region is.
-
-* In a small region all neighbours with the common prefix are candidates, kept where signatures agree well enough.
-* A region that stays crowded at the greatest depth (thousands of near copies) links its members to its centre, the member that
-  lies in the most crowded regions.
-* Later, in each region that is crowded at the least depth, members outside the region's main component are compared by signature with the
-  whole region, in blocks; so no pair of a group is listed unless its signatures agree, and none is skipped because it parts at a greater depth.
-
-Candidates have sizes that allow the asked similarity. They are confirmed on full shingle sets, best partners first; then only candidates
-between different components remain to be confirmed. For that, documents of one crowd share homes of a bounded size, and a partner's text
-travels once to a home, not once to each pair. Components come from minimum labels with pointer jumping, on tables in the shared folder.
-
-Cases: without words or text a document has an empty set, is linked with nothing and its own component; rows with equal ids should not
-occur (ids name components), but equal rows give equal results; null ids are kept, unlinked (component null, kept true); an empty table
-gives an empty result; other columns are kept.
+Copies of one shingle set are first collapsed to a representative. The forest has ``TREES`` sorted orders of the representatives: tree t sorts
+them by their signatures, read from hash 4 t on. Documents with a common prefix of ``DEPTH`` values form a *region* of a tree; it holds all
+that may be similar enough (two documents at the limit share no region of any tree once in 10^5 to 10^6 cases). Depth adapts to the region:
+
+* In a region of at most ``LEAF`` documents all have the least common prefix that counts, so all are each other's candidates.
+* In a larger one, a document's candidates are its neighbours in the sorted order: nobody else has a longer common prefix with it, however
+  deep that is. (A region of more than ``RUN`` documents is dealt into sorted runs.)
+
+Candidates whose sizes and signatures allow the asked similarity are confirmed on full shingle sets, best partners first, then those that still
+lie between different components. Components come from minimum labels with pointer jumping, on tables in the shared folder.
+
+What neighbours leave open in *crowds* (the documents of large regions with a common centre) is settled exactly, without listing pairs. Every
+member's Jaccard distance to the centre is computed on full sets. Distances obey the triangle inequality, so members outside the crowd's main
+component visit only blocks of members whose distance to the centre differs by no more than the asked similarity allows. A block holds a bounded
+number of members; a visit compares sizes and signatures, confirms on full sets, and stops at one link between two components, so
+a task returns fewer links than it has members and visitors.
+
+Cases: without words or text a document has an empty set, is linked with nothing and its own component; rows with one id are one document, linked
+by any of its texts; null ids are kept, unlinked (component null, kept true); an empty table gives an empty result; other columns are kept, but
+for ``n_shingles``, ``component_id`` and ``kept``, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,15 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, broadcast_if_small, documents
+from .common import Tables, broadcast_if_small, documents, row_key
 from .shingles import alike, shingle_set
 
-HASHES, TREES, DEPTHS, LEAF, BLOCK = 64, 16, (3, 4, 5, 6), 12, 2048
-#: Bounds of one task's share in confirming: documents and shingles of a home (held in memory), and pairs for which others visit it.
+HASHES, TREES, DEPTH, LEAF, RUN = 64, 16, 3, 12, 4096
+#: Bounds of one task's share in confirming: documents and shingles of a home or block (held in memory), and how many visit it.
 HOME, HOME_SHINGLES, VISITS = 256, 500_000, 50_000
+BLOCK, BLOCK_SHINGLES, GUESTS, BINS = 1024, 1_000_000, 8192, 20
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 _ODD = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -56,15 +60,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def _describe(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+        for doc, key, text in zip(pdf["doc_id"], pdf["t"], pdf["text"], strict=True):
             s = shingle_set(text, k)
             if len(s):
                 with np.errstate(over="ignore"):
                     total, twisted = int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) ^ (s >> np.uint64(17))))
-                rows.append((doc, len(s), total - 2**63, twisted - 2**63, signature(s).tobytes()))
+                rows.append((doc, key, len(s), total - 2**63, twisted - 2**63, signature(s).tobytes()))
             else:
-                rows.append((doc, 0, 0, 0, None))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "f1", "f2", "sig"])
+                rows.append((doc, key, 0, 0, 0, None))
+        yield pd.DataFrame(rows, columns=["doc_id", "t", "n_shingles", "f1", "f2", "sig"])
 
 
 class Likely:
@@ -86,78 +90,85 @@ class Forest:
         spark: SparkSession = docs.sparkSession
         self.k, self.percent, self.tables = k, percent, Tables(spark, "forest")
         self.likely = Likely(percent)
-        docs = docs.select("doc_id", "text")
-        sets = docs.mapInPandas(functools.partial(_describe, k=k), "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
-        self.docs = docs
+        self.docs = docs.select("doc_id", "text")
+        sets = self.docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInPandas(functools.partial(_describe, k=k), "doc_id long, t long, n_shingles long, f1 long, f2 long, sig binary")
         self.sets = self.tables.write(sets, "sets")
-        print_set = ["n_shingles", "f1", "f2"]
         real = self.sets.where("n_shingles > 0 and doc_id is not null")
-        self.reps = self.tables.write(real.groupBy(*print_set).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
+        self.reps = self.tables.write(real.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
 
-    # ---- regions
+    # ---- candidates
 
-    def _prefix(self, depth: int) -> Column:
-        """For each tree, the hash of the first ``depth`` values of its order of the signature."""
+    def candidates(self) -> DataFrame:
+        """(u, v, est) of neighbours in the sorted orders; u < v. Sets ``crowds``: (crowd, rep) of large regions, by their centres."""
         step = HASHES // TREES
-        part = lambda i: F.substring("sig", 4 * (i % HASHES) + 1, 4)
-        trees = [F.xxhash64(F.lit(t), F.lit(depth), *[part(t * step + j) for j in range(depth)]) for t in range(TREES)]
-        return F.posexplode(F.array(*trees)).alias("tree", "region")
-
-    def regions(self) -> tuple[DataFrame, DataFrame]:
-        """(small, crowded): rows (region, rep, size) of regions with at most LEAF members, and of crowded ones at the greatest depth.
-
-        ``wide`` keeps those that are crowded at the least depth; they hold all pairs that part further down."""
-        small, inside = [], None
-        for depth in DEPTHS:
-            rows = self.reps.select("rep", self._prefix(depth))
-            if inside is not None:  # only members of regions that were too large one level above
-                rows = rows.join(inside.select("rep", "tree"), ["rep", "tree"])
-            shared = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-            rows = self.tables.write(rows.join(shared, "region"), f"regions-{depth}")
-            small.append(rows.where(F.col("size") <= LEAF))
-            inside = rows.where(F.col("size") > LEAF)
-            if depth == DEPTHS[0]:
-                self.wide = inside
-        return functools.reduce(DataFrame.unionByName, small), inside
+        value = lambda t, j: F.substring("sig", 4 * ((t * step + j) % HASHES) + 1, 4)
+        prefix = F.array(*[F.xxhash64(F.lit(t), *[value(t, j) for j in range(DEPTH)]) for t in range(TREES)])
+        rows = self.reps.select("rep", F.posexplode(prefix).alias("tree", "region"))
+        shared = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        regions = self.tables.write(rows.join(shared, "region"), "regions")
+        run = F.when(F.col("size") > LEAF, F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / RUN))).otherwise(0).cast("int").alias("run")
+        order = F.expr(f"substring(concat(sig, sig), {4 * step} * tree + 1, {4 * HASHES})").alias("order")
+        rows = regions.join(self.reps.select("rep", "n_shingles", "sig"), "rep").select("region", run, order, "rep", "size", "n_shingles")
+        rows = rows.repartition("region", "run").sortWithinPartitions("region", "run", "order", "rep")
+        found = rows.mapInPandas(functools.partial(_neighbours, likely=self.likely), "u long, v long, est float")
+        found = self.tables.write(found.distinct(), "candidates")
+        wide = regions.where(F.col("size") > LEAF)
+        crowding = wide.groupBy("rep").agg(F.sum("size").alias("weight"))
+        centre = wide.join(crowding, "rep").groupBy("region").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("crowd"))
+        centred = wide.join(centre, "region").groupBy("crowd", "rep").agg(F.max("size").alias("size"))
+        self.crowds = self.tables.write(centred, "crowds")
+        self.home_of = self.crowds.groupBy("rep").agg(F.max_by("crowd", F.struct("size", "crowd")).alias("crowd"))
+        return found
 
-    def candidates(self) -> DataFrame:
-        """(u, v, est) from small regions, and of crowded ones between members and centres; u < v."""
-        small, self.crowded = self.regions()
-        sig = self.reps.select("rep", "n_shingles", "sig")
-        leaves = small.join(sig, "rep").groupBy("region").agg(F.collect_list(F.struct("rep", "n_shingles", "sig")).alias("members"))
-        pairs = leaves.select("members").mapInPandas(functools.partial(_leaf_pairs, likely=self.likely), "u long, v long, est float")
-        crowding = self.crowded.groupBy("rep").agg(F.sum("size").alias("weight"))
-        centre = self.crowded.join(crowding, "rep").groupBy("region").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("centre"))
-        centred = self.crowded.join(centre, "region")
-        self.crowds = self.tables.write(centred.groupBy("rep").agg(F.max_by("centre", F.struct("size", "centre")).alias("crowd")), "crowds")
-        star = centred.where("rep <> centre").select("rep", "centre").distinct()
-        # Read apart: the joins of crowds do not shuffle the signatures of all.
-        crowds = broadcast_if_small(self.crowds.select("rep"))
-        sig = self.tables.write(sig.join(crowds, "rep", "left_semi"), "crowd-signatures")
-        star = star.join(sig, "rep").join(sig.withColumnsRenamed({"rep": "centre", "n_shingles": "n2", "sig": "sig2"}), "centre")
-        star = star.mapInPandas(functools.partial(_star_pairs, likely=self.likely), "u long, v long, est float")
-        return self.tables.write(pairs.unionByName(star).distinct(), "candidates")
-
-    def stragglers(self, labels: DataFrame) -> DataFrame:
-        """Candidates of regions crowded at the least depth between members outside the main component and all others, in blocks."""
-        members = self.wide.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        counts = members.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = counts.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-        members = self.tables.write(members.join(main, "region").select("region", "rep", "size", "label", "main"), "mixed-regions")
-        mixed = broadcast_if_small(members.select("rep").distinct())
-        members = members.join(self.reps.select("rep", "n_shingles", "sig").join(mixed, "rep", "left_semi"), "rep")
-        rows = F.struct("rep", "label", "n_shingles", "sig")
-        chunk = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / n))
-        blocks = members.groupBy("region", chunk(BLOCK).alias("block")).agg(F.collect_list(rows).alias("all"))
-        out = members.where("label <> main").groupBy("region", chunk(BLOCK).alias("part")).agg(F.collect_list(rows).alias("out"))
-        return out.join(blocks, "region").select("out", "all").mapInPandas(functools.partial(_block_pairs, likely=self.likely), "u long, v long, est float").distinct()
+    # ---- crowds
+
+    def crowd_links(self, labels: DataFrame) -> DataFrame | None:
+        """(u, v) confirmed links that join the components of each crowd as far as its members are similar enough; None if nothing is open."""
+        members = self.crowds.select("crowd", "rep").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        open_ = members.groupBy("crowd").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+        open_ = broadcast_if_small(self.tables.write(open_.select("crowd", F.ceil(F.col("n") / BLOCK).alias("parts")), "open-crowds"))
+        members = self.tables.write(members.join(open_, "crowd"), "open-members")
+        if members.isEmpty():
+            return None
+        wanted = broadcast_if_small(self.tables.write(members.select(F.col("rep").alias("doc_id")).distinct(), "open-reps"))
+        sets = self.docs.join(wanted, "doc_id", "left_semi").mapInPandas(functools.partial(_whole_sets, k=self.k), "rep long, n long, whole binary")
+        sets = self.tables.write(sets.where("n > 0"), "crowd-sets")
+        # Distances to the centre. Its set is sent to each part of its crowd.
+        guests = members.select("crowd", F.pmod(F.xxhash64("rep"), "parts").alias("part"), F.lit(1).alias("kind"), "rep", "label")
+        hosts = members.where("crowd = rep").select("crowd", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "rep", "label")
+        rows = hosts.unionByName(guests).join(sets, "rep").repartition("crowd", "part").sortWithinPartitions("crowd", "part", "kind", "rep")
+        star = rows.mapInPandas(functools.partial(_from_centre, percent=self.percent), "crowd long, rep long, label long, n long, distance double, linked boolean")
+        star = self.tables.write(star, "star")
+        near = star.where("linked").select("crowd", "label").distinct().withColumn("joined", F.lit(True))
+        star = star.join(near, ["crowd", "label"], "left").withColumn("label", F.when(F.col("joined"), F.col("crowd")).otherwise(F.col("label"))).drop("joined")
+        counts = star.groupBy("crowd", "label").agg(F.count(F.lit(1)).alias("c"))
+        main = counts.groupBy("crowd").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("crowd", "main")
+        main = broadcast_if_small(self.tables.write(main, "main-components"))
+        bin_of = lambda d: F.floor(F.least(F.greatest(d, F.lit(0.0)), F.lit(1.0)) * BINS)
+        rest = self.tables.write(star.join(main, "crowd").withColumn("bin", bin_of(F.col("distance"))), "ringed")
+        links = star.where("linked and rep <> crowd").select(F.least("rep", "crowd").alias("u"), F.greatest("rep", "crowd").alias("v")).distinct()
+        # Visits: only rings of the centre that are near enough, each cut into blocks.
+        far = 1 - self.percent / 100 + 1e-9
+        visits = rest.where("label <> main").select("crowd", "rep", "label", F.explode(F.sequence(bin_of(F.col("distance") - far), bin_of(F.col("distance") + far))).alias("bin"))
+        rings = rest.groupBy("crowd", "bin").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("chunks"))
+        rings = rings.join(visits.groupBy("crowd", "bin").agg(F.ceil(F.count(F.lit(1)) / GUESTS).alias("parts")), ["crowd", "bin"])
+        rings = broadcast_if_small(self.tables.write(rings, "rings"))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        block = F.xxhash64("crowd", "bin", "chunk", "part").alias("block")
+        hosts = rest.join(rings, ["crowd", "bin"]).select("crowd", "bin", "rep", "label", F.pmod(F.xxhash64("rep"), "chunks").alias("chunk"), every("parts").alias("part"))
+        guests = visits.join(rings, ["crowd", "bin"]).select("crowd", "bin", "rep", "label", F.pmod(F.xxhash64("rep", F.lit(1)), "parts").alias("part"), every("chunks").alias("chunk"))
+        rows = hosts.select(block, F.lit(0).alias("kind"), "rep", "label").unionByName(guests.select(block, F.lit(1).alias("kind"), "rep", "label"))
+        rows = rows.join(sets, "rep").join(self.reps.select("rep", "sig").join(wanted.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"), "rep")
+        rows = rows.repartition("block").sortWithinPartitions("block", "kind", "rep")
+        found = rows.mapInPandas(functools.partial(_links_within, likely=self.likely, percent=self.percent), "u long, v long")
+        return self.tables.write(links.unionByName(found).distinct(), "links-crowds")
 
     # ---- confirmation
 
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs whose full shingle sets are similar enough. Of each pair, the document with more pairs is at home, the other visits."""
-        degrees = pairs.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-        ends = degrees.join(self.crowds, "rep", "left").join(self.reps.select("rep", "n_shingles"), "rep").withColumn("crowd", F.coalesce("crowd", "rep"))
+        degrees = pairs.select(F.col("u").alias("rep")).unionAll(pairs.select("v")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
+        ends = degrees.join(self.home_of, "rep", "left").join(self.reps.select("rep", "n_shingles"), "rep").withColumn("crowd", F.coalesce("crowd", "rep"))
         homes = F.ceil(F.greatest(F.count(F.lit(1)) / HOME, F.sum("n_shingles") / HOME_SHINGLES))
         crowds = ends.groupBy("crowd").agg(homes.alias("homes"), F.sum("degree").alias("pairs")).withColumn("parts", F.ceil(F.col("pairs") / F.col("homes") / VISITS))
         ends = ends.join(crowds, "crowd").select("rep", "degree", "parts", F.xxhash64("crowd", F.pmod(F.xxhash64("rep"), "homes")).alias("home"))
@@ -199,17 +210,17 @@ class Forest:
         # First the best partner of each document, which joins most groups; then what still lies between different components.
         ends = found.select(F.col("v").alias("x"), F.col("u").alias("y"), "est").unionByName(found.select(F.col("u").alias("x"), F.col("v").alias("y"), "est"))
         best = ends.groupBy("x").agg(F.max_by("y", F.struct("est", -F.col("y"))).alias("y"))
-        best = best.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+        best = self.tables.write(best.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "pairs-best")
         links = self.confirmed(best, "best")
         labels = self.labels(links, "labels-best")
-        for name, more in (("rest", lambda _: found), ("stragglers", self.stragglers)):
-            of = lambda c: labels.withColumnsRenamed({"rep": c, "label": f"l{c}"})  # noqa: B023, E731
-            rest = more(labels).join(best, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
-            rest = self.tables.write(rest.where("coalesce(lu, u) <> coalesce(lv, v)").select("u", "v"), f"pairs-{name}")
-            if rest.isEmpty():
-                continue
-            links = links.unionByName(self.confirmed(rest, name))
-            labels = self.labels(links, f"labels-{name}")
+        of = lambda c: labels.withColumnsRenamed({"rep": c, "label": f"l{c}"})
+        rest = found.join(best, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
+        rest = self.tables.write(rest.where("coalesce(lu, u) <> coalesce(lv, v)").select("u", "v"), "pairs-rest")
+        if not rest.isEmpty():
+            links = links.unionByName(self.confirmed(rest, "rest"))
+            labels = self.labels(links, "labels-rest")
+        if (more := self.crowd_links(labels)) is not None:
+            labels = self.labels(links.unionByName(more), "labels-crowds")
         return labels
 
 
@@ -217,43 +228,102 @@ def _pairs(u: np.ndarray, v: np.ndarray, est: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v), "est": est.astype(np.float32)})
 
 
-def _columns(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, sizes and signatures."""
-    sig = np.frombuffer(b"".join(bytes(r["sig"]) for r in rows), np.uint32).reshape(len(rows), HASHES)
-    return np.array([r["rep"] for r in rows]), np.array([r["n_shingles"] for r in rows]), sig
+def _matrix(signatures) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, signatures)), np.uint32).reshape(-1, HASHES)
 
 
-def _leaf_pairs(batches: Iterator[pd.DataFrame], likely: Likely) -> Iterator[pd.DataFrame]:
+def _neighbours(batches: Iterator[pd.DataFrame], likely: Likely) -> Iterator[pd.DataFrame]:
+    """Candidates of sorted rows: next neighbours in large regions, all in those of at most LEAF rows. The last rows of a batch go on to the next."""
+    tail = None
     for pdf in batches:
-        out = []
-        for members in pdf["members"]:
-            ids, n, sig = _columns(members)
-            i, j = np.triu_indices(len(ids), 1)
+        rows = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
+        if rows.empty:
+            continue
+        region, run, size, n, ids = (rows[c].to_numpy() for c in ("region", "run", "size", "n_shingles", "rep"))
+        sig, out = _matrix(rows["order"]), []
+        for ahead in range(1, LEAF):
+            j = np.arange(max(len(rows) - len(pdf), ahead), len(rows))
+            i = j - ahead
+            on = (region[i] == region[j]) & (run[i] == run[j]) & ((size[j] <= LEAF) | (ahead == 1))
+            i, j = i[on], j[on]
             est, ok = likely(n[i], sig[i], n[j], sig[j])
-            if ok.any():
-                out.append(_pairs(ids[i[ok]], ids[j[ok]], est[ok]))
-        if out:
-            yield pd.concat(out)
+            out.append(_pairs(ids[i[ok]], ids[j[ok]], est[ok]))
+        tail = rows.tail(LEAF - 1)
+        yield pd.concat(out)
 
 
-def _star_pairs(batches: Iterator[pd.DataFrame], likely: Likely) -> Iterator[pd.DataFrame]:
+def _whole_sets(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        if len(pdf):
-            a, b = (np.frombuffer(b"".join(map(bytes, pdf[c])), np.uint32).reshape(-1, HASHES) for c in ("sig", "sig2"))
-            est, ok = likely(pdf["n_shingles"].to_numpy(), a, pdf["n2"].to_numpy(), b)
-            yield _pairs(pdf["rep"].to_numpy()[ok], pdf["centre"].to_numpy()[ok], est[ok])
+        sets = [shingle_set(text, k) for text in pdf["text"]]
+        yield pd.DataFrame({"rep": pdf["doc_id"], "n": [len(s) for s in sets], "whole": [s.tobytes() for s in sets]})
 
 
-def _block_pairs(batches: Iterator[pd.DataFrame], likely: Likely) -> Iterator[pd.DataFrame]:
+def _from_centre(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Exact distances to the centre, whose row (of kind 0) comes first in each part."""
+    centre = None
     for pdf in batches:
-        for out, every in zip(pdf["out"], pdf["all"], strict=True):
-            ids, n, sig = _columns(every)
-            labels = np.array([m["label"] for m in every])
-            for m, i, size, s in zip(out, *_columns(out), strict=True):
-                est, ok = likely(n, sig, size, s)
-                ok &= labels != m["label"]
-                if ok.any():
-                    yield _pairs(ids[ok], np.full(ok.sum(), i), est[ok])
+        rows = []
+        for crowd, kind, rep, label, n, whole in zip(*(pdf[c] for c in ("crowd", "kind", "rep", "label", "n", "whole")), strict=True):
+            s = np.frombuffer(whole, np.uint64)
+            if not kind:
+                centre = s
+                continue
+            common = len(np.intersect1d(centre, s, assume_unique=True))
+            union = len(centre) + len(s) - common
+            rows.append((crowd, rep, label, n, 1 - common / union if union else 1.0, 100 * common >= percent * union > 0))
+        yield pd.DataFrame(rows, columns=["crowd", "rep", "label", "n", "distance", "linked"])
+
+
+class _Block:
+    """Members of a block, to be visited: joins components, one link for two of them."""
+
+    def __init__(self, likely: Likely, percent: int):
+        self.likely, self.percent, self.rows, self.up = likely, percent, [], {}
+
+    def add(self, *row) -> None:
+        self.rows.append(row)
+
+    def close(self) -> None:
+        self.ids, labels, n, sig, self.sets = zip(*self.rows, strict=True)
+        self.component, self.n, self.sig = np.array(labels), np.array(n), _matrix(sig)
+
+    def root(self, label: int) -> int:
+        while label in self.up:
+            label = self.up[label]
+        return label
+
+    def visit(self, rep: int, label: int, n: int, sig: bytes, s: np.ndarray) -> Iterator[tuple[int, int]]:
+        mine = self.root(label)
+        est, ok = self.likely(self.n, self.sig, n, np.frombuffer(sig, np.uint32))
+        at = np.flatnonzero(ok & (self.component != mine))
+        at, width = at[np.argsort(-est[at], kind="stable")], 16
+        while len(at):
+            first, at = at[:width], at[width:]
+            for i in first[alike(s, [self.sets[i] for i in first], self.percent)]:
+                if (other := self.component[i]) != mine:
+                    self.component[self.component == other] = mine
+                    self.up[other] = mine
+                    yield min(rep, self.ids[i]), max(rep, self.ids[i])
+            at, width = at[self.component[at] != mine], 2 * width
+
+
+def _links_within(batches: Iterator[pd.DataFrame], likely: Likely, percent: int) -> Iterator[pd.DataFrame]:
+    """Rows come by block, its members (kind 0) first, then its visitors."""
+    at, block, open_ = None, None, False
+    for pdf in batches:
+        out = []
+        for key, kind, rep, label, n, sig, whole in zip(*(pdf[c] for c in ("block", "kind", "rep", "label", "n", "sig", "whole")), strict=True):
+            if key != at:
+                at, block, open_ = key, _Block(likely, percent), True
+            s = np.frombuffer(whole, np.uint64)
+            if not kind:
+                block.add(rep, label, n, sig, s)
+            else:
+                if open_:
+                    block.close()
+                    open_ = False
+                out += block.visit(rep, label, n, sig, s)
+        yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,10 +340,13 @@ def _verify(batches: Iterator[pd.DataFrame], k: int, percent: int) -> Iterator[p
             if at != block:
                 block, sets = at, {}
             s = shingle_set(zlib.decompress(packed).decode("utf-8", "surrogatepass"), k)
+            if not len(s):
+                continue  # another row of that id, without words
             if hosts is None:
-                sets[doc] = s
+                sets.setdefault(doc, []).append(s)  # several texts of one id
             else:
-                found = np.asarray(hosts)[alike(s, [sets[h] for h in hosts], percent)].tolist()
+                each = [(h, x) for h in hosts for x in sets[h]]
+                found = {each[i][0] for i in np.flatnonzero(alike(s, [x for _, x in each], percent))}
                 u += [min(doc, h) for h in found]
                 v += [max(doc, h) for h in found]
         yield pd.DataFrame({"u": u, "v": v}, dtype="int64")
@@ -286,13 +359,12 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     labels = forest.components()
     reps = forest.reps.select("n_shingles", "f1", "f2", "rep").join(labels, "rep", "left")
     reps = reps.select("n_shingles", "f1", "f2", F.coalesce("label", "rep").alias("label"))
-    found = forest.sets.select("doc_id", "n_shingles", "f1", "f2").dropDuplicates(["doc_id", "n_shingles", "f1", "f2"])
-    found = found.join(reps, ["n_shingles", "f1", "f2"], "left")
-    found = found.select(F.col("doc_id").alias("_k"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
-    if docs.columns == [key]:
-        return found
-    out = docs.join(found, docs[key].cast("long").eqNullSafe(found["_k"]), "left").drop("_k")
-    return out.withColumn("kept", F.coalesce(docs[key] == F.col("component_id"), F.lit(True)))
+    found = forest.sets.select("doc_id", "t", "n_shingles", "f1", "f2").distinct().join(reps, ["n_shingles", "f1", "f2"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id"))
+    found = found.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_k"), F.col("t").alias("_t"), "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    k, t = row_key(docs, key, text)
+    out = docs.withColumns({"_k": k, "_t": t}).join(found, ["_k", "_t"])
+    return out.select(*docs.columns, "n_shingles", "component_id", F.coalesce(docs[key] == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
 import xxhash
 
-_SPLIT = re.compile("[\\x20\\x09-\\x0D]+")
-_ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_word = lru_cache(1 << 18)(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")))
+_word = lru_cache(1 << 18)(xxhash.xxh64_intdigest)
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)
 
 
-def split_words(text: str | None) -> list[str]:
-    return [w for w in _SPLIT.split((text or "").translate(_ASCII)) if w]
+def split_words(text: str | None) -> list[bytes]:
+    """Words as bytes, which Python lower-cases and splits as ASCII: A-Z only, and the white space from tab to carriage return."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
