@@ -9,9 +9,10 @@ A turn is ``<s>role[INST]text[/INST]</s>``. In roles and texts a backslash is do
 control string, so no control string is left and dropping one backslash of each pair or group restores the text. The loss mask is a list of
 (start, length) in code points of the formatted text.
 
-Cases: null roles and texts are empty; a message without a start has an empty role; events equal in all columns count once each (a log that repeats
-events by delivery should be made distinct first); ties of seq are ordered by kind and text; messages are ordered by number; a conversation
-whose messages were all taken back is left out; a null conv_id is a conversation; an empty log gives an empty result; other columns are ignored.
+Cases: null roles and texts are empty; a message without a start has an empty role; each row is an event, so equal rows are several events (a log
+that repeats events by delivery should be made distinct first); ties of seq are ordered by kind, role and text; messages are ordered by number; in a table of
+turns null turns come last, and rows of one turn are messages of their own, ordered by role and text; a conversation whose messages were all taken
+back is left out; a null conv_id is a conversation; an empty log gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,32 +40,30 @@ def unescape(text: Column) -> Column:
 def turn_events(turns: DataFrame, delta: int = 400) -> DataFrame:
     """A log for a table of whole turns (conv_id, turn, role, text): a start, then deltas of ``delta`` code points. Rows with the same turn
     number are turns of their own, in the order of their roles and texts."""
-    text = F.coalesce(turns["text"], F.lit(""))
-    order = W.partitionBy("conv_id", "turn").orderBy("role", "text")
-    rows = turns.select("conv_id", "turn", "role", text.alias("text"))
-    rows = rows.withColumn("message", F.coalesce(F.col("turn").cast("long"), F.lit(-1)) * 100_000 + F.row_number().over(order))
+    role, text = F.coalesce(turns["role"], F.lit("")), F.coalesce(turns["text"], F.lit(""))
+    order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumn("message", F.row_number().over(order).cast("long"))
     starts = F.array(F.struct(F.lit(0).alias("at"), F.lit("start").alias("kind"), F.lit("").alias("part")))
     cuts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(delta))
     deltas = F.transform(cuts, lambda i: F.struct(i.alias("at"), F.lit("delta").alias("kind"), F.substring("text", i, F.lit(delta)).alias("part")))
     rows = rows.select("conv_id", "message", "role", F.explode(F.concat(starts, deltas)).alias("e"))
-    seq = F.col("message") * 1_000_000 + F.ceil(F.col("e.at") / delta)
+    seq = F.shiftleft("message", 31) + F.ceil(F.col("e.at") / delta)  # a text has fewer than 2^31 code points, a conversation fewer than 2^31 rows
     return rows.select("conv_id", seq.alias("seq"), "message", "e.kind", F.when(F.col("e.kind") == "start", F.col("role")).alias("role"), F.col("e.part").alias("text"))
 
 
 def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, message, role, text): final messages."""
-    reset = F.col("kind").isin("edit", "regenerate")
+    resets = lambda kind: kind.isin("edit", "regenerate")
     event = F.struct("seq", "kind", "role", F.coalesce("text", F.lit("")).alias("text"))
     messages = events.groupBy("conv_id", "message").agg(
-        F.min("seq").alias("begun"),
-        F.max(F.when(reset, F.col("seq"))).alias("reset"),
-        F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"),
-        F.array_sort(F.collect_list(event)).alias("events"),
+        F.min("seq").alias("begun"), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"), F.array_sort(F.collect_list(event)).alias("events")
     )
     earlier = W.partitionBy("conv_id").orderBy("message").rowsBetween(W.unboundedPreceding, -1)
     messages = messages.withColumn("cut", F.max("again").over(earlier))
     messages = messages.where(F.col("cut").isNull() | (F.col("begun") > F.col("cut")))
-    said = F.filter("events", lambda e: e["kind"].isin("delta", "edit") & (F.col("reset").isNull() | (e["seq"] >= F.col("reset"))))
+    # What stands before the last edit or regeneration, in the order of events, is gone.
+    messages = messages.withColumn("reset", F.array_max(F.transform("events", lambda e, i: F.when(resets(e["kind"]), i).otherwise(0))))
+    said = F.filter("events", lambda e, i: e["kind"].isin("delta", "edit") & (i >= F.col("reset")))
     role = F.get(F.filter("events", lambda e: e["kind"] == "start"), F.lit(0))["role"]
     return messages.select("conv_id", "message", F.coalesce(role, F.lit("")).alias("role"), F.array_join(F.transform(said, lambda e: e["text"]), "").alias("text"))
 
@@ -99,12 +98,12 @@ def masked(formatted: Column, loss: Column) -> Column:
     return F.array_join(F.transform(loss, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
 
 
-PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+PROBE = "select * from values (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)"
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    table = table.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))
+    table = table.unionByName(spark.sql(PROBE))
     out = render(fold_events(turn_events(table))).withColumns({"turns": read_back(F.col("formatted")), "learnt": masked(F.col("formatted"), F.col("loss"))})
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     digest = lambda c: F.sha2(c.cast("binary"), 256)

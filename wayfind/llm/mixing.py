@@ -1,10 +1,12 @@
 """Mixing sources to target weights by fixed-length blocks.
 
-Every source's words form one stream (documents in a pseudorandom order), packed into blocks of ``block`` words. A source
-with target t gets round(t / block) output slots, at most ``most`` times its number of blocks. The slots of a source fall
-into output shards independently, so a shard's counts by source are a multinomial draw, conditioned on the sources' totals; so
-the targets are met whatever the draw. Slot j of a source takes block P(j mod n): P is a swap-or-not permutation of
-the n block indexes, so no block is drawn more than ``most`` times and no index table is kept. Blocks are joined by index.
+Every source's words form one stream (documents in a pseudorandom order), packed into blocks of ``block`` words. A source with target t gets
+each of its blocks as often as its whole stream fits into t, and for the rest as many more as hold so many words on average.
+
+*Draw.* Each of a source's slots falls into an output shard at random; counted by shard, this is a multinomial draw of the
+shards' source counts, conditioned on the sources' totals, so targets are met whatever the draw. *Slots.* Each shard gets as many consecutive slots of a
+source as it has drawn. Slot j takes block P(j mod n): P is a swap-or-not permutation of the n block indexes, so no block is drawn more
+than ``most`` times and no index table is kept. *Blocks* are joined by index.
 
 Cases: a null text has size 0 and takes nothing; null sources are one source, last in order; equal rows are documents of their
 own; sources without words have target 0; an empty table gives an empty result; other columns do not matter.
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, Tables, documents, row_key
 
 PRIME = 2147483647
-BUCKETS = 1024
+#: Documents of a bucket, on average; buckets order a source's stream. The least number of buckets.
+BUCKET_DOCS, BUCKETS = 10_000, 1024
 ROUNDS = 8
 
 
@@ -68,7 +71,8 @@ def permuted(slots: DataFrame) -> DataFrame:
     places with its mirror, or not, as a pseudorandom bit of the pair says. A column for each step, as every one is used twice."""
     slots = slots.withColumn("block", F.col("slot") % F.col("blocks"))
     for r in range(ROUNDS):
-        slots = slots.withColumn("mirror", F.pmod(F.col("salt") * (r * 7 + 3) % PRIME - F.col("block"), "blocks"))
+        key = F.col("salt") * (r * 7 + 3) % PRIME * PRIME + (F.col("salt") * (r * 11 + 5) + 97) % PRIME  # below 2^62, so mirrors reach all blocks
+        slots = slots.withColumn("mirror", F.pmod(key % F.col("blocks") - F.col("block"), "blocks"))
         slots = slots.withColumn("pair", (F.greatest("block", "mirror") + F.col("salt") + r * 15485863) % PRIME)
         slots = slots.withColumn("bit", F.shiftright(F.col("pair") * F.col("pair") % PRIME, 11) % 2)
         slots = slots.withColumn("block", F.when(F.col("bit") == 1, F.col("mirror")).otherwise(F.col("block")))
@@ -84,7 +88,8 @@ class Mix:
         self.tables = Tables(spark, "mix")
         k, t = row_key(table, key, text)
         sized = table.select(table[key].alias("doc_id"), table[source].alias("source"), size_of(table[text]).alias("size"), k, t)
-        sized = sized.withColumn("bucket", (mix(F.pmod("_k", F.lit(PRIME)), seed) % BUCKETS).cast("int"))
+        n_buckets = max(BUCKETS, -(-table.count() // BUCKET_DOCS))
+        sized = sized.withColumn("bucket", mix(F.pmod("_k", F.lit(PRIME)), seed) % n_buckets)
         sized = self.tables.write(sized, "sized")
         buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
         self.targets = self.tables.write(targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most), "targets")
@@ -100,19 +105,24 @@ class Mix:
         docs = docs.join(ranks, F.col("source").eqNullSafe(F.col("_s")))
         self.docs = self.tables.write(docs.select("doc_id", "_k", "_t", "copy", "size", "rank", "source_size", "target", (F.col("base") + F.col("inner")).alias("start")), "offsets")
         n = F.ceil(F.col("source_size") / block)
-        slots = self.targets.where("source_size > 0").select("rank", n.alias("blocks"), F.least(n * most, F.round(F.col("target") / block)).cast("long").alias("n_slots"))
-        # Ranges of slots first, dealt out; so one large source does not fill one task.
-        step = 4096
-        slots = slots.where("n_slots > 0").select("rank", "blocks", "n_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(step).cast("long"))).alias("first"))
-        slots = slots.repartition("rank", "first").select("*", F.explode(F.sequence("first", F.least(F.col("first") + step, "n_slots") - 1)).alias("slot"))
-        slots = permuted(slots.withColumn("salt", mix(F.col("rank"), seed)))
-        shards = F.greatest(F.lit(1), F.ceil(self.targets.select(F.sum("target")).scalar() / shard_words))
-        slots = slots.select("rank", "slot", "block", (mix(F.col("slot") + F.col("salt"), seed + 2) % shards).alias("shard"))
-        self.slots = self.tables.write(slots, "slots")  # written: filters pushed through the rounds would repeat them
-
-    def shard_counts(self) -> DataFrame:
-        """The draw: blocks of each source in each output shard."""
-        return self.slots.groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("blocks"))
+        whole = F.floor(F.col("target") / F.col("source_size"))
+        more = F.floor((F.col("target") - whole * F.col("source_size")) * n / F.col("source_size") + 0.5)
+        slots = self.targets.where("source_size > 0").select("rank", n.alias("blocks"), F.least(n * most, whole * n + more).cast("long").alias("n_slots"))
+        slots = self.tables.write(slots.where("n_slots > 0").withColumn("salt", mix(F.col("rank"), seed)), "sources")
+        total = slots.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
+        self.tasks = max(1, -(-total // 500_000))
+        self.counts = self.tables.write(self.draw(slots, max(1, -(-total * block // shard_words)), seed), "draw")
+        before = F.sum("blocks_drawn").over(W.partitionBy("rank").orderBy("shard")) - F.col("blocks_drawn")
+        slots = self.counts.withColumn("first", before).repartition(self.tasks, "rank", "shard")
+        slots = slots.select("rank", "shard", "blocks", "salt", F.explode(F.sequence("first", F.col("first") + F.col("blocks_drawn") - 1)).alias("slot"))
+        self.slots = self.tables.write(permuted(slots).select("rank", "slot", "block", "shard"), "slots")  # written: filters pushed through the rounds would repeat them
+
+    def draw(self, slots: DataFrame, shards: int, seed: int, step: int = 4096) -> DataFrame:
+        """(rank, shard, blocks, salt, blocks_drawn): the draw of each source's blocks by output shard. Ranges of slots are dealt out, and counted where they are made."""
+        slots = slots.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(step).cast("long"))).alias("first")).repartition(self.tasks, "rank", "first")
+        slots = slots.select("rank", "blocks", "salt", F.explode(F.sequence("first", F.least(F.col("first") + step, "n_slots") - 1)).alias("draw"))
+        slots = slots.select("rank", "blocks", "salt", (mix(F.col("draw") + F.col("salt"), seed + 2) % shards).alias("shard"))
+        return slots.groupBy("rank", "shard", "blocks", "salt").agg(F.count(F.lit(1)).alias("blocks_drawn"))
 
     def pieces(self) -> DataFrame:
         """Documents cut at block borders: (doc, rank, block, from, n), from in words of the document."""
@@ -154,11 +164,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     steps = [f"s0 as (select *, slot % blocks as i0, {mix_sql('rank', 7)} as salt from slots)"]
     for r in range(ROUNDS):
-        mirror = f"((salt * {r * 7 + 3} % {PRIME} - i{r}) % blocks + blocks) % blocks"
+        key = f"((salt * {r * 7 + 3} % {PRIME}) * {PRIME} + (salt * {r * 11 + 5} + 97) % {PRIME})"
+        mirror = f"(({key} % blocks - i{r}) % blocks + blocks) % blocks"
         steps.append(f"m{r} as (select *, {mirror} as mirror from s{r})")
         pair = f"((greatest(i{r}, mirror) + salt + {r * 15485863}) % {PRIME})"
         steps.append(f"s{r + 1} as (select rank, slot, blocks, salt, case when (({pair} * {pair} % {PRIME}) >> 11) % 2 = 1 then mirror else i{r} end as i{r + 1} from m{r})")
-    bucket = f"{mix_sql(f'(doc_id % {PRIME} + {PRIME}) % {PRIME}', 7)} % {BUCKETS}"
+    bucket = f"{mix_sql(f'(doc_id % {PRIME} + {PRIME}) % {PRIME}', 7)} % (select greatest({BUCKETS}, ceil(count(*) / {BUCKET_DOCS}.0))::bigint from documents)"
     return f"""
 with recursive sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents
@@ -179,7 +190,8 @@ with recursive sized as (
   select source, rank, source_size, least(cap, coalesce((select level from free) * weight, cap)) as target,
          ceil(source_size / 64.0)::bigint as blocks from filled
 ), slots as (
-  select rank, blocks, unnest(range(least(blocks * 2, round(target / 64)::bigint))) as slot from targeted where source_size > 0
+  select rank, blocks, unnest(range(least(blocks * 2, (floor(target / source_size) * blocks
+    + floor((target - floor(target / source_size) * source_size) * blocks / source_size + 0.5))::bigint))) as slot from targeted where source_size > 0
 ), {", ".join(steps)}, drawn as (
   select rank, i{ROUNDS} as block, count(*) as times from s{ROUNDS} group by all
 ), joined as (

@@ -115,6 +115,7 @@ class Forest:
         wide = regions.where(F.col("size") > LEAF)
         crowding = wide.groupBy("rep").agg(F.sum("size").alias("weight"))
         centre = wide.join(crowding, "rep").groupBy("region").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("crowd"))
+        centre = broadcast_if_small(self.tables.write(centre, "centres"))
         centred = wide.join(centre, "region").groupBy("crowd", "rep").agg(F.max("size").alias("size"))
         self.crowds = self.tables.write(centred, "crowds")
         self.home_of = self.crowds.groupBy("rep").agg(F.max_by("crowd", F.struct("size", "crowd")).alias("crowd"))
