@@ -248,3 +248,51 @@ def test_line_dedup_stage_keeps_rows(spark):
     rows = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, rows, "").collect()}
     assert [got.pop(i) for i in range(len(texts))] == [copy] * 12 + [f"own {i}" for i in range(12)] + ["Footer", "footer ", None, ""] and not got
+
+
+@pytest.mark.parametrize(
+    "html, main",
+    [
+        ("<article><p>One</p><svg width='1'/><p>Two</p><p>Three</p></article>", "One\nTwo\nThree"),
+        ("<article><p>One</p><object><p>Two</p></article>", "One\nTwo"),
+        ('<div class="social-history"><p>Past</p></div>', "Past"),
+        ('<section class="notice-board-review"><p>Board</p></section>', "Board"),
+        ('<main><p>A</p><div role="navigation">B</div></main><p>C</p>', "A"),
+        ("<article><p>Own</p><article><p>reader</p></article><ol class='comments'><li>x</ol></article>", "Own"),
+        ("<p>a<svg><text>no</text></svg>b<script>never ends <p>x", "ab"),
+        ("<table><tr><td>1<td>2</table>&nbsp;<p>&lt;b&gt; &#233;", "1\n2\n<b> é"),
+    ],
+)
+def test_html_cases(html, main):
+    assert html_text.main_text(html) == main
+
+
+def test_style_tree_against_brute_force(spark):
+    rng = random.Random(4)
+    page = lambda i: f"<body><div class='top'>Welcome</div><div class='ad'>{rng.choice('abcdefgh')}</div><p>{prose(9)} {i}</p>{'<div>once</div>' if i == 3 else ''}</body>"
+    rows = [("h", page(i)) for i in range(30)] + [("lone", page(99))]
+    tree = {(r["host"], r["node"]): (r["pages"], r["importance"]) for r in html_text.style_tree(spark.createDataFrame(rows, "host string, html string")).collect()}
+    expected, of, where = {}, {}, {}
+    for host, html in rows:
+        for text, open_ in html_text.blocks_of(html)[0]:
+            if open_[-1].tag not in ("", "body"):
+                key = open_[-1].path - (1 << 63)
+                of.setdefault((host, key), []).append(text)
+    entropy = lambda texts: -sum(c / len(texts) * math.log(c / len(texts)) for c in Counter(texts).values()) / math.log(len(texts))
+    for (host, key), texts in of.items():
+        where[key] = 0.9 * entropy(of["h", key]) if len(of.get(("h", key), ())) > 1 else None
+    for (host, key), texts in of.items():
+        w, prior = len(texts) - 1, 1.0 if where[key] is None else where[key]
+        expected[host, key] = len(texts), (w * (where[key] or 0) + 4 * prior) / (w + 4)
+    assert tree.keys() == expected.keys() and all(tree[k][0] == n and math.isclose(tree[k][1], x, abs_tol=1e-9) for k, (n, x) in expected.items())
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_small_hosts_lean_on_all_hosts(spark):
+    """A host of one page has no statistics of its own; kinds that stand outside articles elsewhere go too."""
+    page = "<body><div class='top'><p>Welcome to our site</p></div><div class='story'><p>{}</p></div></body>"
+    framed = "<body><div class='promo'>{}</div><article><p>{}</p></article></body>"
+    rows = [(i, f"http://h.com/{i}", page.format(prose(12))) for i in range(40)] + [(100, "http://one.com/", page.format("The story"))]
+    rows += [(200 + i, f"http://f.com/{i}", framed.format(prose(5), prose(9))) for i in range(9)] + [(300, "http://two.com/", "<body><div class='promo'>Buy this</div><div><p>Told here</p></div></body>")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[100] == "The story" and got[300] == "Told here" and not any("Welcome" in t for t in got.values())

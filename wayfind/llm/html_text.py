@@ -1,16 +1,24 @@
 """HTML extraction with a site style tree.
 
-The pages of a host are merged into one tree, whose nodes are element paths (tag, class and id of an element below its parent's path). For
-each node and page there is a digest of its content (all text below) and of its presentation (the kinds of its children).
-A node's importance is mostly the entropy of its contents over the host's pages, partly that of its presentations, both normalised
-to 0..1: text that stands on every page has an entropy near 0. A branch goes from each page if its node's importance is low and enough different
-pages have it; pages with the same main text count once, so copies do not make an article look like a template.
-
-Hosts with few pages give no statistics, so elements and names that HTML sets aside for what is not the article (``nav``, ``aside``, ``form``,
-class ``sidebar``, ...) have no importance anywhere. Where a page has an ``article`` (else a ``main``) element, its text is that element's.
+What HTML and ARIA themselves define as not being the article goes (``nav``, ``aside``, ``form``, ``role=navigation``, ...), and where a page has an
+``article`` (else a ``main``) element, its text is that element's. An article inside an article is a comment on it, as HTML has it. The rest is
+decided by the tree, so by how the pages of a site differ:
+
+* The pages of a host are merged into one tree, whose nodes are element paths (tag, class and id of an element below its parent's path). For
+  each node and page there is a digest of its content (all text below) and of its presentation (the kinds of its children).
+* A node's importance is mostly the entropy of its contents, partly that of its presentations. Entropies are taken in groups of about ``group``
+  pages of the host and divided by the logarithm of the pages there, so the measure is one for a host of 50 pages or a million; text that stands on every
+  page has an entropy near 0. Pages with the same main text count once, so copies do not make an article look like a template.
+* A host with few pages leans on the same path's importance on all hosts, as if that were ``prior`` pages more. A path on which no host tells anything
+  is kept.
+* A node with a class or id is less important by the share of pages, on all hosts, where elements of that kind stand outside the article or
+  main element; so adverts that differ from page to page go also on pages without such an element.
+
+Branches of low importance go, but for those inside an article or main element.
 
 Cases: a null or empty html, or one without text, gives an empty text; a ``br`` is white space; unclosed elements end with their parents; an unclosed
-script or comment ends with the page; equal rows get equal results; a null url is a host of its own; an empty table gives an empty
+script, style, textarea or comment ends with the page, other unclosed elements do not hide what follows; of pages with the same main text, the
+least digests count; equal rows get equal results; a null url is a host of its own; an empty table gives an empty
 result; other columns are kept, but for ``text`` and ``n_chars``, which are replaced.
 """
 
@@ -29,40 +37,36 @@ from pyspark.sql import functions as F
 from .common import Tables, broadcast_if_small
 from .url_filter import host_of
 
-# HTML's elements by use, and names that sites give to what is not the article.
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|select|object|canvas|audio|video"
+# HTML's elements by use, ARIA's roles, and the names of reader comments, which differ on every page as articles do.
+RAW = "script|style|textarea|iframe|xmp"
+HIDDEN = "title|noscript|template|svg|math|select|object|canvas|audio|video"
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 ASIDE = set("aside button dialog footer form head menu nav search".split())
-NAMES = set(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr masthead menu "
-    "modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related respond search share sharing sidebar skip "
-    "social sponsor sponsored subscribe subscription toolbar widget".split()
-)
-WRAPPERS = set("article main page wrapper container layout site body has with no".split())
+ROLES = set("alert alertdialog banner comment complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+COMMENTS = {"comment", "comments"}
 ENDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}, "option": {"select"}}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}}
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S | re.I
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<({HIDDEN})\b[^>]*>.*?</\2\s*>|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S | re.I
 )
 _NAME = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "gone", "article", "main")
+    __slots__ = ("tag", "path", "kind", "gone", "article", "main")
 
-    def __init__(self, tag: str, path: int, gone: bool, article: bool, main: bool):
-        self.tag, self.path, self.gone, self.article, self.main = tag, path, gone, article, main
+    def __init__(self, tag: str, path: int, kind: int, gone: bool, article: bool, main: bool):
+        self.tag, self.path, self.kind, self.gone, self.article, self.main = tag, path, kind, gone, article, main
 
 
 @functools.lru_cache(1 << 16)
-def _named(attributes: str) -> tuple[str, frozenset[str], bool]:
-    """An element's names as in its path, their words, and whether its role is main."""
+def _named(attributes: str) -> tuple[str, frozenset[str], frozenset[str]]:
+    """An element's names as in its path, its classes and id, and its roles."""
     found = [(k.lower(), v.strip("\"'").lower()) for k, v in _NAME.findall(attributes)]
     own = [v for k, v in found if k != "role"]
     path = ".".join(re.sub(r"\d+", "#", v) for v in own)
-    return path, frozenset(w for v in own for w in _WORD.findall(v)), ("role", "main") in found
+    return path, frozenset(w for v in own for w in v.split()), frozenset(w for k, v in found if k == "role" for w in v.split())
 
 
 @functools.lru_cache(1 << 16)
@@ -73,7 +77,7 @@ def _step(parent: int, step: str) -> int:
 def blocks_of(page: str | None, low: frozenset[int] = frozenset()) -> tuple[list[tuple[str, list[_Node]]], dict[int, list[str]]]:
     """(text, open elements) of each block in page order, and the children's kinds by node. ``low``: nodes to be taken out."""
     page = page or ""
-    root = _Node("", 1, False, False, False)
+    root = _Node("", 1, 0, False, False, False)
     stack, blocks, kinds, parts = [root], [], {}, []
     at = 0
 
@@ -88,13 +92,13 @@ def blocks_of(page: str | None, low: frozenset[int] = frozenset()) -> tuple[list
         if m.start() > at:
             parts.append(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag = (m[4] or "").lower()
         if tag == "br":
             parts.append(" ")
         if tag not in BLOCKS:
             continue
         flush()
-        if m[2]:
+        if m[3]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -111,14 +115,13 @@ def blocks_of(page: str | None, low: frozenset[int] = frozenset()) -> tuple[list
         if tag == "hr":
             continue
         up = stack[-1]
-        names, words, main = _named(m[4])
+        names, words, roles = _named(m[5])
         step = f"{tag}.{names}"
         kinds.setdefault(up.path, []).append(step)
         path = _step(up.path, step)
-        article = tag == "article" or up.article
-        gone = up.gone or path in low or tag in ASIDE or (tag == "header" or "header" in words) and not article
-        gone = gone or tag not in ("body", "html", "main") and bool(words & NAMES) and not words & WRAPPERS
-        stack.append(_Node(tag, path, gone, article, up.main or main or tag == "main"))
+        gone = up.gone or path in low and not (up.article or up.main) or tag in ASIDE or tag == "article" and up.article or tag == "header" and not up.article
+        gone = gone or tag not in ("body", "html", "main") and bool(roles & ROLES or words & COMMENTS)
+        stack.append(_Node(tag, path, _step(0, step) if names else 0, gone, tag == "article" or up.article, tag == "main" or "main" in roles or up.main))
     if at < len(page):
         parts.append(page[at:])
     flush()
@@ -138,35 +141,53 @@ def _signed(x: int) -> int:
     return x - (1 << 63)
 
 
+def _digest(text: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
+
+
 def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A page's nodes with digests of their content and presentation, and the digest of its main text."""
+    """A page's nodes with digests of their content and presentation, and the digest of its main text. kind: 0 without class and id;
+    inside: whether the node is part of the page's article or main element; null on pages without."""
     for pdf in batches:
         rows = []
         for host, page in zip(pdf["host"], pdf["html"], strict=True):
             blocks, kinds = blocks_of(page)
             content: dict[int, xxhash.xxh64] = {}
+            seen: dict[int, _Node] = {}
             for text, open_ in blocks:
                 data = text.encode("utf-8", "surrogatepass") + b"\n"
-                for node in {n.path: n for n in open_ if not n.gone and n.tag not in ("", "html", "body", "article", "main")}:
-                    content.setdefault(node, xxhash.xxh64()).update(data)
-            nodes = [{"node": _signed(k), "content": _signed(h.intdigest()), "look": _signed(xxhash.xxh64_intdigest(" ".join(kinds.get(k, ())).encode("utf-8", "surrogatepass")))} for k, h in content.items()]
-            rows.append((host, _signed(xxhash.xxh64_intdigest(main_text(page).encode("utf-8", "surrogatepass"))), nodes))
+                for path, node in {n.path: n for n in open_ if not n.gone and n.tag not in ("", "html", "body", "article", "main")}.items():
+                    content.setdefault(path, xxhash.xxh64()).update(data)
+                    seen[path] = node
+            framed = any(open_[-1].article or open_[-1].main for _, open_ in blocks)
+            nodes = [
+                {"node": _signed(k), "content": _signed(h.intdigest()), "look": _digest(" ".join(kinds.get(k, ()))), "kind": seen[k].kind and _signed(seen[k].kind), "inside": (seen[k].article or seen[k].main) if framed else None}
+                for k, h in content.items()
+            ]
+            rows.append((host, _digest(main_text(page)), nodes))
         yield pd.DataFrame(rows, columns=["host", "whole", "nodes"])
 
 
-def style_tree(pages: DataFrame, presentation: float = 0.1) -> DataFrame:
+def style_tree(pages: DataFrame, presentation: float = 0.1, group: int = 64, prior: float = 4.0) -> DataFrame:
     """pages (host, html): (host, node, pages, importance), from counts of contents and presentations."""
-    found = pages.mapInPandas(_nodes, "host string, whole long, nodes array<struct<node long, content long, look long>>")
-    found = found.groupBy("host", "whole").agg(F.first("nodes").alias("nodes")).select("host", F.explode("nodes").alias("x")).select("host", "x.*")
-
-    def entropy(of: str) -> DataFrame:
-        counts = found.groupBy("host", "node", of).agg(F.count(F.lit(1)).alias("c"))
-        sums = counts.groupBy("host", "node").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("s"))
-        h = F.when(F.col("pages") > 1, 1 - F.col("s") / F.col("pages") / F.log("pages")).otherwise(1.0)
-        return sums.select("host", "node", "pages", h.alias(f"h_{of}"))
-
-    both = entropy("content").join(entropy("look").drop("pages"), ["host", "node"])
-    return both.select("host", "node", "pages", ((1 - presentation) * F.col("h_content") + presentation * F.col("h_look")).alias("importance"))
+    tables = Tables(pages.sparkSession, "style-tree")
+    found = pages.mapInPandas(_nodes, "host string, whole long, nodes array<struct<node long, content long, look long, kind long, inside boolean>>")
+    found = tables.write(found.groupBy("host", "whole").agg(F.min("nodes").alias("nodes")), "pages")
+    groups = tables.write(found.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / group).alias("groups")), "hosts")
+    nodes = found.join(broadcast_if_small(groups), "host").select("host", F.pmod("whole", "groups").alias("g"), F.explode("nodes").alias("x")).select("host", "g", "x.*")
+    sides = F.array(F.struct(F.lit(0).alias("of"), F.col("content").alias("value")), F.struct(F.lit(1).alias("of"), F.col("look").alias("value")))
+    counts = nodes.select("host", "g", "node", F.explode(sides).alias("v")).groupBy("host", "g", "node", "v.of", "v.value").agg(F.count(F.lit(1)).alias("c"))
+    side = lambda k, x: F.sum(F.when(F.col("of") == k, x))
+    sums = counts.groupBy("host", "g", "node").agg(side(0, F.col("c")).alias("pages"), *[side(k, F.col("c") * F.log("c")).alias(f"s{k}") for k in (0, 1)])
+    entropy = lambda k: F.when(F.col("pages") > 1, 1 - F.col(f"s{k}") / F.col("pages") / F.log("pages")).otherwise(0.0)
+    sums = sums.select("host", "node", "pages", (F.col("pages") - 1).alias("w"), ((1 - presentation) * entropy(0) + presentation * entropy(1)).alias("h"))
+    own = tables.write(sums.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("h")).alias("wh")), "nodes")
+    everywhere = own.groupBy("node").agg((F.sum("wh") / F.nullif(F.sum("w"), F.lit(0))).alias("all"))
+    known = nodes.where("kind <> 0 and inside is not null").groupBy("kind").agg(F.sum(F.col("inside").cast("int")).alias("in"), F.count(F.lit(1)).alias("known"))
+    kinds = nodes.where("kind <> 0").select("node", "kind").distinct().join(known, "kind").select("node", ((F.col("in") + 0.1) / (F.col("known") + 0.1)).alias("inside"))
+    out = own.join(everywhere, "node").join(kinds, "node", "left")
+    importance = (F.col("wh") + prior * F.coalesce("all", F.lit(1.0))) / (F.col("w") + prior) * F.coalesce("inside", F.lit(1.0))
+    return out.select("host", "node", "pages", importance.alias("importance"))
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,12 +196,12 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.drop(columns=["_low", "_html"]).assign(text=[main_text(page, nodes) for page, nodes in zip(pdf["_html"], low, strict=True)])
 
 
-def extract_text(pages: DataFrame, url: str = "url", html: str = "html", least_importance: float = 0.2, least_pages: int = 20) -> DataFrame:
+def extract_text(pages: DataFrame, url: str = "url", html: str = "html", least_importance: float = 0.2) -> DataFrame:
     """pages without their html, with the main ``text`` and its ``n_chars``."""
     spark: SparkSession = pages.sparkSession
     host: Column = host_of(pages[url])
     tree = style_tree(pages.select(host.alias("host"), pages[html].alias("html")))
-    low = tree.where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance)).groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("_low"))
+    low = tree.where(F.col("importance") < least_importance).groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("_low"))
     low = Tables(spark, "style-tree").write(low.withColumnRenamed("host", "_host"), "low")
     kept = [c for c in pages.columns if c not in ("text", "n_chars", html)]
     rows = pages.select(*kept, host.alias("_host"), pages[html].alias("_html")).join(broadcast_if_small(low), "_host", "left").drop("_host")
