@@ -1,95 +1,137 @@
 """Toxicity by weak supervision.
 
-1. *Lexicons.* Words and word stems whose presence goes with the toxic label are counted over all labelled training documents; those with
-   a log-odds ratio clearly above chance form lexicons, cut into several voters for each family. A few writing patterns vote too.
-2. *Label model.* Every document's votes are a bit mask; masks are counted (at most 2^voters rows), and a two-class generative model gives
-   each voter's accuracies by EM, with training labels as observed where there are any. Voters that err together
-   within a class (residual correlation) share their weight, so copies of one signal do not count as several.
-3. *Classifier.* A logistic regression on lexicon entries and votes is trained on the posterior labels of at most ``sample``
-   labelled training rows (a documented bound; the rows with the least hash of their id), and scores every document.
+1. *Lexicons.* Words and word stems whose presence goes with the toxic label are counted over all labelled training documents. Labelled documents
+   with the same two least word hashes, which copies mostly share, share the weight of one document, so a text that was copied and labelled often does not make
+   all its words look toxic. Each family (words, stems of 4, 5 and 6 letters) is hashed into ``BUCKETS`` entries, so the table of counts has a fixed
+   bound and no word is left out. Entries with a log-odds ratio clearly above chance form the lexicons, cut into several voters for each
+   family, from the surest to the least sure. A few writing patterns vote too.
+2. *Label model.* The votes of every training document, labelled or not, are a bit mask; masks are counted (at most 2^voters rows), and a two-class
+   generative model gives each voter's accuracies by EM. Training labels anchor the classes: where there is one, the class is known.
+   Voters that err together within a class (residual correlation) share their weight, so copies of one signal do not count as several.
+3. *Classifier.* A logistic regression on lexicon entries and votes is trained on the posterior labels of at most ``sample`` training documents, labelled
+   or not (a documented bound; the rows with the least hash of their id), and scores every document. A label that a row has is one more
+   vote for its posterior, of accuracy ``GOLD``.
 
 Labels of held-out rows are never read; ids, languages and sources are never inputs of a score.
 
-Cases: null and empty texts have no votes and get the score of such a text; repeated labels of one id count once, as the larger; null labels
-are none; without any toxic training row scores are the base rate; equal rows get equal results; other columns are kept.
+Cases: null and empty texts have no votes and get the score of such a text; repeated labels of one id count once, as the larger; null labels and
+labels of null ids are none; without any toxic training row scores are the base rate; equal texts get equal scores; an empty table gives an
+empty result; other columns are ignored, the result has doc_id, held_out and score.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Tables, broadcast_if_small, documents, fold
-from .shingles import split_words
 
 STEMS = (4, 5, 6)
 FAMILIES = ("word", *[f"stem{n}" for n in STEMS])
-SLICES = 2
+SLICES, BUCKETS, GOLD, ONE = 3, 1 << 18, 0.95, 1_000_000
+#: Patterns within a word, and whether a text needs one such word or two.
 PATTERNS = {
-    "shouting": re.compile(r"\b[A-Z]{4,}\b[^a-z]{0,3}\b[A-Z]{4,}\b"),
-    "bangs": re.compile(r"[!?]{3,}"),
-    "masked": re.compile(r"\b\w+[*@#$]{2,}\w*"),
-    "stretched": re.compile(r"([A-Za-z])\1{3,}"),
+    "shouting": (re.compile(r"[A-Z]{4,}\W*"), 2),
+    "bangs": (re.compile(r".*?[!?]{3,}.*"), 1),
+    "masked": (re.compile(r"\W*\w+[*@#$]{2,}.*"), 1),
+    "stretched": (re.compile(r".*?([A-Za-z])\1{3,}.*"), 1),
 }
 VOTERS = [f"{f}-{i}" for f in FAMILIES for i in range(SLICES)] + list(PATTERNS)
 _EDGE = re.compile(r"^\W+|\W+$")
-_bare = functools.lru_cache(1 << 18)(lambda w: _EDGE.sub("", w))
+_UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-@functools.lru_cache(1 << 17)
-def features(word: str) -> tuple[str, ...]:
-    """A word and its stems, marked by family."""
-    return (f"0{word}", *[f"{i + 1}{word[:n]}" for i, n in enumerate(STEMS) if len(word) >= n]) if word else ()
+@functools.lru_cache(1 << 18)
+def described(word: bytes) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """A word's entries (number of the family times BUCKETS, plus a hash) and its patterns."""
+    raw = word.decode("utf-8", "surrogatepass")
+    bare = _EDGE.sub("", word.translate(_UPPER).decode("utf-8", "surrogatepass"))
+    forms = [(0, bare)] + [(i + 1, bare[:n]) for i, n in enumerate(STEMS) if len(bare) >= n] if bare else []
+    entries = tuple(i * BUCKETS + xxhash.xxh32_intdigest(form.encode("utf-8", "surrogatepass"), i) % BUCKETS for i, form in forms)
+    return entries, tuple(i for i, (p, _) in enumerate(PATTERNS.values()) if p.fullmatch(raw))
 
 
-def bare_words(text: str | None) -> set[str]:
-    return set(map(_bare, set(split_words(text))))
+def distinct_words(text: str | None) -> set[bytes]:
+    """Words between white space, as they are written."""
+    return set((text or "").encode("utf-8", "surrogatepass").split())
+
+
+_hashed = functools.lru_cache(1 << 18)(xxhash.xxh32_intdigest)
+
+
+def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The two least hashes of a document's words, as one number; copies mostly share them, other documents hardly ever."""
+    for pdf in batches:
+        least = [heapq.nsmallest(2, map(_hashed, distinct_words(t))) for t in pdf["text"]]
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "sketch": [(x[0] << 31) + x[-1] if x else -1 for x in least]})
 
 
 def _count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial counts of documents by feature and label; flushed before they grow large."""
-    counts: Counter = Counter()
+    """Partial weights of documents by entry and label, and of all (entry -1). There are at most as many as entries."""
+    counts: tuple[dict, dict] = ({}, {})
     for pdf in batches:
-        for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-            seen = {f for w in bare_words(text) for f in features(w)}
-            counts.update((f, bool(toxic)) for f in seen)
-            counts[("", bool(toxic))] += 1
-        if len(counts) > 300_000:
-            yield pd.DataFrame([(f, y, n) for (f, y), n in counts.items()], columns=["feature", "toxic", "n"])
-            counts.clear()
-    yield pd.DataFrame([(f, y, n) for (f, y), n in counts.items()], columns=["feature", "toxic", "n"])
-
-
-def lexicon(counts: DataFrame, size: int) -> list[str]:
-    """The ``size`` features of each family whose log-odds ratio is surest to be high. Only these come to the driver."""
-    totals = counts.where("feature = ''").agg(F.sum(F.when(F.col("toxic"), F.col("n"))).alias("p"), F.sum(F.when(~F.col("toxic"), F.col("n"))).alias("q")).first()
-    p, q = (totals["p"] or 0), (totals["q"] or 0)
-    of = counts.where("feature <> ''").groupBy("feature").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic"), F.lit(0)).otherwise(F.col("n"))).alias("b")).where("a >= 2")
+        for text, toxic, weight in zip(pdf["text"], pdf["toxic"].tolist(), pdf["weight"].tolist(), strict=True):
+            of = counts[toxic]
+            for e in {-1}.union(*[described(w)[0] for w in distinct_words(text)]):
+                of[e] = of.get(e, 0) + weight
+    for y, c in enumerate(counts):
+        yield pd.DataFrame({"entry": list(c.keys()), "toxic": bool(y), "n": list(c.values())})
+
+
+def lexicon(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, voter) of those whose log-odds ratio is surely high. Only these come to the driver: at most BUCKETS a family."""
+    of = counts.groupBy("entry").agg((F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)) / ONE).alias("a"), (F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))) / ONE).alias("b"))
+    totals = of.where("entry = -1").first()
+    p, q = (totals["a"], totals["b"]) if totals else (0, 0)
     ratio = F.log((F.col("a") + 0.5) / (p + 1)) - F.log((F.col("b") + 0.5) / (q + 1))
     doubt = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    of = of.withColumn("sure", ratio - 1.64 * doubt).where("sure > 0.7").withColumn("family", F.substring("feature", 1, 1))
-    parts = [of.where(F.col("family") == str(i)).orderBy(F.desc("sure"), "feature").limit(size) for i in range(len(FAMILIES))]
-    return sorted(r["feature"] for r in functools.reduce(DataFrame.unionByName, parts).select("feature").collect())
-
+    found = of.where("entry >= 0 and a >= 2").withColumn("sure", ratio - 2.5 * doubt).where("sure > 0.5").select("entry", "sure").toPandas()
+    found = found.sort_values(["sure", "entry"], ascending=[False, True])
+    family = found["entry"].to_numpy(np.int64) // BUCKETS
+    voter = np.zeros(len(found), np.int64)
+    for i in range(len(FAMILIES)):  # slices by how sure they are
+        own = np.flatnonzero(family == i)
+        voter[own] = i * SLICES + np.arange(len(own)) * SLICES // max(1, len(own))
+    order = np.argsort(found["entry"].to_numpy(np.int64))
+    return found["entry"].to_numpy(np.int64)[order], voter[order]
+
+
+def _vote(batches: Iterator[pd.DataFrame], entries: np.ndarray, voter: np.ndarray) -> Iterator[pd.DataFrame]:
+    number = {e: i for i, e in enumerate(entries.tolist())}
+    least = [n for _, n in PATTERNS.values()]
+    memo: dict[bytes, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+
+    def known(word: bytes) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        of, patterns = described(word)
+        if len(memo) > 300_000:
+            memo.clear()
+        memo[word] = out = tuple(number[e] for e in of if e in number), patterns
+        return out
 
-def _vote(batches: Iterator[pd.DataFrame], entries: dict[str, int], voter: list[int]) -> Iterator[pd.DataFrame]:
-    known = entries.get
     for pdf in batches:
         rows = []
         for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            found = sorted({e for w in bare_words(text) for f in features(w) if (e := known(f)) is not None})
+            found, shown = set(), [0] * len(least)
+            for w in distinct_words(text):
+                of, patterns = memo.get(w) or known(w)
+                found.update(of)
+                for i in patterns:
+                    shown[i] += 1
+            found = sorted(found)
             mask = 0
-            for e in found:
-                mask |= 1 << voter[e]
-            for i, p in enumerate(PATTERNS.values()):
-                mask |= bool(p.search(text or "")) << (len(VOTERS) - len(PATTERNS) + i)
+            for v in voter[found].tolist() if found else ():
+                mask |= 1 << v
+            for i, n in enumerate(shown):
+                mask |= (n >= least[i]) << (len(VOTERS) - len(PATTERNS) + i)
             rows.append((doc, mask, found))
         yield pd.DataFrame(rows, columns=["doc_id", "mask", "found"])
 
@@ -151,7 +193,7 @@ def _score(batches: Iterator[pd.DataFrame], weights: np.ndarray) -> Iterator[pd.
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 1 / (1 + np.exp(-np.clip(x, -40, 40)))})
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", entries: int = 2000, sample: int = 20_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 20_000) -> DataFrame:
     """(doc_id, held_out, score) for every row."""
     spark: SparkSession = docs.sparkSession
     tables = Tables(spark, "toxicity")
@@ -160,29 +202,26 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = tables.write(known, "labels")
     texts = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
-    counts = texts.join(broadcast_if_small(known), "doc_id").mapInPandas(_count_features, "feature string, toxic boolean, n long")
-    counts = tables.write(counts.groupBy("feature", "toxic").agg(F.sum("n").alias("n")), "counts")
-    chosen = lexicon(counts, entries)
-    tables.drop("counts")
-    family = Counter()
-    voter = []
-    for f in chosen:  # slices in turn, so the voters of a family see different entries
-        voter.append(int(f[0]) * SLICES + family[f[0]] % SLICES)
-        family[f[0]] += 1
-    number = {f: i for i, f in enumerate(chosen)}
-    votes = tables.write(texts.mapInPandas(functools.partial(_vote, entries=number, voter=voter), "doc_id long, mask long, found array<int>"), "votes")
-    marked = votes.join(known, "doc_id", "left")
-    seen = marked.groupBy("mask", "toxic").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    sketched = texts.join(broadcast_if_small(known), "doc_id").mapInPandas(_sketch, "doc_id long, toxic int, sketch long")
+    sketched = tables.write(sketched, "sketches")
+    share = sketched.groupBy("sketch", "toxic").agg(F.greatest(F.lit(1), F.round(ONE / F.count(F.lit(1)))).cast("long").alias("weight"))
+    weighed = tables.write(sketched.join(share, ["sketch", "toxic"]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("weight").alias("weight")), "weights")
+    counts = texts.join(broadcast_if_small(weighed), "doc_id").mapInPandas(_count_features, "entry long, toxic boolean, n long")
+    counts = tables.write(counts.groupBy("entry", "toxic").agg(F.sum("n").alias("n")), "counts")
+    entries, voter = lexicon(counts)
+    tables.drop("counts", "sketches", "weights")
+    votes = tables.write(texts.mapInPandas(functools.partial(_vote, entries=entries, voter=voter), "doc_id long, mask long, found array<int>"), "votes")
+    marked = votes.where(~held_out(F.col("doc_id"))).join(broadcast_if_small(known), "doc_id", "left")
+    seen = marked.groupBy("mask", "toxic").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 3 * 2^voters rows
     model = LabelModel(bits(seen["mask"].to_numpy(np.int64)), seen["toxic"].fillna(-1).to_numpy(float), seen["n"].to_numpy(float))
-    rows = marked.where("toxic is not null").orderBy(F.xxhash64("doc_id")).limit(sample).select("mask", "found", "toxic").toPandas()
-    weights = np.zeros(len(chosen) + len(VOTERS) + 1)
+    rows = marked.orderBy(F.xxhash64("doc_id")).limit(sample).select("mask", "found", "toxic").toPandas()
+    weights = np.zeros(len(entries) + len(VOTERS) + 1)
     weights[-1] = np.log(model.prior / (1 - model.prior))
-    if len(rows) and rows["toxic"].sum():
+    if len(rows) and (seen["toxic"] == 1).any():
         v = bits(rows["mask"].to_numpy(np.int64))
-        # The posterior of a training row has its own label as one more voter, of accuracy 0.95.
         p = model.posterior(v)
-        g = np.where(rows["toxic"] == 1, 0.95, 0.05)
-        weights = train([list(f) for f in rows["found"]], v, p * g / (p * g + (1 - p) * (1 - g)), len(chosen))
+        g = rows["toxic"].map({1: GOLD, 0: 1 - GOLD}).fillna(0.5).to_numpy(float)
+        weights = train([list(f) for f in rows["found"]], v, p * g / (p * g + (1 - p) * (1 - g)), len(entries))
     scored = votes.mapInPandas(functools.partial(_score, weights=weights), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
 
