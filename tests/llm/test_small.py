@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -296,3 +297,130 @@ def test_small_hosts_lean_on_all_hosts(spark):
     rows += [(200 + i, f"http://f.com/{i}", framed.format(prose(5), prose(9))) for i in range(9)] + [(300, "http://two.com/", "<body><div class='promo'>Buy this</div><div><p>Told here</p></div></body>")]
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[100] == "The story" and got[300] == "Told here" and not any("Welcome" in t for t in got.values())
+
+
+def test_label_model_finds_accuracies_and_copies():
+    """Votes of known accuracies, one voter being a copy of another; few labels, and none read from the others."""
+    rng = np.random.default_rng(1)
+    n, width = 6000, len(toxicity.VOTERS)
+    y = rng.random(n) < 0.2
+    fire = np.where(y[:, None], np.linspace(0.5, 0.9, width), np.linspace(0.02, 0.15, width))
+    votes = (rng.random((n, width)) < fire).astype(float)
+    votes[:, 1] = votes[:, 0]
+    gold = np.where(rng.random(n) < 0.1, y, -1).astype(float)
+    model = toxicity.LabelModel(votes, gold, np.ones(n))
+    assert abs(model.prior - 0.2) < 0.03 and np.abs(model.fire[1] - np.linspace(0.5, 0.9, width))[2:].max() < 0.06
+    assert model.weight[0] < 0.6 < model.weight[2:].mean() and ((model.posterior(votes) > 0.5) == y).mean() > 0.98
+
+
+def test_toxicity_reads_no_held_out_label(spark):
+    rows = [(i, f"{prose(12)} {'badword' if i % 4 == 0 else ''} x{i}", "clash", 5.0) for i in range(240)] + [(5, "twice", "", 1.0), (5, "twice", "", 1.0), (None, "none", "", 0.0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic string, score double")
+    labels = [(i, int(i % 4 == 0)) for i in range(240)]
+    given = lambda flip: spark.createDataFrame([(i, 1 - y if flip and zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, y in labels] + [(None, 1), (3, 0), (3, 0)], "doc_id long, toxic int")
+    a, b = ({(r["doc_id"], r["held_out"]): r["score"] for r in toxicity.score_toxicity(d, given(flip)).collect()} for flip in (False, True))
+    assert a == b and len(a) == 241 and a[0, a and zlib.crc32(b"0") % 3 == 1] > 0.5
+
+
+def test_words_of_copies_share_a_weight(spark):
+    """A text that was copied and labelled toxic 30 times does not make its words toxic; a word of 30 different texts does."""
+    copied = " ".join(f"c{i}" for i in range(40))
+    own = [" ".join(RNG.choice(WORDS) + str(RNG.randrange(400)) for _ in range(15)) for _ in range(330)]
+    rows = [(i, copied) for i in range(30)] + [(100 + i, own[i] + " vilest") for i in range(30)] + [(200 + i, own[30 + i]) for i in range(300)] + [(900, copied), (901, "so vilest")]
+    labels = [(i, 1) for i in [*range(30), *range(100, 130)]] + [(200 + i, 0) for i in range(300)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert got[901] > 0.5 > got[900]
+
+
+def test_url_templates_against_sql(spark):
+    """Deep and odd paths, ties, repeated rows: the same as the SQL, by the same rules."""
+    import duckdb
+
+    rng = random.Random(6)
+    urls = [f"http{'s' * rng.randrange(2)}://{rng.choice(['a.example.net', 'b.example.com', 'c.org', 'D.example.org', 'spam.info'])}/{rng.choice(['en', 'de', 'fr', 'x/y'])}/" + "/".join(rng.choice(["news", "tag", f"slug-{rng.randrange(90)}", "0a1b2c3d4e5f6a"]) for _ in range(rng.randrange(6))) for _ in range(400)]
+    rows = [*enumerate([*urls, *urls[:5], None, "", "no scheme", "http://h.net/" + "a/" * 300, "://", "http://x.org//fr//1?q=/z"])]
+    d = spark.createDataFrame(rows, "page_id long, url string")
+    con = duckdb.connect()
+    con.register("pages", d.toPandas())
+    got = sorted(map(tuple, url_filter.filter_urls(d).select("page_id", "host", "path", "rule", "verdict").collect()))
+    assert got == sorted(con.execute(url_filter.SQL).fetchall()) and len({v for *_, rule, v in got if rule is None}) == 2
+    assert url_filter.filter_urls(d.where("false")).count() == 0
+
+
+def test_mixing_of_small_sources(spark):
+    sizes = [0, 1, 15, 65, 130, 700, 9000]
+    d = spark.createDataFrame([(i, prose(n), f"s{i}", "x", 1) for i, n in enumerate(sizes)], "doc_id long, text string, source string, taken string, size int")
+    got = {r["doc_id"]: r for r in mixing.mix_sources(d).taken().collect()}
+    assert [got[i]["size"] for i in range(7)] == sizes and all(r["taken"] <= 2 * r["size"] for r in got.values())
+    assert all(abs(got[i]["taken"] - got[i]["target"]) <= 64 for i in range(7)) and [got[i]["taken"] for i in range(5)] == [0, 2, 30, 130, 260]
+    m = mixing.mix_sources(d, shard_words=500)
+    filled = m.slots.groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("blocks_drawn"))
+    assert filled.exceptAll(m.counts.select("shard", "rank", "blocks_drawn")).count() == 0 and m.slots.select("shard").distinct().count() > 10
+
+
+def test_chat_takes_odd_turns(spark):
+    rows = [(1, None, "user", "N", 0), (1, -1, "user", "M", 0), (1, 1_700_000_000, "assistant", "late", 0), (1, 1_700_000_000, "assistant", "late", 0), (1, 2, None, None, 0)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq int")
+    got = chat.fold_events(chat.turn_events(table)).orderBy("message").collect()
+    assert [(r["role"], r["text"]) for r in got] == [("user", "M"), ("", ""), ("assistant", "late"), ("assistant", "late"), ("user", "N")]
+    tie = [(1, 1, 1, "start", "user", None), (1, 2, 1, "delta", None, "old "), (1, 3, 1, "delta", None, "also old"), (1, 3, 1, "edit", None, "new"), (1, 4, 1, "delta", None, "!"), (1, 4, 1, "delta", None, "!")]
+    assert [r["text"] for r in chat.fold_events(spark.createDataFrame(tie, chat.LOG)).collect()] == ["new!!"]
+
+
+def test_similarity_counts_repeats(spark):
+    rows = [([1, 2, 3], [2, 3, 4], 0.5), ([1, 1, 2], [1, 1, 1], 0.5), ([1, 1], [1, 2], 1 / 3)]
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>, s double").select(decontaminate.weighted_similarity(F.col("a"), F.col("b")).alias("x"), "s").collect()
+    assert all(math.isclose(r["x"], r["s"]) for r in got)
+
+
+def test_lm_score_against_brute_force(spark, tmp_path):
+    """Scores are the words' lattice probabilities under the fitted pieces, frequent words and others alike."""
+    texts = ["ab ba", "ab ab c", "", None, "ab ab c", "q" * 300]
+    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    a, b = ({r["doc_id"]: r["score"] for r in lm_score.score_documents(d, rounds=0, frequent=n).collect()} for n in (1000, 1))
+    pieces = lm_score.load_vocabulary(lm_score.VOCABULARY)
+    value = dict(zip(pieces, lm_score.first_scores(len(pieces)), strict=True))
+
+    def word(w):
+        p = [1.0] + [0.0] * len(w)
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                if w[i:j] in value:
+                    p[j] += p[i] * math.exp(value[w[i:j]])
+        return math.log10(p[-1])
+
+    for i, t in enumerate(texts[:5]):
+        assert math.isclose(a[i], value[lm_score.END] / math.log(10) + sum(word(MARK + w) for w in split_words(t)), rel_tol=1e-9)
+    assert all(math.isclose(a[i], b[i], rel_tol=1e-9) for i in range(6))
+    with pytest.raises(FileNotFoundError):
+        lm_score.load_vocabulary("/nowhere")
+
+
+def test_crowds_are_settled_exactly(spark):
+    """A group whose centre is similar enough to few: chains, second clusters and single documents all get what brute force gives."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for _ in range(260):
+        w = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 4, 7, 8, 9])):
+            w[at] = f"own{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    texts += texts[:3] + [None, ""]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(split_words, texts)]
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            a, b = sorted((root(i), root(j)))
+            label[b] = a
+    expected = [root(i) for i in range(len(texts))]
+    assert 20 < len(set(expected)) < 255
+    rows = [(i, t, 0) for i, t in enumerate(texts)] + [(0, texts[0], 0), (None, texts[1], 0)]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string, kept int"), shingle=3, percent=85).collect()
+    assert len(got) == len(rows) and all(r["component_id"] == (None if r["doc_id"] is None else expected[r["doc_id"]]) for r in got)

@@ -4,11 +4,15 @@ Items and documents are split into words (lower case, letters and digits only).
 item are kept; a window is any item-sized stretch (cut at the document's ends) that holds enough such positions for the asked similarity to be
 possible, in documents that hold enough of the item's shingles. Every window and item gets a 64-bit SimHash of its shingles, each of weight 1.
 
-A window with a multiset Jaccard of ``least`` has no more shingles than its item, so the two multisets differ by at most 2 m (1 - least) / (1 + least)
+*No window is lost before the fingerprints.* A window with a multiset Jaccard of ``least`` with an item of m shingles has at least least * m positions whose
+shingle is the item's, so it is among the windows looked at, which are those with so many known positions (of any item), in documents that
+hold all but (1 - least) * m of the item's distinct shingles. Sliding a window over all other places could only add windows that share too little.
+
+*None is lost by the fingerprints.* Such a window has no more shingles than its item, so the two multisets differ by at most 2 m (1 - least) / (1 + least)
 of the item's m shingles, and no bit's sum of votes can change by more. Bits of an item whose sum is further from 0 are *certain*: every similar
-window has them. An item is indexed under all values of its most certain 8-bit block that keep the certain bits; windows are looked up by
-each of their blocks and must then have all certain bits. So the fingerprints leave out windows, but none that is similar enough. Candidates
-are verified exactly: multiset Jaccard of their shingles (weights are multiplicities) of at least ``least``.
+window has them, and the other bits bound the Hamming distance. An item is indexed under all values of its most certain 16-bit block that keep the
+certain bits; windows are looked up by each of their blocks and must then have all certain bits. So the fingerprints leave out windows, but none that is
+similar enough. Candidates are verified exactly: multiset Jaccard of their shingles (weights are multiplicities) of at least ``least``.
 
 Cases: null or empty texts and items without words match nothing; an item of fewer than five words is one shingle of its whole sequence;
 equal rows give equal results; null ids are kept; empty tables give an empty result; only ids and texts of the inputs are used.
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Tables, broadcast_if_small, documents, let, row_key
 
-SHINGLE, LEAST, BLOCKS = 5, 0.8, 8
+SHINGLE, LEAST, BLOCKS, BITS = 5, 0.8, 4, 16
 
 
 def plain_words(text: Column) -> Column:
@@ -54,20 +58,26 @@ def certain_bits(g: Column, change: Column) -> Column:
     return _packed(F.transform(votes(g), lambda v: (v > change) | (v <= -change)))
 
 
-def byte_of(fp: Column, j) -> Column:
-    return F.call_function("shiftrightunsigned", fp, F.lit(8 * j)).bitwiseAND(255).cast("int")
+def block_of(fp: Column, j: int) -> Column:
+    return F.call_function("shiftrightunsigned", fp, F.lit(BITS * j)).bitwiseAND((1 << BITS) - 1).cast("int")
 
 
 def block_values(fp: Column) -> Column:
-    return F.array(*[F.struct(F.lit(j).alias("block"), byte_of(fp, j).alias("value")) for j in range(BLOCKS)])
+    return F.array(*[F.struct(F.lit(j).alias("block"), block_of(fp, j).alias("value")) for j in range(BLOCKS)])
 
 
 def most_certain_block(fp: Column, sure: Column) -> Column:
     """The block with the most certain bits: its number, value and certain bits."""
-    of = lambda j: F.struct(F.bit_count(byte_of(sure, j)).alias("n"), F.lit(j).alias("block"), byte_of(fp, j).alias("value"), byte_of(sure, j).alias("sure"))
+    of = lambda j: F.struct(F.bit_count(block_of(sure, j)).alias("n"), F.lit(j).alias("block"), block_of(fp, j).alias("value"), block_of(sure, j).alias("sure"))
     return F.array_max(F.array(*[of(j) for j in range(BLOCKS)]))
 
 
+def with_free_bits(value: Column, sure: Column) -> Column:
+    """All values of a block that have the certain bits of ``value``."""
+    free = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.getbit(sure, b) == 0)
+    return F.aggregate(free, F.array(value.bitwiseAND(sure)), lambda acc, b: F.concat(acc, F.transform(acc, lambda v: v.bitwiseOR(F.call_function("shiftleft", F.lit(1), b)))))
+
+
 def window_starts(at: Column, total: Column, n: Column, k: Column, n_words: Column, least: float) -> Column:
     """Starts of all windows of n words with enough of the positions ``at`` (ascending) to be similar enough to an item of ``total`` shingles.
 
@@ -90,7 +100,9 @@ def window_starts(at: Column, total: Column, n: Column, k: Column, n_words: Colu
 def weighted_similarity(a: Column, b: Column) -> Column:
     """Multiset Jaccard of two arrays."""
     times = lambda x, g: F.size(F.filter(x, lambda y: y == g))
-    common = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, g: acc + F.least(times(a, g), times(b, g)))
+    each = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, g: acc + F.least(times(a, g), times(b, g)))
+    # Where one of the two has no repeats, each common shingle counts once.
+    common = F.when((F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b)), F.size(F.array_intersect(a, b))).otherwise(each)
     return let(common, lambda c: c / (F.size(a) + F.size(b) - c))
 
 
@@ -128,7 +140,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     windows = tables.write(windows.withColumn("wfp", fingerprint(F.col("wg"))), "fingerprints")
     # An item stands under each value of its most certain block that has the certain bits.
     best = items.select("item_id", "n", "fp", "sure", most_certain_block(F.col("fp"), F.col("sure")).alias("b"))
-    values = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda v: v.bitwiseXOR(F.col("b.value")).bitwiseAND(F.col("b.sure")) == 0)
+    values = with_free_bits(F.col("b.value"), F.col("b.sure"))
     index = best.select("item_id", "n", "fp", "sure", "b.block", F.explode(values).alias("value"))
     probes = windows.select("_k", "_t", "doc_id", "n", "start", "wfp", F.explode(block_values(F.col("wfp"))).alias("x")).select("*", "x.block", "x.value").drop("x")
     near = probes.join(index, ["n", "block", "value"]).where(F.col("wfp").bitwiseXOR(F.col("fp")).bitwiseAND(F.col("sure")) == 0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ def load_vocabulary(path: str) -> list[bytes]:
     """A sentencepiece file's pieces as bytes, by rank: the end piece first, byte pieces as their byte. Pieces of several words are left out."""
     import sentencepiece
 
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no vocabulary at {path}: name a sentencepiece file (setting spark.wayfind.vocabulary, or the argument vocabulary)")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [END]
     for i in range(model.get_piece_size()):

@@ -4,13 +4,12 @@
 A piece that begins with the word mark only starts a word; so a text's lattice is the product of its words' lattices, and the probability
 of a text is the product of its words' marginal probabilities over all segmentations, times that of the end piece.
 
-*Scores.* The vocabulary's ranks give the first probabilities. They are fitted by EM to all distinct words of the training documents: each
-task runs forward-backward over the words of its partition, and expected piece counts are summed by piece. Only the
-vocabulary-sized table of scores (bounded by the tokenizer) reaches the driver and the tasks. A word of the training documents is one more
-edge across its lattice, with its relative frequency after absolute discounting; all other edges share what was discounted.
+*Scores.* The vocabulary's file has ranks in place of scores, so the first probabilities fall with the rank. They are fitted by EM to all distinct
+words of the training documents: each task runs forward-backward over the words of its partition, and expected piece counts are summed by piece. Only
+the vocabulary-sized table of scores (bounded by the tokenizer) reaches the driver and the tasks.
 
-*Scoring.* Word scores are joined to documents. The most frequent words (a bounded number) are sent to the tasks and cover most tokens;
-documents' other words are joined with the table of word scores by a shuffle. Nothing is dropped.
+*Scoring.* Word scores are joined to documents. The most frequent words of ordinary length (a bounded number, by a threshold from a histogram of
+counts) are sent to the tasks and cover most tokens; documents' other words are joined with the table of word scores by a shuffle. Nothing is dropped.
 
 Cases: null and empty texts are the end token alone; texts of any length are scored whole, as their distinct words with counts; a very long word
 is one lattice, linear in its length; equal rows get equal results; rows with a null id are training or held-out rows by the crc32 of an empty
@@ -33,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import Tables, documents, fold
 from .lattice import END, Lattice, load_vocabulary
 
+#: Where the query finds its vocabulary, unless the session's ``spark.wayfind.vocabulary`` names another file.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-TINY = 1e-9
+TINY, WORD_BYTES = 1e-9, 64
 
 
 def first_scores(n: int) -> np.ndarray:
@@ -116,7 +116,23 @@ def fit_scores(words: DataFrame, ends: int, pieces: list[bytes], rounds: int) ->
     return scores
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, rounds: int = 2, frequent: int = 200_000) -> DataFrame:
+def frequent_words(words: DataFrame, most: int) -> dict[bytes, tuple[float, float, int]]:
+    """(base, lattice, known) of at most ``most`` words of at most WORD_BYTES bytes, those with the highest counts: a histogram by steps of a
+    quarter of an octave has a threshold that so many words reach."""
+    short = words.where(F.length("word") <= WORD_BYTES).withColumn("step", F.floor(4 * F.log2(F.col("c") + F.col("m"))))
+    least = None
+    for row in short.groupBy("step").count().orderBy(F.desc("step")).collect():  # at most 4 * 63 rows
+        most -= row["count"]
+        if most < 0:
+            break
+        least = row["step"]
+    if least is None:
+        return {}
+    top = short.where(F.col("step") >= least).select("word", "b", "p", (F.col("c") > 0).alias("known")).toArrow().to_pydict()
+    return dict(zip(top["word"], zip(top["b"], top["p"], map(int, top["known"]), strict=True), strict=True))
+
+
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, rounds: int = 2, frequent: int = 200_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row. Rows whose fold is 0 of 10 are held out."""
     spark: SparkSession = docs.sparkSession
     tables = Tables(spark, "lm")
@@ -125,24 +141,15 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", vo
     counted = rows.mapInPandas(_count, "word binary, c long, m long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("m").alias("m"))
     counted = tables.write(counted, "counts")
     ends = rows.where("not held_out").count()
-    has = lambda n: F.count(F.when(F.col("c") == n, 1))
-    sums = counted.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), has(1).alias("n1"), has(2).alias("n2")).first()
+    sums = counted.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     train, distinct = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
-    pieces = load_vocabulary(vocabulary)
+    pieces = load_vocabulary(vocabulary or spark.conf.get("spark.wayfind.vocabulary", VOCABULARY))
     scores = fit_scores(counted, ends, pieces, rounds)
     words = counted.mapInPandas(functools.partial(_word_scores, pieces=pieces, scores=scores), "word binary, c long, m long, lp double")
-    # A word of the training documents is one more edge across its lattice, at its discounted share; the lattice gets what was discounted.
-    discount = (sums["n1"] + 0.5) / (sums["n1"] + 2 * sums["n2"] + 1)
-    left = discount * distinct / train if train else 1.0
-    lattice = F.col("lp") + math.log10(left)
     size = math.log10(train + 0.1 * (distinct + 1))
-    words = words.withColumns({
-        "b": F.log10(F.col("c") + 0.1) - size,
-        "p": F.when(F.col("c") > 0, F.log10((F.col("c") - discount) / max(train, 1) + F.pow(F.lit(10.0), lattice))).otherwise(lattice),
-    })
-    words = tables.write(words.drop("lp"), "words")
-    top = words.orderBy(F.desc(F.col("c") + F.col("m")), "word").limit(frequent).select("word", "b", "p", (F.col("c") > 0).alias("known")).toArrow().to_pydict()
-    hot = spark.sparkContext.broadcast(dict(zip(top["word"], zip(top["b"], top["p"], map(int, top["known"]), strict=True), strict=True)))
+    words = words.select("word", "c", "m", (F.log10(F.col("c") + 0.1) - size).alias("b"), F.col("lp").alias("p"))
+    words = tables.write(words, "words")
+    hot = spark.sparkContext.broadcast(frequent_words(words, frequent))
     # A row's number: ids may be null or repeat.
     at = F.struct(F.coalesce(docs[key].cast("long"), F.lit(-(2**63))).alias("k"), F.xxhash64(docs[text]).alias("t"))
     part = docs.select(at.alias("at"), docs[text].alias("text")).select(F.to_json("at").alias("at"), "text")
@@ -153,7 +160,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", vo
     cold = cold.groupBy("at").agg(F.sum(F.col("times") * F.col("b")).alias("b"), F.sum(F.col("times") * F.col("p")).alias("l"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("s"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     end_base = math.log10(ends + 0.1) - size
-    end_score = math.log10(max(ends - discount, 0.0) / max(train, 1) + left * math.exp(scores[pieces.index(END)]))
+    end_score = scores[pieces.index(END)] / math.log(10)
     whole = part.drop("words", "times").join(cold, "at", "left").select(
         F.col("at").alias("_at"),
         (F.col("n") + 1).alias("n_tokens"),

@@ -104,12 +104,10 @@ def _store(batches: Iterator[pd.DataFrame], least: int, most: int, bits: int) ->
 
 
 def feature_of(samples: bytes) -> str:
-    """Mean, deviation, zero crossings and entropy of the 8-bit samples."""
-    x = np.frombuffer(samples, np.uint8)
-    p = np.bincount(x, minlength=256) / max(1, len(x))
-    p = p[p > 0]
+    """Of the 8-bit samples: their sum, sum of squares (so mean and deviation), crossings of the middle, number of different values, and peak."""
+    x = np.frombuffer(samples, np.uint8).astype(np.int64)
     high = x >= 128
-    return f"mean={x.mean():.4f};std={x.std():.4f};zcr={int((high[1:] != high[:-1]).sum())};entropy={-(p * np.log2(p)).sum():.4f};peak={int(x.max())}"
+    return f"sum={x.sum()};squares={(x * x).sum()};crossings={(high[1:] != high[:-1]).sum()};values={len(np.unique(x))};peak={x.max()}"
 
 
 def _read(batches: Iterator[pd.DataFrame], borrow: bool) -> Iterator[pd.DataFrame]:
@@ -187,3 +185,35 @@ def media_columns(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def _sql() -> str:
+    le = lambda x: f"(select string_agg(substr(printf('%08X', ({x})::bigint), 7 - 2 * i, 2), '' order by i) from range(4) t(i))"
+    return f"""
+with texts as (
+  select doc_id, encode(coalesce(text, '')) as data from documents
+), sized as (
+  select doc_id, data, octet_length(data)::bigint as n_bytes, greatest(1, ceil(octet_length(data) / {UNIT}.0))::bigint * {UNIT} as payload_bytes from texts
+), payloads as (
+  select *, hex(data) || repeat('FF', payload_bytes - n_bytes) as h from sized
+), samples as (
+  select doc_id, i, ('0x' || substr(h, (2 * i + 1)::int, 2))::int as x from (select doc_id, h, unnest(range(payload_bytes)) as i from payloads)
+), described as (
+  select doc_id, sum(x) as total, sum(x * x) as squares, count(distinct x) as n_values, max(x) as peak,
+         sum(case when (x >= 128) <> before then 1 else 0 end) as crossings
+  from (select *, lag(x >= 128) over (partition by doc_id order by i) as before from samples) group by doc_id
+), ends as (
+  select doc_id, list(x::bigint order by i) as tail from samples join sized using (doc_id) where i >= payload_bytes - 32 group by doc_id
+), checked as (
+  select doc_id, xor(4294967295, list_reduce(list_prepend(4294967295, tail), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+         lambda y, r: xor(y >> 1, 3988292384 * (y & 1))))) as crc from ends
+), files as (
+  select *, from_hex('52494646' || {le("36 + payload_bytes")} || '57415645666D74201000000001000100' || {le(RATE)} || {le(RATE)} || '01000800' || '64617461' || {le("payload_bytes")} || h) as media from payloads
+)
+select doc_id, n_bytes, payload_bytes, sha256(from_hex(h)) as payload_sha256, crc::bigint as tail_crc32, octet_length(media)::bigint as media_bytes, sha256(media) as media_sha256,
+       'sum=' || total || ';squares=' || squares || ';crossings=' || crossings || ';values=' || n_values || ';peak=' || peak as feature
+from files join described using (doc_id) join checked using (doc_id)
+"""
+
+
+SQL = _sql()

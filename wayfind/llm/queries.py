@@ -25,5 +25,6 @@ SQL: dict[str, str] = {
     "op4_url_filter": url_filter.SQL,
     "op5_mixing": mixing.SQL,
     "op6_chat_format": chat.SQL,
+    "op7_media_columns": media.SQL,
     "op10_minhash_near_dedup": near_dedup.SQL,
 }
