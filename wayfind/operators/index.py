@@ -1,11 +1,13 @@
 """The index of a catalog, as DataFrames that are written once and read by every query.
 
 A catalog has the columns item_id, key, name, brand, category, mod, author, dlc, species, origin, price (double) and specs (map<string, double>).
-Items without a key are not indexed; specs and prices that are not finite and non-negative are left out, and both are counted in ``skipped``.
+Items without a key are not indexed; specs and prices that are not finite and non-negative are left out, and both are counted in ``skipped``. A
+catalog may also have price_text, the price as it was written, which only the counters read.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,20 +31,29 @@ class Index:
     phrase_trigrams: DataFrame
     facets: DataFrame
     numeric: DataFrame
+    firsts: DataFrame
     skipped: DataFrame
     meta: DataFrame
 
-    TABLES = ("items", "fields", "postings", "vocabulary", "trigrams", "phrases", "phrase_trigrams", "facets", "numeric", "skipped", "meta")
-
-    def write(self, path: str) -> Index:
-        """To a new path: readers change over when all is there. Posting-like tables are clustered by what queries join on, so parquet statistics prune."""
-        sort = {"postings": ["token"], "vocabulary": ["token"], "trigrams": ["gram"], "phrase_trigrams": ["gram"], "numeric": ["spec_id", "value"], "facets": ["facet", "id"]}
-        for t in self.TABLES:
-            df: DataFrame = getattr(self, t)
-            if t in sort:
-                df = df.repartitionByRange(*sort[t]).sortWithinPartitions(*sort[t])
-            df.write.mode("overwrite").parquet(f"{path}/{t}")
-        return self.read(self.items.sparkSession, path)
+    TABLES = ("items", "fields", "postings", "vocabulary", "trigrams", "phrases", "phrase_trigrams", "facets", "numeric", "firsts", "skipped", "meta")
+
+    def write(self, path: str, more: DataFrame | None = None) -> Index:
+        """To a new path: readers change over when all is there. Items and fields are written first, and all other tables come from what is
+        written, so texts are normalised once; they are written side by side. Numeric tables are sorted by what constant filters ask for. more: specs of a second source, as for fill_specs."""
+        spark = self.items.sparkSession
+        put = lambda name, df: df.write.mode("overwrite").parquet(f"{path}/{name}")
+        put("items", self.items)
+        put("fields", self.fields)
+        items, fields = (spark.read.parquet(f"{path}/{t}") for t in ("items", "fields"))
+        put("postings", postings_of(fields).sortWithinPartitions("token"))
+        postings = spark.read.parquet(f"{path}/postings")
+        put("vocabulary", vocabulary_of(postings, items.count()))
+        made = derived(items, fields, postings, spark.read.parquet(f"{path}/vocabulary"), more)
+        made["numeric"] = made["numeric"].sortWithinPartitions("spec_id", "value")
+        rest = {t: made.get(t, getattr(self, t)) for t in self.TABLES if t not in ("items", "fields", "postings", "vocabulary")}
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(lambda x: put(*x), rest.items()))
+        return self.read(spark, path)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Index:
@@ -54,7 +65,7 @@ def valid_items(catalog: DataFrame) -> DataFrame:
 
 
 def item_fields(items: DataFrame) -> DataFrame:
-    """(item_id, field, prio, norm, tokens): texts are normalised once for each different one, fields with an empty form are left out."""
+    """(item_id, field, prio, norm, tokens): fields with an empty form are left out."""
     long = items.select("item_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("prio"), F.col(f).alias("raw")) for i, f in enumerate(FIELDS)])).alias("x"))
     long = long.select("item_id", "x.*").where("raw is not null").withColumn("norm", T.normalize(F.col("raw")))
     return long.where("norm <> ''").withColumn("tokens", T.tokens(F.col("norm"))).drop("raw")
@@ -92,15 +103,21 @@ def facet_counts(items: DataFrame) -> DataFrame:
 
 
 def numeric_of(items: DataFrame) -> DataFrame:
-    """(spec_id, value, item_id, source), with the price as the spec ``price``."""
-    specs = items.select("item_id", F.explode(F.map_concat(F.coalesce("specs", F.expr("cast(map() as map<string,double>)")), F.create_map(F.lit("price"), F.col("price").cast("double")))).alias("spec_id", "value"))
-    return specs.where(T.finite(F.col("value"))).select("spec_id", "value", "item_id", F.lit(None).cast("string").alias("source"))
+    """(spec_id, value, item_id, source), with the price as the spec ``price``, which stands before a spec of that name."""
+    specs = items.select("item_id", F.explode("specs").alias("spec_id", "value")).where("spec_id <> 'price'")
+    rows = specs.unionByName(items.select("item_id", F.lit("price").alias("spec_id"), F.col("price").cast("double").alias("value")))
+    return rows.where(T.finite(F.col("value"))).select("spec_id", "value", "item_id", F.lit(None).cast("string").alias("source"))
 
 
 def skipped_of(catalog: DataFrame) -> DataFrame:
-    """(reason, n): items without a key, and invalid specs by id."""
+    """(reason, n): items without a key, and invalid specs and prices by id."""
     no_key = catalog.where("key is null or key = ''").agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit("no-id").alias("reason"), "n")
-    bad = valid_items(catalog).select(F.explode("specs").alias("spec", "value")).where(~T.finite(F.col("value")))
+    items = valid_items(catalog)
+    bad = items.select(F.explode("specs").alias("spec", "value")).where(~T.finite(F.col("value"))).select("spec")
+    if "price" in items.columns:
+        price = F.col("price").cast("double")
+        given = F.coalesce(F.col("price_text") != "", F.lit(False)) if "price_text" in items.columns else price.isNotNull() & ~F.isnan(price)  # without a text, not a number is no price
+        bad = bad.unionByName(items.where(given & ~F.coalesce(T.finite(price), F.lit(False))).select(F.lit("price").alias("spec")))
     return no_key.unionByName(bad.groupBy(F.concat(F.lit("invalid-spec:"), "spec").alias("reason")).agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -111,25 +128,27 @@ def signature_of(catalog: DataFrame) -> DataFrame:
     )
 
 
+def derived(items: DataFrame, fields: DataFrame, postings: DataFrame, vocabulary: DataFrame, more: DataFrame | None = None) -> dict[str, DataFrame]:
+    from wayfind.operators.filters import first_specs
+
+    numeric = numeric_of(items) if more is None else fill_specs(numeric_of(items), more)
+    return {
+        "trigrams": trigrams_of(vocabulary, "token"), "phrases": fields.select("norm", "field").distinct(), "phrase_trigrams": trigrams_of(fields, "norm"),
+        "facets": facets_of(items), "numeric": numeric, "firsts": first_specs(numeric),
+    }
+
+
 def build_index(catalog: DataFrame) -> Index:
     items = valid_items(catalog)
-    n = items.count()
     fields = item_fields(items)
     postings = postings_of(fields)
-    vocabulary = vocabulary_of(postings, n)
-    return Index(
-        items=items,
-        fields=fields,
-        postings=postings,
-        vocabulary=vocabulary,
-        trigrams=trigrams_of(vocabulary, "token"),
-        phrases=fields.select("norm", "field").distinct(),
-        phrase_trigrams=trigrams_of(fields, "norm"),
-        facets=facets_of(items),
-        numeric=numeric_of(items),
-        skipped=skipped_of(catalog),
-        meta=signature_of(catalog),
-    )
+    vocabulary = vocabulary_of(postings, items.count())
+    return Index(items=items, fields=fields, postings=postings, vocabulary=vocabulary, skipped=skipped_of(catalog), meta=signature_of(catalog), **derived(items, fields, postings, vocabulary))
+
+
+def low_specs(coverage: DataFrame, least: float = 0.8) -> DataFrame:
+    """Specs that fewer than ``least`` of the items have, for which a second source is read."""
+    return coverage.where(F.col("coverage") < least)
 
 
 def spec_coverage(items: DataFrame, numeric: DataFrame, specs: list[str]) -> DataFrame:

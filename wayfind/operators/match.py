@@ -24,6 +24,14 @@ def choose(of: str, values: dict[str, float]):
     return out
 
 
+def choose_text(of, values: dict[str, str]):
+    """The value for a key; null for others."""
+    out = F.lit(None).cast("string")
+    for k, v in values.items():
+        out = F.when(of == k, F.lit(v)).otherwise(out)
+    return out
+
+
 def exact_hits(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     out = terms.join(vocabulary.select("token"), F.col("text") == F.col("token"))
     return out.select("query_id", "pos", "token", F.lit("exact").alias("kind"), F.lit(1.0).alias("sim"), F.lit(0).alias("dist"))
@@ -72,9 +80,9 @@ def token_hits(terms: DataFrame, vocabulary: DataFrame, trigrams: DataFrame) ->
     return direct.unionByName(fuzzy_hits(unknown, trigrams))
 
 
-def best_fields(hits: DataFrame, postings: DataFrame) -> DataFrame:
+def best_fields(hits: DataFrame, postings: DataFrame, field_weight: dict[str, float] = FIELD_WEIGHT, kind_weight: dict[str, float] = KIND_WEIGHT) -> DataFrame:
     """(query_id, pos, item_id, value, field, kind, token, sim): a term's best hit in each item. Equal values: the field that comes first, then the token."""
-    rows = hits.join(postings, "token").withColumn("value", choose("field", FIELD_WEIGHT) * choose("kind", KIND_WEIGHT) * F.col("sim"))
+    rows = hits.join(postings, "token").withColumn("value", choose("field", field_weight) * choose("kind", kind_weight) * F.col("sim"))
     best = F.min_by(F.struct("value", "field", "kind", "token", "sim"), F.struct(-F.col("value"), "prio", "token"))
     return rows.groupBy("query_id", "pos", "item_id").agg(best.alias("b")).select("query_id", "pos", "item_id", "b.*")
 

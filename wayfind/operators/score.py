@@ -21,12 +21,13 @@ def merge_phrases(best: DataFrame, phrases: DataFrame, terms: DataFrame, fields:
     items = phrases.join(fields.select(F.col("norm").alias("matched"), "item_id", "field", "prio"), "matched")
     kind = F.when(F.col("dist") <= 1, "fuzzy1").otherwise("fuzzy2")
     items = items.withColumn("kind", kind).withColumn("value", weigh)
-    one = F.min_by(F.struct("value", "field", "kind", F.col("matched").alias("token"), "sim", (F.col("dist") >= F.col("d")).alias("far")), F.struct(-F.col("value"), "prio"))
+    one = F.min_by(F.struct("value", "field", "kind", F.col("matched").alias("token"), "sim", (F.col("dist") >= F.col("d")).alias("far"), "dist"), F.struct(-F.col("value"), "prio"))
     items = items.groupBy("query_id", "item_id", "first", "width").agg(one.alias("b"))
     covered = items.select("query_id", "item_id", F.explode(F.sequence("first", F.col("first") + F.col("width") - 1)).alias("seq"), "b.*")
     covered = covered.join(terms.select("query_id", "seq", "pos"), ["query_id", "seq"]).drop("seq")
-    both = best.withColumn("far", F.lit(False)).unionByName(covered.select("query_id", "pos", "item_id", "value", "field", "kind", "token", "sim", "far"))
-    pick = F.max_by(F.struct("value", "field", "kind", "token", "sim", "far"), F.struct("value", ~F.col("far")))
+    names = ("value", "field", "kind", "token", "sim", "far", "dist", "phrase")
+    both = best.withColumns({"far": F.lit(False), "dist": F.lit(0), "phrase": F.lit(False)}).unionByName(covered.withColumn("phrase", F.lit(True)).select("query_id", "pos", "item_id", *names))
+    pick = F.max_by(F.struct(*names), F.struct("value", ~F.col("far")))
     return both.groupBy("query_id", "pos", "item_id").agg(pick.alias("b")).select("query_id", "pos", "item_id", "b.*")
 
 

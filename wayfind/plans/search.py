@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,9 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfind.functions import text as T
-from wayfind.operators import filters, match, score
+from wayfind.operators import compat, filters, match, reasons, score
 from wayfind.operators.index import Index
 from wayfind.plans.query_parser import Parser
+from wayfind.sources.workspace import new_folder
 
 PARSED = (
     "query_id long, terms array<struct<pos int, text string>>, concepts array<struct<c int, kind string, value string, confidence double, words int, text string>>, "
@@ -33,8 +35,19 @@ def parse_queries(queries: DataFrame, locales: tuple[str, ...] = ("en",)) -> Dat
     return rows.mapInPandas(functools.partial(_parse, locales=locales), PARSED)
 
 
-def search(index: Index, parsed: DataFrame, chosen: DataFrame | None = None, most: int = score.MOST) -> DataFrame:
-    """(query_id, rank, item_id, key, score, coverage). chosen: facets that a user picked, (query_id, facet, id)."""
+@dataclass
+class Matched:
+    """What the parts of queries match: best hits of terms, items of concepts, and scores before ranking."""
+
+    best: DataFrame
+    facet_items: DataFrame
+    concepts: DataFrame
+    constraints: DataFrame
+    scored: DataFrame
+
+
+def matched(index: Index, parsed: DataFrame, chosen: DataFrame | None = None, ranges: DataFrame | None = None) -> Matched:
+    """chosen: facets that a user picked, (query_id, facet, id); ranges: specs that a user limited, (query_id, spec_id, low, high)."""
     terms = parsed.select("query_id", F.explode("terms").alias("t")).select("query_id", "t.*")
     concepts = parsed.select("query_id", F.explode("concepts").alias("x")).select("query_id", "x.*")
     constraints = parsed.select("query_id", F.explode("constraints").alias("x")).select("query_id", "x.*")
@@ -44,11 +57,15 @@ def search(index: Index, parsed: DataFrame, chosen: DataFrame | None = None, mos
     known = index.vocabulary.select(F.col("token").alias("text"), "idf", F.lit(True).alias("known"))
     terms = terms.join(known, "text", "left").select("query_id", "pos", "text", F.coalesce("idf", F.lit(1.0)).alias("idf"), F.coalesce("known", F.lit(False)).alias("known"))
     # What is allowed, for queries that restrict anything.
-    sets = filters.constraint_hits(constraints, filters.first_specs(index.numeric)).select("query_id", F.concat(F.lit("c:"), F.col("n").cast("string")).alias("n"), "item_id")
+    sets = filters.constraint_hits(constraints, index.firsts).select("query_id", F.concat(F.lit("c:"), F.col("n").cast("string")).alias("n"), "item_id")
     asked = constraints.select("query_id", F.concat(F.lit("c:"), F.col("n").cast("string")).alias("n"))
     if chosen is not None:
         sets = sets.unionByName(filters.facet_hits(chosen, index.facets))
         asked = asked.unionByName(chosen.join(asking.select("query_id"), "query_id", "left_semi").select("query_id", F.concat(F.lit("facet:"), "facet").alias("n")).distinct())
+    if ranges is not None:
+        ranges = ranges.join(asking.select("query_id"), "query_id", "left_semi").withColumn("n", F.concat(F.lit("range:"), "spec_id"))
+        sets = sets.unionByName(F.broadcast(ranges).join(index.numeric.select("spec_id", "value", "item_id"), "spec_id").where(filters.within(F.col("value"), F.col("low"), F.col("high"))).select("query_id", "n", "item_id"))  # one row for each field of a form
+        asked = asked.unionByName(ranges.select("query_id", "n").distinct())
     asked = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_sets"))
     allowed = filters.intersect(sets, asked)
     # Terms.
@@ -70,9 +87,59 @@ def search(index: Index, parsed: DataFrame, chosen: DataFrame | None = None, mos
     scored = scored.unionByName(allowed.join(bare, "query_id", "left_semi").select("query_id", "item_id", F.lit(1.0).alias("score"), F.lit(1.0).alias("coverage")))
     restricted = scored.join(asked.select("query_id", F.lit(True).alias("restricted")), "query_id", "left").join(allowed.withColumn("ok", F.lit(True)), ["query_id", "item_id"], "left")
     scored = restricted.where("restricted is null or ok").drop("restricted", "ok")
-    names = index.items.select("item_id", "key", T.normalize(F.col("name")).alias("name_norm"))
-    return score.rank(scored, names, most)
+    return Matched(best, facet_items, concepts, constraints, scored)
+
+
+def names_of(index: Index) -> DataFrame:
+    return index.items.select("item_id", "key", T.normalize(F.col("name")).alias("name_norm"))
+
+
+def search(index: Index, parsed: DataFrame, chosen: DataFrame | None = None, most: int = score.MOST, ranges: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, item_id, key, score, coverage)."""
+    return score.rank(matched(index, parsed, chosen, ranges).scored, names_of(index), most)
+
+
+def explain(index: Index, parsed: DataFrame, chosen: DataFrame | None = None, most: int = score.MOST) -> DataFrame:
+    """The results of search() with their reasons, and at most four of them as lines of text."""
+    m = matched(index, parsed, chosen)
+    ranked = score.rank(m.scored, names_of(index), most)
+    rows = reasons.term_reasons(m.best).unionByName(reasons.concept_reasons(m.facet_items, m.concepts))
+    rows = rows.join(ranked.select("query_id", "item_id"), ["query_id", "item_id"], "left_semi").unionByName(reasons.constraint_reasons(ranked, m.constraints, index.firsts))
+    return ranked.join(reasons.gathered(rows), ["query_id", "item_id"], "left")
+
+
+def target_of(index: Index, parsed: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+    """(query_id, target): the item that a compatibility query is about: the selected one, (query_id, key), or the one that its words name
+    exactly or begin, where that is clear. Misspelt words name none."""
+    asked = parsed.where("context is not null")
+    words = asked.where("context = 'query'").select("query_id", F.posexplode("target").alias("pos", "text"))
+    idf = index.vocabulary.select(F.col("token").alias("text"), "idf")
+    words = words.join(idf, "text", "left").select("query_id", "pos", "text", F.coalesce("idf", F.lit(1.0)).alias("idf"))
+    hits = match.exact_hits(words, index.vocabulary).unionByName(match.prefix_hits(words, index.vocabulary))
+    best = match.best_fields(hits, index.postings).withColumn("far", F.lit(False))
+    ranked = score.rank(score.score_items(best, words), names_of(index), relative=0.0, least=0.0)
+    found = score.resolve_targets(ranked).join(index.items.select("item_id", F.col("key").alias("target")), "item_id").select("query_id", "target")
+    if selected is not None:
+        found = found.unionByName(asked.where("context = 'selected'").select("query_id").join(selected.select("query_id", F.col("key").alias("target")), "query_id"))
+    return found
+
+
+def search_compatible(index: Index, parsed: DataFrame, vehicles: DataFrame, implements: DataFrame, selected: DataFrame | None = None, most: int = score.MOST) -> DataFrame:
+    """(query_id, rank, item_id, key, score, coverage, detail): partners of each compatibility query's target, by declared evidence only. vehicles and
+    implements: as for compat.compatible."""
+    found = compat.for_targets(target_of(index, parsed, selected), vehicles, implements).withColumnRenamed("item", "key")
+    names = names_of(index)
+    found = found.join(names.select("item_id", "key"), "key")
+    found = found.withColumn("detail", F.concat("evidence", F.when(F.coalesce(~F.col("power_ok"), F.lit(False)), F.lit(reasons.TOO_WEAK)).otherwise(F.lit(""))))
+    ranked = score.rank(found.select("query_id", "item_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"), F.lit(1.0).alias("coverage")), names, most)
+    return ranked.join(found.select("query_id", "item_id", "detail"), ["query_id", "item_id"])
+
+
+def kept(parsed: DataFrame) -> DataFrame:
+    """parsed, written once: the many parts of a search read it, and the scan of texts is not repeated for each."""
+    parsed.write.parquet(path := new_folder(parsed.sparkSession, "parsed"))
+    return parsed.sparkSession.read.schema(parsed.schema).parquet(path)
 
 
-def search_many(index: Index, queries: DataFrame, locales: tuple[str, ...] = ("en",), chosen: DataFrame | None = None) -> DataFrame:
-    return search(index, parse_queries(queries, locales), chosen)
+def search_many(index: Index, queries: DataFrame, locales: tuple[str, ...] = ("en",), chosen: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:
+    return search(index, kept(parse_queries(queries, locales)), chosen, ranges=ranges)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from wayfind import oracle as O  # noqa: E741
 from wayfind.functions import text as T
-from wayfind.operators import compat, diagnostics, filters, index, match, score
+from wayfind.operators import compat, diagnostics, filters, index, match, reasons, score
 from wayfind.plans.lexicon import STOPWORDS
-from wayfind.plans.search import parse_queries, search_many
+from wayfind.plans.search import explain, kept, parse_queries, search_compatible, search_many
 from wayfind.sources import catalogs
 from wayfind.sources.workspace import new_folder
 
@@ -117,11 +117,25 @@ def finite_filter(spark, sf_dir):
     return table(spark, sf_dir, "customer").where(T.finite(F.col("c_acctbal"))).select("c_custkey", "c_acctbal")
 
 
-@query("skip_counters", "select 'no-id' as reason, count(*) as n from customer where c_nationkey = 0 having count(*) > 0 union all select 'invalid-spec:balance', count(*) from customer where c_nationkey <> 0 and not (c_acctbal >= 0) having count(*) > 0")
+_PRICE = "case when c_custkey % 10 = 1 then 'abc' when c_custkey % 10 = 2 then '' when c_custkey % 10 = 3 then null else c_acctbal::varchar end"
+_INVALID = "not coalesce(isfinite(try_cast({0} as double)) and try_cast({0} as double) >= 0, false)"
+
+
+@query("skip_counters", f"select 'no-id' as reason, count(*) as n from customer where c_nationkey = 0 having count(*) > 0 union all select 'invalid-spec:balance', count(*) from customer where c_nationkey <> 0 and not (c_acctbal >= 0) having count(*) > 0 union all select 'invalid-spec:price', count(*) from (select *, {_PRICE} as p from customer) where c_nationkey <> 0 and p <> '' and {_INVALID.format('p')} having count(*) > 0")
 def skip_counters(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     key = F.when(F.col("c_nationkey") == 0, "").otherwise(F.col("c_custkey").cast("string"))
-    return index.skipped_of(c.select(key.alias("key"), F.create_map(F.lit("balance"), F.col("c_acctbal")).alias("specs")))
+    by = F.col("c_custkey") % 10
+    price = F.when(by == 1, "abc").when(by == 2, "").when(by != 3, F.col("c_acctbal").cast("string"))
+    rows = c.select(key.alias("key"), F.create_map(F.lit("balance"), F.col("c_acctbal")).alias("specs"), price.alias("price_text"))
+    return index.skipped_of(rows.withColumn("price", F.col("price_text").try_cast("double")))
+
+
+@query("low_coverage", "select spec_id, coverage from (select 'power' as spec_id, count(*) filter (p_size % 3 <> 0) / count(*) as coverage from part union all select 'price', count(p_retailprice) / count(*) from part union all select 'weight', 0.0::double) where coverage < 0.8")
+def low_coverage(spark, sf_dir):
+    items = catalogs.parts(spark, sf_dir)
+    numeric = index.numeric_of(items).where("spec_id <> 'power' or value % 3 <> 0")
+    return index.low_specs(index.spec_coverage(items, numeric, ["power", "price", "weight"]))
 
 
 @query("origin_enrichment", "select s_suppkey, n_name as brand, r_name as category, case when s_acctbal < 0 then 'mod' when r_name = 'ASIA' then 'dlc' else 'base' end as origin from supplier left join nation on s_nationkey = n_nationkey left join region on n_regionkey = r_regionkey")
@@ -273,22 +287,24 @@ def prefix_match(spark, sf_dir):
     return match.prefix_hits(asked_terms(spark), part_vocabulary(spark, sf_dir)).select("query_id", "pos", "token", F.round("sim", 6).alias("sim"))
 
 
-_DOC_WORDS = f"""vocabulary as (select distinct token from (select unnest(string_split({O.normalize('text')}, ' ')) as token from documents) where token <> ''),
-words as (select token, gram, count(*) as times from (select token, unnest({O.grams('token')}) as gram from vocabulary) group by all)"""
+# Grams and distances are of bytes: each byte of a token as a character of its own.
+_BYTES = "array_to_string(list_transform(range(strlen(token)), lambda i: chr(('0x' || substr(hex(encode(token)), (2 * i + 1)::int, 2))::int)), '')"
+_DOC_WORDS = f"""named as (select distinct token from (select unnest(string_split({O.normalize('text')}, ' ')) as token from documents) where token <> ''),
+vocabulary as (select token, {_BYTES} as b from named),
+words as (select token, b, gram, count(*) as times from (select token, b, unnest({O.grams('b')}) as gram from vocabulary) group by all)"""
 _MISSPELT = ["thatt", "tehre", "ofthe", "thign", "documnet", "schlich", "nicth", "porque"]
 
 
 def _doc_terms(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(T.tokens(T.normalize(F.col("text"))))).alias("token")).distinct()
-    ascii_only = d.where(F.octet_length("token") == F.length("token"))
     terms = spark.createDataFrame([(1, i + 1, w) for i, w in enumerate(_MISSPELT)], "query_id long, pos int, text string")
-    return terms, index.trigrams_of(ascii_only, "token")
+    return terms, index.trigrams_of(d, "token")
 
 
 _DOC_TERMS = "terms(query_id, pos, text) as (values " + ", ".join(f"(1::bigint, {i + 1}, '{w}')" for i, w in enumerate(_MISSPELT)) + ")"
 _DOC_NEAR = f"""shared as (
-  select query_id, pos, text, d, token, sum(times) as shared from (select *, unnest({O.grams('text')}) as gram from (select *, {O.max_distance('length(text)')} as d from terms)) join words using (gram)
-  where strlen(token) = length(token) and abs(length(token) - length(text)) <= d group by query_id, pos, text, d, token having sum(times) >= greatest(1, length(text) - 3 * d)
+  select query_id, pos, text, d, token, b, sum(times) as shared from (select *, unnest({O.grams('text')}) as gram from (select *, {O.max_distance('length(text)')} as d from terms)) join words using (gram)
+  where abs(length(b) - length(text)) <= d group by query_id, pos, text, d, token, b having sum(times) >= greatest(1, length(text) - 3 * d)
   qualify row_number() over (partition by query_id, pos order by sum(times) desc, token) <= 200)"""
 
 
@@ -298,7 +314,7 @@ def top_candidates(spark, sf_dir):
     return match.gram_candidates(terms.withColumn("d", T.max_distance(F.length("text"))), grams).select("pos", "word", "shared")
 
 
-@query("fuzzy_match", f"with {_DOC_WORDS}, {_DOC_TERMS}, {_DOC_NEAR}, near as (select *, {O.osa('text', 'token')} as dist from shared) select pos, token, dist::int as dist, round(1 - dist / greatest(length(text), length(token)), 6) as sim from near where dist <= d")
+@query("fuzzy_match", f"with {_DOC_WORDS}, {_DOC_TERMS}, {_DOC_NEAR}, near as (select *, {O.osa('text', 'b')} as dist from shared) select pos, token, dist::int as dist, round(1 - dist / greatest(length(text), length(b)), 6) as sim from near where dist <= d")
 def fuzzy_match(spark, sf_dir):
     return match.fuzzy_hits(*_doc_terms(spark, sf_dir)).select("pos", "token", "dist", F.round("sim", 6).alias("sim"))
 
@@ -407,7 +423,7 @@ def phrase_fuzzy(spark, sf_dir):
 # ---- compatibility: customers as vehicles, suppliers as implements
 
 
-_PAIRS = """bought as (select distinct o_custkey as v, l_suppkey as i from orders join lineitem on o_orderkey = l_orderkey where o_orderkey % 7 = 0),
+_PAIRS = """bought as (select distinct o_custkey as v, l_suppkey as i from orders join lineitem on o_orderkey = l_orderkey),
 pairs as (
   select v, i, max(l) as l, string_agg(distinct e, '; ' order by e) as e from (
     select v, i, 2 as l, 'combination' as e from bought where v in (select c_custkey from customer) and i in (select s_suppkey from supplier)
@@ -419,26 +435,26 @@ pairs as (
 )"""
 
 
-def _pairs(spark, sf_dir):
+def _sides(spark, sf_dir):
     c, s, o, li = (table(spark, sf_dir, t) for t in ("customer", "supplier", "orders", "lineitem"))
-    bought = o.where("o_orderkey % 7 = 0").join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("k"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("i")).distinct()
+    bought = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("k"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("i")).distinct()
     bought = bought.groupBy("k").agg(F.collect_list("i").alias("combinations"))
     joint = lambda n: F.array(F.concat(F.lit("n"), F.col(n).cast("string")))
     none = F.array().cast("array<string>")
     v = c.join(bought, F.col("c_custkey") == F.col("k"), "left").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_acctbal").alias("power"), joint("c_nationkey").alias("joints"), F.coalesce("combinations", none).alias("combinations"))
     i = s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("key"), F.col("s_acctbal").alias("needed"), joint("s_nationkey").alias("joints"), none.alias("combinations"))
-    return compat.compatible(v, i)
+    return v, i
 
 
 @query("compat_pairs", f"with {_PAIRS} select vehicle, implement, level, evidence, power_ok, round(score, 6) as score from judged")
 def compat_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("vehicle", "implement", "level", "evidence", "power_ok", F.round("score", 6).alias("score"))
+    return compat.compatible(*_sides(spark, sf_dir)).select("vehicle", "implement", "level", "evidence", "power_ok", F.round("score", 6).alias("score"))
 
 
 @query("compat_rank", f"with {_PAIRS} select query_id, rank::int as rank, item, level, round(score, 6) as score from (select query_id, item, level, score, row_number() over (partition by query_id order by score desc, item) as rank from (select 1::bigint as query_id, implement as item, level, score from judged where vehicle = 'c1' union all select 2, vehicle, level, score from judged where implement = 's1')) where rank <= 300")
 def compat_rank(spark, sf_dir):
     targets = spark.createDataFrame([(1, "c1"), (2, "s1")], "query_id long, target string")
-    rows = compat.for_targets(targets, _pairs(spark, sf_dir)).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "item")))
+    rows = compat.for_targets(targets, *_sides(spark, sf_dir)).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "item")))
     return rows.where("rank <= 300").select("query_id", "rank", "item", "level", F.round("score", 6).alias("score"))
 
 
@@ -482,9 +498,36 @@ def failure_sessions(spark, sf_dir):
     return e.groupBy("user_id", F.session_window("ts", "12 hours")).agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"))
 
 
-@query("constraint_text", "select p_partkey, case when abs(x) >= 100 or x = floor(x) then printf('%.0f', round_even(x, 0)) else printf('%.1f', round_even(x, 1)) end as shown from (select p_partkey, p_size * 0.7355::double as x from part)")
+_NUM = "case when abs({0}) >= 100 or {0} = floor({0}) then printf('%.0f', round_even({0}, 0)) else printf('%.1f', round_even({0}, 1)) end"
+
+
+@query("constraint_text", f"select p_partkey, {_NUM.format('v')} || ' kW (' || {_NUM.format('(v / 0.7355)')} || ' cv) ∈ [' || printf('%.1f', round_even(v - 1, 1)) || ', ' || case when p_size > 25 then '+inf' else printf('%.1f', round_even(v + 1, 1)) end || ']' as power, {_NUM.format('p_retailprice')} || ' ∈ [-inf, 1000.0]' as price from (select *, p_size * 0.7355::double as v from part)")
 def constraint_text(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", filters.number_text(F.col("p_size") * F.lit(0.7355)).alias("shown"))
+    p = table(spark, sf_dir, "part").withColumn("v", F.col("p_size") * F.lit(0.7355))
+    none = F.lit(None).cast("double")
+    power = reasons.range_text(F.col("v"), F.lit("power"), F.lit("cv"), F.lit(0.7355), F.col("v") - 1, F.when(F.col("p_size") <= 25, F.col("v") + 1))
+    price = reasons.range_text(F.col("p_retailprice"), F.lit("money"), F.lit(None).cast("string"), none, none, F.lit(1000.0))
+    return p.select("p_partkey", power.alias("power"), price.alias("price"))
+
+
+@query("reason_lines", f"with {O.PARTS}, {TERMS}, {ENDS}, {O.HITS}, worded as (select query_id, item_id, pos, '✓ ' || case when kind in ('exact', 'prefix') then 'Exact match' else 'Approximate match' end || ' (' || field || ')' || case kind when 'fuzzy1' then ': distância 1' when 'fuzzy2' then ': distância 2+' else '' end as line from best where query_id in (1, 2, 3, 5, 10, 12)), {O.RANKED}, candidates as (select * from scored where query_id in (1, 2, 3, 5, 10, 12)), {O.CUT} select query_id, key, string_agg(line, chr(10) order by pos) as lines from ranked join worded using (query_id, item_id) where rank <= 300 group by query_id, key, rank")
+def reason_lines(spark, sf_dir):
+    """Lines of the results of queries of words (no phrase nor constraint)."""
+    built = index.build_index(catalogs.parts(spark, sf_dir)).write(new_folder(spark, "index"))
+    words = kept(parse_queries(asked(spark).where(F.col("query_id").isin(1, 2, 3, 5, 10, 12)), ()))
+    return explain(built, words).select("query_id", "key", F.array_join("lines", "\n").alias("lines"))
+
+
+@query("compat_search", f"with {_PAIRS} select 1::bigint as query_id, row_number() over (order by score desc, implement)::int as rank, implement as key, round(score, 6) as score from judged where vehicle = 'c7' qualify rank <= 300")
+def compat_search(spark, sf_dir):
+    """A query about an item by its name, and one about the selected item: partners of the one that its words name."""
+    v, i = _sides(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    of = lambda df, name: df.select(F.xxhash64("key").alias("item_id"), "key", name.alias("name"), *[none.alias(c) for c in ("brand", "category", "mod", "author", "dlc")], F.lit("vehicle").alias("species"), F.lit("base").alias("origin"), F.lit(None).cast("double").alias("price"), F.expr("cast(map() as map<string,double>)").alias("specs"))
+    catalog = of(v, F.when(F.col("key") == "c7", "Tractor Seven").otherwise("Unit")).unionByName(of(i, F.lit("Implement")))
+    built = index.build_index(catalog).write(new_folder(spark, "index"))
+    asked_ = spark.createDataFrame([(1, "compatible with tractor seven"), (2, "compatible with tractr seven zzz"), (3, "compatible with unit")], "query_id long, text string")
+    return search_compatible(built, kept(parse_queries(asked_)), v, i).select("query_id", "rank", "key", F.round("score", 6).alias("score"))
 
 
 @query("generated_catalog")

@@ -18,14 +18,20 @@ def first_text(*names: str):
 
 
 def from_raw(raw: DataFrame) -> DataFrame:
-    """A catalog from raw rows as in the XML files: fallbacks from titles to ids, numbers from texts, origin from what the item has."""
+    """A catalog from raw rows as in the XML files: fallbacks from titles to ids, numbers from texts, origin from what the item has. Of specs with one
+    id the last counts. A spec whose text is no number is null, and
+    ``price_text`` keeps the price as it was written, for the index's counters."""
     number = lambda c: c.try_cast("double")
-    specs = F.map_from_entries(F.array_distinct(F.transform(F.coalesce("spec", F.array().cast("array<struct<_id string, _value string, _unit string>>")), lambda s: F.struct(s["_id"], number(s["_value"])))))
+    given = F.filter(F.coalesce("spec", F.array().cast("array<struct<_id string, _value string, _unit string>>")), lambda x: x["_id"].isNotNull())
+    later = lambda x, i: F.exists(F.slice(given, i + 2, F.greatest(F.size(given), F.lit(1))), lambda y: y["_id"] == x["_id"])
+    last = F.filter(given, lambda x, i: ~later(x, i))
+    specs = F.map_from_entries(F.transform(last, lambda x: F.struct(x["_id"], number(x["_value"]))))
     origin = F.when(first_text("_origin").isNotNull(), F.col("_origin")).when(first_text("_modName").isNotNull(), "mod").when(first_text("_dlcTitle").isNotNull(), "dlc").otherwise("base")
     return raw.select(
         F.xxhash64("_xmlFilename", "_name").alias("item_id"), F.col("_xmlFilename").alias("key"), F.col("_name").alias("name"), first_text("_brandTitle", "_brand").alias("brand"), F.col("_brand").alias("brand_id"),
         first_text("_categoryTitle", "_categoryId").alias("category"), F.col("_categoryId").alias("category_id"), first_text("_modTitle", "_modName").alias("mod"), F.col("_author").alias("author"),
         F.col("_dlcTitle").alias("dlc"), F.col("_species").alias("species"), origin.alias("origin"), number(F.col("_price")).alias("price"), specs.alias("specs"),
+        first_text("_price").alias("price_text"),
     )
 
 
@@ -34,11 +40,12 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_xml(catalog: DataFrame, path: str) -> None:
-    """A dump that read_xml() reads."""
+    """A dump that read_xml() reads. Catalogs without ids of brands and categories have their titles as ids."""
+    of = lambda *names: F.col(next(n for n in names if n in catalog.columns))
     spec = F.transform(F.map_entries("specs"), lambda e: F.struct(e["key"].alias("_id"), e["value"].cast("string").alias("_value"), F.lit("").alias("_unit")))
     rows = catalog.select(
-        F.col("key").alias("_xmlFilename"), F.col("name").alias("_name"), F.col("brand_id").alias("_brand"), F.col("brand").alias("_brandTitle"), F.col("category_id").alias("_categoryId"),
-        F.col("category").alias("_categoryTitle"), F.col("species").alias("_species"), F.col("price").cast("string").alias("_price"), F.col("origin").alias("_origin"), F.col("mod").alias("_modTitle"),
+        F.col("key").alias("_xmlFilename"), F.col("name").alias("_name"), of("brand_id", "brand").alias("_brand"), F.col("brand").alias("_brandTitle"), of("category_id", "category").alias("_categoryId"),
+        F.col("category").alias("_categoryTitle"), F.col("species").alias("_species"), of("price_text", "price").cast("string").alias("_price"), F.col("origin").alias("_origin"), F.col("mod").alias("_modTitle"),
         F.col("author").alias("_author"), F.col("dlc").alias("_dlcTitle"), spec.alias("spec"),
     )
     rows.write.format("xml").option("rootTag", "catalog").option("rowTag", "item").option("attributePrefix", "_").mode("overwrite").save(path)
