@@ -1,4 +1,10 @@
-"""Documents to a training mix: each stage takes (spark, docs, sf_dir) and its result is written and read again for the next."""
+"""Documents to a training mix: each stage takes (spark, docs, sf_dir) and its result is written and read again for the next.
+
+Cases, for all stages: null and empty texts are documents like others (never toxic by a word, a copy or a leak; size 0 in the mix); rows with a null doc_id stay;
+doc_id names a document, so where rows share one, a stage that rejects one of them rejects all; equal rows get equal decisions; columns that stages use for
+themselves (kept, score, ...) may stand in the input and come out as they were; empty tables give empty tables. SQL cannot express the stages that learn or
+sample signatures, so there is no SQL for the whole; the tests hold the stages against brute force.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +24,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.7 or more go."""
+    """Documents scored 0.7 or more go. Without labels, all stay."""
     scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     gone = Tables(spark, "rejected").write(scored.where(rejected(F.col("score")) == 1).select("doc_id"), "toxic")
     return _without(docs, gone)
@@ -45,7 +51,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes, with its source's target."""
+    """Of each document, its words, its source's words and target, and how many of its words the mix takes (repeats counted)."""
     return mix_sources(docs).taken()
 
 
