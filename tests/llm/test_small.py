@@ -424,3 +424,45 @@ def test_crowds_are_settled_exactly(spark):
     rows = [(i, t, 0) for i, t in enumerate(texts)] + [(0, texts[0], 0), (None, texts[1], 0)]
     got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string, kept int"), shingle=3, percent=85).collect()
     assert len(got) == len(rows) and all(r["component_id"] == (None if r["doc_id"] is None else expected[r["doc_id"]]) for r in got)
+
+
+def test_pipeline_on_planted_cases(spark, tmp_path):
+    """Each stage does its part: toxic documents, common lines, copies and leaks go, all else stays, and the mix meets its targets."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9)))
+    own = lambda n: [word() for _ in range(n)]
+    docs = {i: " ".join(own(40)) for i in range(150)}
+    toxic = {i: " ".join([*own(15), "vilest", *own(15), "nastiest"]) for i in range(1000, 1060)}
+    footer = {i: " ".join(own(40)) + "\nThe same FOOTER\n" for i in range(2000, 2012)}
+    base = own(120)
+    copies = {3000: " ".join(base), 3001: " ".join(base), 3002: " ".join([*base[:119], "changed"]), 3003: " ".join(base[:60] + own(60))}
+    items = {i: own(30) for i in range(3)}
+    leaks = {4000 + i: " ".join([*own(20), *w, *own(20)]) for i, w in items.items()}
+    odd = {5000: None, 5001: "", 5002: " \n", 5003: "two words"}
+    rows = [(i, t, "en", f"s{i % 3}", len(t or ""), "clash") for d in (docs, toxic, footer, copies, leaks, odd) for i, t in d.items()] + [(None, "no id here", "en", None, 10, "clash")]
+    tables = {
+        "documents": spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string"),
+        "labels": spark.createDataFrame([(i, 0, int(i in toxic)) for i in [*docs, *toxic]], "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string"),
+    }
+    for name, t in tables.items():
+        t.write.parquet(f"file://{tmp_path}/{name}.parquet")
+    got, kept = tables["documents"], {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, got, f"file://{tmp_path}")
+        assert out.columns == got.columns
+        got = spark.createDataFrame(out.collect(), got.schema)
+        kept[name] = {r["doc_id"]: r["text"] for r in got.collect()}
+    everything = {r[0] for r in rows}
+    assert kept["toxicity"].keys() == everything - set(toxic)
+    assert kept["line_dedup"].keys() == kept["toxicity"].keys() and all(kept["line_dedup"][i] == t.split("\n")[0] + "\n" for i, t in footer.items())
+    assert everything - set(toxic) - kept["minhash_near_dedup"].keys() == {3001, 3002}
+    assert kept["minhash_near_dedup"].keys() - kept["decontamination"].keys() == set(leaks)
+    mix = corpus_pipeline.STAGES[-1][1](spark, got, f"file://{tmp_path}").collect()
+    assert {r["doc_id"]: r["size"] for r in mix} == {i: len(split_words(t)) for i, t in kept["decontamination"].items()}
+    by = {}
+    for r in mix:
+        by[r["source_size"], r["target"]] = by.get((r["source_size"], r["target"]), 0) + r["taken"]
+    assert all(abs(taken - target) <= 64 for (_, target), taken in by.items())
