@@ -50,7 +50,6 @@ _EDGE = re.compile(r"^\W+|\W+$")
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-@functools.lru_cache(1 << 18)
 def described(word: bytes) -> tuple[tuple[int, ...], tuple[int, ...]]:
     """A word's entries (number of the family times BUCKETS, plus a hash) and its patterns."""
     raw = word.decode("utf-8", "surrogatepass")
@@ -65,7 +64,7 @@ def distinct_words(text: str | None) -> set[bytes]:
     return set((text or "").encode("utf-8", "surrogatepass").split())
 
 
-_hashed = functools.lru_cache(1 << 18)(xxhash.xxh32_intdigest)
+_hashed = functools.lru_cache(1 << 16)(xxhash.xxh32_intdigest)
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,15 +75,17 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial weights of documents by entry and label, and of all (entry -1). There are at most as many as entries."""
-    counts: tuple[dict, dict] = ({}, {})
+    """Partial weights of documents by entry and label, and of all (entry -1): two arrays of a fixed size."""
+    entries = functools.lru_cache(1 << 16)(lambda w: described(w)[0])
+    counts, every = np.zeros((2, len(FAMILIES) * BUCKETS), np.int64), [0, 0]
     for pdf in batches:
         for text, toxic, weight in zip(pdf["text"], pdf["toxic"].tolist(), pdf["weight"].tolist(), strict=True):
-            of = counts[toxic]
-            for e in {-1}.union(*[described(w)[0] for w in distinct_words(text)]):
-                of[e] = of.get(e, 0) + weight
-    for y, c in enumerate(counts):
-        yield pd.DataFrame({"entry": list(c.keys()), "toxic": bool(y), "n": list(c.values())})
+            every[toxic] += weight
+            seen = set().union(*map(entries, distinct_words(text)))
+            counts[toxic, np.fromiter(seen, np.int64, len(seen))] += weight
+    for y in (0, 1):
+        at = np.flatnonzero(counts[y])
+        yield pd.DataFrame({"entry": np.append(at, -1), "toxic": bool(y), "n": np.append(counts[y][at], every[y])})
 
 
 def lexicon(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -108,21 +109,20 @@ def lexicon(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _vote(batches: Iterator[pd.DataFrame], entries: np.ndarray, voter: np.ndarray) -> Iterator[pd.DataFrame]:
     number = {e: i for i, e in enumerate(entries.tolist())}
     least = [n for _, n in PATTERNS.values()]
-    memo: dict[bytes, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+    nothing = ((), ())
 
+    @functools.lru_cache(1 << 17)
     def known(word: bytes) -> tuple[tuple[int, ...], tuple[int, ...]]:
         of, patterns = described(word)
-        if len(memo) > 300_000:
-            memo.clear()
-        memo[word] = out = tuple(number[e] for e in of if e in number), patterns
-        return out
+        of = tuple(number[e] for e in of if e in number)
+        return (of, patterns) if of or patterns else nothing  # one object for most words
 
     for pdf in batches:
         rows = []
         for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
             found, shown = set(), [0] * len(least)
             for w in distinct_words(text):
-                of, patterns = memo.get(w) or known(w)
+                of, patterns = known(w)
                 found.update(of)
                 for i in patterns:
                     shown[i] += 1
