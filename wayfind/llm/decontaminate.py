@@ -10,7 +10,7 @@ hold all but (1 - least) * m of the item's distinct shingles. Sliding a window o
 
 *None is lost by the fingerprints.* Such a window has no more shingles than its item, so the two multisets differ by at most 2 m (1 - least) / (1 + least)
 of the item's m shingles, and no bit's sum of votes can change by more. Bits of an item whose sum is further from 0 are *certain*: every similar
-window has them, and the other bits bound the Hamming distance. An item is indexed under all values of its most certain 16-bit block that keep the
+window has them, and the other bits bound the Hamming distance. An item is indexed under all values of its most certain 8-bit block, at most 256, that keep the
 certain bits; windows are looked up by each of their blocks and must then have all certain bits. So the fingerprints leave out windows, but none that is
 similar enough. Candidates are verified exactly: multiset Jaccard of their shingles (weights are multiplicities) of at least ``least``.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Tables, broadcast_if_small, documents, let, row_key
 
-SHINGLE, LEAST, BLOCKS, BITS = 5, 0.8, 4, 16
+SHINGLE, LEAST, BLOCKS, BITS = 5, 0.8, 8, 8
 
 
 def plain_words(text: Column) -> Column:
