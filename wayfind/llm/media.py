@@ -104,10 +104,10 @@ def _store(batches: Iterator[pd.DataFrame], least: int, most: int, bits: int) ->
 
 
 def feature_of(samples: bytes) -> str:
-    """Of the 8-bit samples: their sum, sum of squares (so mean and deviation), crossings of the middle, number of different values, and peak."""
+    """Of the 8-bit samples: their mean (whole, downwards), sum, sum of squares (so mean and deviation), crossings of the middle, number of different values, and peak."""
     x = np.frombuffer(samples, np.uint8).astype(np.int64)
     high = x >= 128
-    return f"sum={x.sum()};squares={(x * x).sum()};crossings={(high[1:] != high[:-1]).sum()};values={len(np.unique(x))};peak={x.max()}"
+    return f"mean={x.sum() // len(x)};sum={x.sum()};squares={(x * x).sum()};crossings={(high[1:] != high[:-1]).sum()};values={len(np.unique(x))};peak={x.max()}"
 
 
 def _read(batches: Iterator[pd.DataFrame], borrow: bool) -> Iterator[pd.DataFrame]:
@@ -211,7 +211,7 @@ with texts as (
   select *, from_hex('52494646' || {le("36 + payload_bytes")} || '57415645666D74201000000001000100' || {le(RATE)} || {le(RATE)} || '01000800' || '64617461' || {le("payload_bytes")} || h) as media from payloads
 )
 select doc_id, n_bytes, payload_bytes, sha256(from_hex(h)) as payload_sha256, crc::bigint as tail_crc32, octet_length(media)::bigint as media_bytes, sha256(media) as media_sha256,
-       'sum=' || total || ';squares=' || squares || ';crossings=' || crossings || ';values=' || n_values || ';peak=' || peak as feature
+       'mean=' || (total // payload_bytes) || ';sum=' || total || ';squares=' || squares || ';crossings=' || crossings || ';values=' || n_values || ';peak=' || peak as feature
 from files join described using (doc_id) join checked using (doc_id)
 """
 
