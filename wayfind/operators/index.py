@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind.functions import text as T
+from wayfind.operators.filters import first_specs
 
 #: Searched fields by priority at equal value. Fixed values.
 FIELDS = ("name", "brand", "category", "mod", "author", "dlc")
@@ -38,21 +39,30 @@ class Index:
     TABLES = ("items", "fields", "postings", "vocabulary", "trigrams", "phrases", "phrase_trigrams", "facets", "numeric", "firsts", "skipped", "meta")
 
     def write(self, path: str, more: DataFrame | None = None) -> Index:
-        """To a new path: readers change over when all is there. Items and fields are written first, and all other tables come from what is
-        written, so texts are normalised once; they are written side by side. Numeric tables are sorted by what constant filters ask for. more: specs of a second source, as for fill_specs."""
+        """To a new path: readers change over when all is there. Each table is made from tables already written, so texts are normalised once, and
+        tables that do not need each other are written side by side. Numeric tables are sorted by what constant filters ask for. more: specs of a second source, as for fill_specs."""
         spark = self.items.sparkSession
-        put = lambda name, df: df.write.mode("overwrite").parquet(f"{path}/{name}")
-        put("items", self.items)
-        put("fields", self.fields)
-        items, fields = (spark.read.parquet(f"{path}/{t}") for t in ("items", "fields"))
-        put("postings", postings_of(fields).sortWithinPartitions("token"))
-        postings = spark.read.parquet(f"{path}/postings")
-        put("vocabulary", vocabulary_of(postings, items.count()))
-        made = derived(items, fields, postings, spark.read.parquet(f"{path}/vocabulary"), more)
-        made["numeric"] = made["numeric"].sortWithinPartitions("spec_id", "value")
-        rest = {t: made.get(t, getattr(self, t)) for t in self.TABLES if t not in ("items", "fields", "postings", "vocabulary")}
-        with ThreadPoolExecutor(4) as pool:
-            list(pool.map(lambda x: put(*x), rest.items()))
+
+        def put(name: str, df: DataFrame) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            return spark.read.parquet(f"{path}/{name}")
+
+        def put_numeric() -> None:
+            numeric = put("numeric", numeric_specs(items, more).sortWithinPartitions("spec_id", "value"))
+            put("firsts", first_specs(numeric))
+
+        def put_postings() -> None:
+            postings = put("postings", postings_of(fields).sortWithinPartitions("token"))
+            put("trigrams", trigrams_of(put("vocabulary", vocabulary_of(postings, items.count())), "token"))
+
+        with ThreadPoolExecutor(len(self.TABLES)) as pool:
+            jobs = [pool.submit(put, t, getattr(self, t)) for t in ("skipped", "meta")]
+            items = put("items", self.items)
+            jobs += [pool.submit(put_numeric), pool.submit(put, "facets", facets_of(items))]
+            fields = put("fields", item_fields(items))
+            jobs += [pool.submit(put_postings), pool.submit(put, "phrases", phrases_of(fields)), pool.submit(put, "phrase_trigrams", trigrams_of(fields, "norm"))]
+            for job in jobs:
+                job.result()
         return self.read(spark, path)
 
     @classmethod
@@ -64,11 +74,17 @@ def valid_items(catalog: DataFrame) -> DataFrame:
     return catalog.where((F.col("key").isNotNull()) & (F.col("key") != ""))
 
 
+def named(items: DataFrame) -> DataFrame:
+    """items with ``name_norm``, the name as it is searched and sorted."""
+    return items if "name_norm" in items.columns else items.withColumn("name_norm", T.normalize(F.col("name")))
+
+
 def item_fields(items: DataFrame) -> DataFrame:
     """(item_id, field, prio, norm, tokens): fields with an empty form are left out."""
-    long = items.select("item_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("prio"), F.col(f).alias("raw")) for i, f in enumerate(FIELDS)])).alias("x"))
-    long = long.select("item_id", "x.*").where("raw is not null").withColumn("norm", T.normalize(F.col("raw")))
-    return long.where("norm <> ''").withColumn("tokens", T.tokens(F.col("norm"))).drop("raw")
+    norm = lambda f: F.col("name_norm") if f == "name" and "name_norm" in items.columns else F.lit(None).cast("string")
+    long = items.select("item_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("prio"), F.col(f).alias("raw"), norm(f).alias("done")) for i, f in enumerate(FIELDS)])).alias("x"))
+    long = long.select("item_id", "x.*").where("raw is not null").withColumn("norm", F.coalesce("done", T.normalize(F.col("raw"))))
+    return long.where("norm <> ''").withColumn("tokens", T.tokens(F.col("norm"))).drop("raw", "done")
 
 
 def postings_of(fields: DataFrame) -> DataFrame:
@@ -128,22 +144,24 @@ def signature_of(catalog: DataFrame) -> DataFrame:
     )
 
 
-def derived(items: DataFrame, fields: DataFrame, postings: DataFrame, vocabulary: DataFrame, more: DataFrame | None = None) -> dict[str, DataFrame]:
-    from wayfind.operators.filters import first_specs
+def phrases_of(fields: DataFrame) -> DataFrame:
+    return fields.select("norm", "field").distinct()
 
-    numeric = numeric_of(items) if more is None else fill_specs(numeric_of(items), more)
-    return {
-        "trigrams": trigrams_of(vocabulary, "token"), "phrases": fields.select("norm", "field").distinct(), "phrase_trigrams": trigrams_of(fields, "norm"),
-        "facets": facets_of(items), "numeric": numeric, "firsts": first_specs(numeric),
-    }
+
+def numeric_specs(items: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    return numeric_of(items) if more is None else fill_specs(numeric_of(items), more)
 
 
 def build_index(catalog: DataFrame) -> Index:
-    items = valid_items(catalog)
+    items = named(valid_items(catalog))
     fields = item_fields(items)
     postings = postings_of(fields)
     vocabulary = vocabulary_of(postings, items.count())
-    return Index(items=items, fields=fields, postings=postings, vocabulary=vocabulary, skipped=skipped_of(catalog), meta=signature_of(catalog), **derived(items, fields, postings, vocabulary))
+    numeric = numeric_of(items)
+    return Index(
+        items=items, fields=fields, postings=postings, vocabulary=vocabulary, trigrams=trigrams_of(vocabulary, "token"), phrases=phrases_of(fields), phrase_trigrams=trigrams_of(fields, "norm"),
+        facets=facets_of(items), numeric=numeric, firsts=first_specs(numeric), skipped=skipped_of(catalog), meta=signature_of(catalog),
+    )
 
 
 def low_specs(coverage: DataFrame, least: float = 0.8) -> DataFrame:

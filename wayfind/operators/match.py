@@ -5,6 +5,8 @@ terms: (query_id, pos, text, ...). Hits: (query_id, pos, token, kind, sim, dist)
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,9 +75,9 @@ def fuzzy_hits(terms: DataFrame, trigrams: DataFrame) -> DataFrame:
     return found.select("query_id", "pos", F.col("word").alias("token"), kind.alias("kind"), sim.alias("sim"), "dist")
 
 
-def token_hits(terms: DataFrame, vocabulary: DataFrame, trigrams: DataFrame) -> DataFrame:
-    """Exact and prefix hits; fuzzy ones only for terms that have neither, whatever the filters."""
-    direct = exact_hits(terms, vocabulary).unionByName(prefix_hits(terms, vocabulary))
+def token_hits(terms: DataFrame, vocabulary: DataFrame, trigrams: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Exact and prefix hits; fuzzy ones only for terms that have neither, whatever the filters. keep: may write the former, which are read twice."""
+    direct = keep(exact_hits(terms, vocabulary).unionByName(prefix_hits(terms, vocabulary)))
     unknown = terms.join(direct.select("query_id", "pos").distinct(), ["query_id", "pos"], "left_anti")
     return direct.unionByName(fuzzy_hits(unknown, trigrams))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wayfind.functions import text as T
 from wayfind.operators import compat, filters, match, reasons, score
-from wayfind.operators.index import Index
+from wayfind.operators.index import Index, named
 from wayfind.plans.query_parser import Parser
 from wayfind.sources.workspace import new_folder
 
@@ -48,14 +48,16 @@ class Matched:
 
 def matched(index: Index, parsed: DataFrame, chosen: DataFrame | None = None, ranges: DataFrame | None = None) -> Matched:
     """chosen: facets that a user picked, (query_id, facet, id); ranges: specs that a user limited, (query_id, spec_id, low, high)."""
-    terms = parsed.select("query_id", F.explode("terms").alias("t")).select("query_id", "t.*")
-    concepts = parsed.select("query_id", F.explode("concepts").alias("x")).select("query_id", "x.*")
-    constraints = parsed.select("query_id", F.explode("constraints").alias("x")).select("query_id", "x.*")
     asking = parsed.where("context is null and size(terms) + size(concepts) + size(constraints) > 0")
-    only = [terms.join(asking.select("query_id"), "query_id", "left_semi"), concepts.join(asking.select("query_id"), "query_id", "left_semi"), constraints.join(asking.select("query_id"), "query_id", "left_semi")]
-    terms, concepts, constraints = only
+    part = lambda name: asking.select("query_id", F.explode(name).alias("x")).select("query_id", "x.*")
+    concepts, constraints = part("concepts"), part("constraints")
     known = index.vocabulary.select(F.col("token").alias("text"), "idf", F.lit(True).alias("known"))
-    terms = terms.join(known, "text", "left").select("query_id", "pos", "text", F.coalesce("idf", F.lit(1.0)).alias("idf"), F.coalesce("known", F.lit(False)).alias("known"))
+    terms = part("terms").join(known, "text", "left").select("query_id", "pos", "text", F.coalesce("idf", F.lit(1.0)).alias("idf"), F.coalesce("known", F.lit(False)).alias("known"))
+    terms = kept(terms)
+    # Parts that no query of the batch has are known to be empty, so Catalyst leaves their joins out of the plan.
+    n_unknown = terms.where("not known").count()
+    n = asking.agg(*[F.coalesce(F.sum(F.size(c)), F.lit(0)).alias(c) for c in ("concepts", "constraints")]).first()
+    concepts, constraints = (df if n[c] else df.where("false") for c, df in (("concepts", concepts), ("constraints", constraints)))
     # What is allowed, for queries that restrict anything.
     sets = filters.constraint_hits(constraints, index.firsts).select("query_id", F.concat(F.lit("c:"), F.col("n").cast("string")).alias("n"), "item_id")
     asked = constraints.select("query_id", F.concat(F.lit("c:"), F.col("n").cast("string")).alias("n"))
@@ -69,29 +71,38 @@ def matched(index: Index, parsed: DataFrame, chosen: DataFrame | None = None, ra
     asked = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_sets"))
     allowed = filters.intersect(sets, asked)
     # Terms.
-    hits = match.token_hits(terms.select("query_id", "pos", "text"), index.vocabulary, index.trigrams)
+    asked_words = terms.select("query_id", "pos", "text")
+    hits = kept(match.token_hits(asked_words, index.vocabulary, index.trigrams, kept) if n_unknown else match.exact_hits(asked_words, index.vocabulary).unionByName(match.prefix_hits(asked_words, index.vocabulary)))
     best = match.best_fields(hits, index.postings)
-    phrases = match.phrase_hits(terms, index.phrase_trigrams)
-    weigh = match.choose("field", match.FIELD_WEIGHT) * match.choose("kind", match.KIND_WEIGHT) * F.col("sim")
-    numbered = terms.withColumn("seq", F.row_number().over(W.partitionBy("query_id").orderBy("pos")))
-    best = score.merge_phrases(best, phrases, numbered, index.fields, weigh)
+    if n_unknown:  # a phrase must help an unknown term
+        phrases = kept(match.phrase_hits(terms, index.phrase_trigrams))
+        weigh = match.choose("field", match.FIELD_WEIGHT) * match.choose("kind", match.KIND_WEIGHT) * F.col("sim")
+        numbered = terms.withColumn("seq", F.row_number().over(W.partitionBy("query_id").orderBy("pos")))
+        best = score.merge_phrases(best, phrases, numbered, index.fields, weigh)
+    else:
+        best = best.withColumns({"far": F.lit(False), "dist": F.lit(0), "phrase": F.lit(False)})
     # Concepts: items of the facet; for one-word certain ones also items whose text resembles the word.
     facet_items = filters.matching_facets(concepts.select("query_id", "c", "kind", "value"), index.facets)
-    of = facet_items.join(concepts.select("query_id", "c", "confidence"), ["query_id", "c"]).select("query_id", "c", "item_id", (F.col("confidence") * score.CONCEPT).alias("value"))
-    plain = concepts.where("words = 1 and confidence >= 1 and kind in ('brand', 'category')").select("query_id", F.col("c").alias("pos"), "text")
-    alike = match.best_fields(match.fuzzy_hits(plain, index.trigrams), index.postings).select("query_id", F.col("pos").alias("c"), "item_id", "value")
-    concept_hits = of.unionByName(alike.join(facet_items, ["query_id", "c", "item_id"], "left_anti"))
-    scored = score.score_items(best, terms, concept_hits, concepts).drop("raw")
-    # Constraints alone: all that pass, with score 1.
-    bare = asking.where("size(terms) + size(concepts) = 0").select("query_id")
-    scored = scored.unionByName(allowed.join(bare, "query_id", "left_semi").select("query_id", "item_id", F.lit(1.0).alias("score"), F.lit(1.0).alias("coverage")))
-    restricted = scored.join(asked.select("query_id", F.lit(True).alias("restricted")), "query_id", "left").join(allowed.withColumn("ok", F.lit(True)), ["query_id", "item_id"], "left")
-    scored = restricted.where("restricted is null or ok").drop("restricted", "ok")
+    if n["concepts"]:
+        facet_items = kept(facet_items)
+        of = facet_items.join(concepts.select("query_id", "c", "confidence"), ["query_id", "c"]).select("query_id", "c", "item_id", (F.col("confidence") * score.CONCEPT).alias("value"))
+        plain = concepts.where("words = 1 and confidence >= 1 and kind in ('brand', 'category')").select("query_id", F.col("c").alias("pos"), "text")
+        alike = match.best_fields(kept(match.fuzzy_hits(plain, index.trigrams)), index.postings).select("query_id", F.col("pos").alias("c"), "item_id", "value")
+        concept_hits = of.unionByName(alike.join(facet_items, ["query_id", "c", "item_id"], "left_anti"))
+        scored = score.score_items(best, terms, concept_hits, concepts).drop("raw")
+    else:
+        scored = score.score_items(best, terms).drop("raw")
+    if n["constraints"]:  # constraints alone: all that pass, with score 1
+        bare = asking.where("size(terms) + size(concepts) = 0").select("query_id")
+        scored = scored.unionByName(allowed.join(bare, "query_id", "left_semi").select("query_id", "item_id", F.lit(1.0).alias("score"), F.lit(1.0).alias("coverage")))
+    if n["constraints"] or chosen is not None or ranges is not None:
+        restricted = scored.join(asked.select("query_id", F.lit(True).alias("restricted")), "query_id", "left").join(allowed.withColumn("ok", F.lit(True)), ["query_id", "item_id"], "left")
+        scored = restricted.where("restricted is null or ok").drop("restricted", "ok")
     return Matched(best, facet_items, concepts, constraints, scored)
 
 
 def names_of(index: Index) -> DataFrame:
-    return index.items.select("item_id", "key", T.normalize(F.col("name")).alias("name_norm"))
+    return named(index.items).select("item_id", "key", "name_norm")
 
 
 def search(index: Index, parsed: DataFrame, chosen: DataFrame | None = None, most: int = score.MOST, ranges: DataFrame | None = None) -> DataFrame:
@@ -135,10 +146,11 @@ def search_compatible(index: Index, parsed: DataFrame, vehicles: DataFrame, impl
     return ranked.join(found.select("query_id", "item_id", "detail"), ["query_id", "item_id"])
 
 
-def kept(parsed: DataFrame) -> DataFrame:
-    """parsed, written once: the many parts of a search read it, and the scan of texts is not repeated for each."""
-    parsed.write.parquet(path := new_folder(parsed.sparkSession, "parsed"))
-    return parsed.sparkSession.read.schema(parsed.schema).parquet(path)
+def kept(df: DataFrame) -> DataFrame:
+    """df, written once, where the parts of a search read it more than once. Tables of a batch's queries, terms and hits are small beside the index, and once
+    written their size is known: Spark then broadcasts them if they are small enough, rather than shuffle the index."""
+    df.write.parquet(path := new_folder(df.sparkSession, "search"))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def search_many(index: Index, queries: DataFrame, locales: tuple[str, ...] = ("en",), chosen: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:
