@@ -75,3 +75,36 @@ def test_ranges_of_a_form(spark, tmp_path):
     ranges = spark.createDataFrame([(1, "price", 100.0, None), (1, "power", None, 3.0)], "query_id long, spec_id string, low double, high double")
     got = search_many(index, spark.createDataFrame([(1, "plow"), (2, "plow 5")], "query_id long, text string"), ranges=ranges).collect()
     assert {r["key"] for r in got if r["query_id"] == 1} == {"k1", "k2", "k3"} and any(r["key"] == "k5" for r in got if r["query_id"] == 2)
+
+
+def test_settings(spark, tmp_path):
+    from wayfind.sources.settings import Settings
+
+    s = Settings(spark, f"file://{tmp_path}")
+    assert (s.get("search#maxResults"), s.get("ui#showReasons"), s.get("debug#logLevel", "warn"), s.get("other"), s.get("other", "x")) == (300.0, False, "warn", None, "x")
+    s.set("ui#showReasons", True)
+    s.set("search#maxResults", 50)
+    s.set("search#maxResults", 40)
+    with pytest.raises(ValueError):
+        s.set("ui#incremental", "yes")
+    for of in (s, Settings(spark, f"file://{tmp_path}")):
+        assert (of.get("search#maxResults", 7.0), of.get("ui#showReasons"), of.get("ui#incremental")) == (40.0, True, True)
+
+
+def test_weight_grid(spark):
+    """Query 1: item 1 is right, and the short word's penalty puts it second; without it, it is first. Query 2 is right under all weights."""
+    from wayfind.operators.calibrate import IN_USE, weight_grid
+    from wayfind.operators.score import Weights
+
+    parts = spark.createDataFrame(
+        [(1, 1, 0.9, 1.0, 1.0, 1, 0, False), (1, 2, 0.85, 1.0, 1.0, 0, 0, False), (2, 3, 0.9, 1.0, 1.0, 0, 1, True), (2, 4, 0.1, 1.0, 1.0, 0, 0, False)],
+        "query_id long, item_id long, raw double, most double, coverage double, n_short int, n_far int, side boolean",
+    )
+    names = spark.createDataFrame([(i, f"k{i}", f"n{i}") for i in range(1, 5)], "item_id long, key string, name_norm string")
+    relevant = spark.createDataFrame([(1, 1), (2, 3), (3, 1)], "query_id long, item_id long")
+    got = {r["candidate"]: r for r in weight_grid(parts, names, relevant, {"none": Weights(short=0.0), "zero": Weights(short=0.0), "far": Weights(short=0.0, far=5.0)}).collect()}
+    assert [(round(got[c]["reciprocal_rank"], 4), got[c]["passed"]) for c in (IN_USE, "none", "far")] == [(0.5, 1), (0.6667, 2), (0.3333, 1)]
+    assert [c for c in got if got[c]["chosen"]] == ["none"]
+    same = weight_grid(parts, names, relevant, {"a": Weights()}).collect()
+    assert [r["candidate"] for r in same if r["chosen"]] == [IN_USE]
+    assert weight_grid(parts.where("false"), names, relevant.where("false"), {}).count() == 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfind import oracle as O  # noqa: E741
 from wayfind.functions import text as T
-from wayfind.operators import compat, diagnostics, filters, index, match, reasons, score
+from wayfind.operators import calibrate, compat, diagnostics, filters, index, match, reasons, score
 from wayfind.plans.lexicon import STOPWORDS
 from wayfind.plans.search import explain, kept, parse_queries, search_compatible, search_many
 from wayfind.sources import catalogs
@@ -337,13 +337,18 @@ def best_field_hit(spark, sf_dir):
     return best.select("query_id", "pos", "item_id", F.round("value", 6).alias("value"), "field", "kind", "token")
 
 
-def _scored(spark, sf_dir):
+def _score_parts(spark, sf_dir):
     items, _, postings = part_fields(spark, sf_dir)
     v = index.vocabulary_of(postings, items.count())
     terms = asked_terms(spark)
     best = match.best_fields(match.token_hits(terms, v, index.trigrams_of(v, "token")), postings).withColumn("far", F.lit(False))
     weighed = terms.join(v.select(F.col("token").alias("text"), "idf"), "text", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
-    return items, score.score_items(best, weighed)
+    return items, score.score_parts(best, weighed)
+
+
+def _scored(spark, sf_dir):
+    items, parts = _score_parts(spark, sf_dir)
+    return items, parts.select("query_id", "item_id", score.score_of().alias("score"), "coverage")
 
 
 @query("term_score", f"with {O.PARTS}, {TERMS}, {O.HITS}, {O.RANKED} select query_id, item_id, round(score, 6) as score, round(coverage, 6) as coverage from scored")
@@ -378,6 +383,40 @@ def ranking_quality(spark, sf_dir):
     return out.select("query_id", F.round("precision", 6).alias("precision"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "empty")
 
 
+_GRID = ", ".join(f"('{n}', {w.short}::double, {w.floor}::double, {w.relative}::double)" for n, w in {calibrate.IN_USE: score.Weights(), **calibrate.CANDIDATES}.items())
+
+
+@query("weight_grid", f"""with {O.PARTS}, {TERMS}, {O.HITS}, weights as (select * from (values {_GRID}) w(candidate, short, floor, relative)
+), weighed as (select t.*, coalesce(idf, 1.0) as idf from terms t left join vocabulary v on t.text = v.token
+), totals as (select query_id, sum(idf) as most, count(*) as n from weighed group by query_id
+), made as (
+  select query_id, item_id, sum(value * idf) as raw, any_value(most) as most, count(*) / any_value(n) as coverage, sum(case when kind = 'prefix' and length(text) <= 3 then 1 else 0 end) as n_short
+  from best join weighed using (query_id, pos) join totals using (query_id) group by query_id, item_id
+), scored as (
+  select candidate, relative, query_id, item_id, coverage, round(least(1.0, greatest(0.0, raw / most * (floor + (1 - floor) * coverage) - n_short * short)), 9) as score from made, weights
+), ranked as (
+  select candidate, query_id, item_id, row_number() over (partition by candidate, query_id order by score desc, coverage desc, norm, key, item_id) as rank
+  from (select *, max(score) over (partition by candidate, query_id) as top from scored) join items using (item_id) join (select item_id, norm from fields where field = 'name') using (item_id)
+  where score >= greatest(0.15, relative * top)
+), relevant as (select query_id, item_id from (select distinct query_id from terms), items where name = 'blue anvil' or category = 'ECONOMY'
+), sized as (select candidate, query_id, least(5, count(*)) as k from relevant, weights group by all
+), judged as (
+  select candidate, query_id, count(*) filter (rel and rank <= k) as found, min(case when rel then rank end) as first
+  from (select r.*, x.item_id is not null as rel from (select * from ranked where rank <= 300) r left join relevant x using (query_id, item_id)) join sized using (candidate, query_id) group by all
+), found as (
+  select candidate, round(avg(coalesce(found, 0) / k), 9) as precision, round(avg(coalesce(1 / first, 0)), 9) as reciprocal_rank, count(*) filter (first = 1) as passed
+  from sized left join judged using (candidate, query_id) group by candidate
+), fit as (select * from found where passed >= (select passed from found where candidate = '{calibrate.IN_USE}'))
+select candidate, round(precision, 6) as precision, round(reciprocal_rank, 6) as reciprocal_rank, passed,
+  candidate = (select candidate from fit order by fit.reciprocal_rank desc, fit.precision desc, candidate = '{calibrate.IN_USE}' desc, candidate limit 1) as chosen from found""")
+def weight_grid(spark, sf_dir):
+    items, parts = _score_parts(spark, sf_dir)
+    good = catalogs.parts(spark, sf_dir).where("name = 'blue anvil' or category = 'ECONOMY'").select("item_id")
+    relevant = asked_terms(spark).select("query_id").distinct().crossJoin(good)  # as in ranking_quality
+    out = calibrate.weight_grid(parts, items.select("item_id", "key", T.normalize(F.col("name")).alias("name_norm")), relevant)
+    return out.select("candidate", F.round("precision", 6).alias("precision"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "passed", "chosen")
+
+
 @query("multi_query_search", f"with {O.PARTS}, {TERMS}, {ENDS}, {O.HITS}, {O.RANKED}, allowed as (select query_id, item_id from ends join items on (low is null or power >= low) and (high is null or power <= high)), candidates as (select query_id, item_id, score, coverage from scored s where query_id not in (select query_id from ends) or exists (select 1 from allowed a where a.query_id = s.query_id and a.item_id = s.item_id) union all select query_id, item_id, 1.0, 1.0 from allowed where query_id not in (select query_id from terms)), {O.CUT} select query_id, rank::int as rank, key, round(score, 6) as score, round(coverage, 6) as coverage from ranked where rank <= 300")
 def multi_query_search(spark, sf_dir):
     built = index.build_index(catalogs.parts(spark, sf_dir)).write(new_folder(spark, "index"))
