@@ -46,7 +46,8 @@ def main() -> None:
     words = [r["token"] for r in built.vocabulary.orderBy("token").select("token").collect()]
     simple = [(i, " ".join(rng.choices(words, k=2))) for i in range(200)]
     composite = [(i, " ".join(rng.choices(words, k=3)) + f" over {rng.randrange(50, 300)} kw under {rng.randrange(100, 500)}k") for i in range(200)]
-    for name, index, queries in (("search_200_simple", built, simple), ("search_200_composite", built, composite), ("search_1", built, simple[:1]), ("search_200_parts", parts, simple)):
+    named = [(i, f"model {1000 + rng.randrange(3000)}") for i in range(200)]
+    for name, index, queries in (("search_200_simple", built, simple), ("search_200_named", built, named), ("search_200_composite", built, composite), ("search_1", built, simple[:1]), ("search_200_parts", parts, simple)):
         df = spark.createDataFrame(queries, "query_id long, text string")
         timed(name, lambda index=index, df=df: save(search_many(index, df)))
     for name in ("normalize_text", "document_frequency", "fuzzy_match", "term_score", "compat_rank", "latency_ring"):
