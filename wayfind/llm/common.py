@@ -89,6 +89,16 @@ def row_key(df: DataFrame, key: str, text: str = "text") -> tuple[Column, Column
     return F.coalesce(df[key].cast("long"), F.lit(-(2**63))).alias("_k"), F.xxhash64(df[text]).alias("_t")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like those asked for that no column of df has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while (name := f"_{name}") in taken:
+            pass
+        out.append(name)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_text, line_dedup, lm_score, media, mixing, near_dedup, toxicity, url_filter
+from . import chat, decontaminate, html_text, line_dedup, lm_score, media, mixing, near_dedup, repair, runs, toxicity, url_filter, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": lm_score.op8_lm_score,
     "op9_html_text": html_text.op9_html_text,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+    "op11_embedding_near_dedup": vectors.op11_embedding_near_dedup,
+    "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
@@ -27,4 +30,5 @@ SQL: dict[str, str] = {
     "op6_chat_format": chat.SQL,
     "op7_media_columns": media.SQL,
     "op10_minhash_near_dedup": near_dedup.SQL,
+    "op11_embedding_near_dedup": vectors.SQL,
 }
