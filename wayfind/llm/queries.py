@@ -31,4 +31,5 @@ SQL: dict[str, str] = {
     "op7_media_columns": media.SQL,
     "op10_minhash_near_dedup": near_dedup.SQL,
     "op11_embedding_near_dedup": vectors.SQL,
+    "op13_conversation_repair": repair.SQL,
 }

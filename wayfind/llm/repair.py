@@ -264,3 +264,46 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.join(made.digests(), F.col("conv_id").eqNullSafe(F.col("conv")), "left")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", *FAULTS, "illegal", "cost")]
     return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+SQL = r"""
+with recursive named as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint) as k from conversations
+), struck as (
+  select *, xor(4294967295, list_reduce(list_prepend(4294967295, k), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda y, r: xor(y >> 1, 3988292384 * (y & 1))))) % 20 as way from named
+), hurt as (
+  select conv_id, turn, case when way = 4 then 'user' else role end as role, case way when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from (select *, unnest(case when way = 3 then [1, 2] else [1] end) from struck where way <> 0)
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as seq from hurt
+), told as (
+  select *, row_number() over (partition by conv_id, role, text order by seq) > 1 as again from placed
+), faulty as (
+  select *, lag(role[1]) over (partition by conv_id order by seq) as before,
+         case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when again then 'duplicate' when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' else 'fine' end as fault from told
+), convs as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+         count(*) filter (fault = 'truncated') as truncated, count(*) filter (before is not null and before || role[1] not in ('su', 'ua', 'au')) as illegal,
+         list({'f': fault, 'r': role, 't': text} order by seq) as rows from faulty group by conv_id
+), inserted(mid, onto, price, letters, lines) as (
+  values (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 3, 'I', chr(10) || 'user:'), (1, 2, 3, 'I', chr(10) || 'user:'), (2, 3, 3, 'I', chr(10) || 'assistant:'),
+         (3, 2, 3, 'I', chr(10) || 'user:'), (0, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')
+), edited(was, initial, mid, fee, letter, role) as (
+  values (0, '', 0, 4, 'D', ''), (1, '', 1, 4, 'D', ''), (2, '', 2, 4, 'D', ''), (3, '', 3, 4, 'D', ''), (0, 's', 1, 0, 'K', ''), (0, 'u', 2, 0, 'K', ''), (1, 'u', 2, 0, 'K', ''), (2, 'a', 3, 0, 'K', ''), (3, 'u', 2, 0, 'K', ''),
+         (0, '', 2, 3, 'R', 'user'), (1, '', 2, 3, 'R', 'user'), (2, '', 3, 3, 'R', 'assistant'), (3, '', 2, 3, 'R', 'user')
+), walk(conv_id, i, state, best) as (
+  select conv_id, 0, onto, {'c': price, 'a': letters, 'l': lines} from convs, inserted where mid = 0
+  union all
+  select conv_id, i + 1, onto, min({'c': best.c + fee + price + case when fault = 'truncated' and letter <> 'D' then 3 else 0 end, 'a': best.a || letter || letters,
+         'l': best.l || case when letter = 'D' then '' else chr(10) || case when letter = 'R' then edited.role else own end || ':' || said end || lines})
+  from (select w.conv_id, w.i, w.state, w.best, c.rows[w.i + 1].f as fault, c.rows[w.i + 1].r as own, c.rows[w.i + 1].t as said from walk w join convs c on w.conv_id is not distinct from c.conv_id where w.i < len(c.rows))
+  join edited on was = state and (letter = 'D' or fault not in ('blank', 'duplicate')) and (letter <> 'K' or initial = own[1]) join inserted on inserted.mid = edited.mid
+  group by conv_id, i, onto
+), ended as (
+  select w.conv_id, min(w.best) as b from walk w join convs c on w.conv_id is not distinct from c.conv_id and w.i = len(c.rows) where w.state in (0, 3) group by w.conv_id
+), every as (select distinct conv_id from conversations)
+select every.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+       coalesce(illegal, 0)::bigint as illegal, coalesce(b.c, 0)::bigint as cost, coalesce(b.a, '') as audit, sha256(coalesce(substr(b.l, 2), '')) as repaired_sha256
+from every left join convs on every.conv_id is not distinct from convs.conv_id left join ended on every.conv_id is not distinct from ended.conv_id
+"""
