@@ -30,11 +30,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Tables, broadcast_if_small
+from .common import Tables, broadcast_if_small, fresh
 from .url_filter import host_of
 
 # HTML's elements by use, ARIA's roles, and the names of reader comments, which differ on every page as articles do.
@@ -190,10 +192,12 @@ def style_tree(pages: DataFrame, presentation: float = 0.1, group: int = 64, pri
     return out.select("host", "node", "pages", importance.alias("importance"))
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        low = [frozenset() if x is None else frozenset(int(n) + (1 << 63) for n in x) for x in pdf["_low"]]
-        yield pdf.drop(columns=["_low", "_html"]).assign(text=[main_text(page, nodes) for page, nodes in zip(pdf["_html"], low, strict=True)])
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first columns are the page and the nodes of low importance; the others go by as they are."""
+    for batch in batches:
+        low = [frozenset(n + (1 << 63) for n in x or ()) for x in batch.column(1).to_pylist()]
+        texts = [main_text(page.as_py(), nodes) for page, nodes in zip(batch.column(0), low, strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], names=[*batch.schema.names[2:], "text"])
 
 
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html", least_importance: float = 0.2) -> DataFrame:
@@ -201,12 +205,12 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", least_i
     spark: SparkSession = pages.sparkSession
     host: Column = host_of(pages[url])
     tree = style_tree(pages.select(host.alias("host"), pages[html].alias("html")))
-    low = tree.where(F.col("importance") < least_importance).groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("_low"))
-    low = Tables(spark, "style-tree").write(low.withColumnRenamed("host", "_host"), "low")
+    low = tree.where(F.col("importance") < least_importance).groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low"))
     kept = [c for c in pages.columns if c not in ("text", "n_chars", html)]
-    rows = pages.select(*kept, host.alias("_host"), pages[html].alias("_html")).join(broadcast_if_small(low), "_host", "left").drop("_host")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema) + ", text string"
-    out = rows.mapInPandas(_extract, fields)
+    h, w, n = fresh(pages, "host", "html", "low")
+    low = Tables(spark, "style-tree").write(low.toDF(h, n), "low")
+    rows = pages.select(*kept, host.alias(h), pages[html].alias(w)).join(broadcast_if_small(low), h, "left").select(w, n, *kept)
+    out = rows.mapInArrow(_extract, T.StructType([*pages.select(*kept).schema.fields, T.StructField("text", T.StringType())]))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

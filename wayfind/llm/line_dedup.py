@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, ascii_lower, documents, let, row_key
+from .common import Tables, ascii_lower, documents, fresh, let, row_key
 
 KEY = ["a", "b"]
 
@@ -86,8 +86,9 @@ def dedup_lines(
     tables = Tables(spark, "line-runs")
     docs = docs.drop("kept", "n_lines", "n_dropped")
     digest = lambda k: F.when(F.length(k) >= min_chars, F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(1), k).alias("b")))
-    k, t = row_key(docs, key, text)
-    hashed = docs.select(k, t, F.transform(F.transform(lines_of(docs[text]), line_key), digest).alias("keys"))
+    k, t, c, of_ = fresh(docs, "k", "t", "cut", "of")
+    keyed = dict(zip((k, t), row_key(docs, key, text), strict=True))
+    hashed = docs.select(keyed[k], keyed[t], F.transform(F.transform(lines_of(docs[text]), line_key), digest).alias("keys"))
     hashed = tables.write(hashed.withColumn("batch", F.pmod(F.xxhash64("_k", "_t"), F.lit(batches)).cast("int")), "lines", "batch")
     runs = LineRuns(tables, min_docs)
     for batch in range(batches):
@@ -96,10 +97,10 @@ def dedup_lines(
     frequent = runs.frequent()
     hits = hashed.select("_k", "_t", F.posexplode("keys").alias("pos", "key")).where("key is not null")
     hits = hits.select("_k", "_t", "pos", "key.a", "key.b").join(frequent, KEY, "left_semi")
-    hits = hits.groupBy("_k", "_t").agg(F.array_sort(F.collect_set("pos")).alias("_cut"))
+    hits = hits.groupBy("_k", "_t").agg(F.array_sort(F.collect_set("pos")).alias("_cut")).toDF(k, t, c)
     lines = lines_of(docs[text])
-    out = docs.withColumns({"_k": k, "_t": t}).join(hits, ["_k", "_t"], "left")
-    cut = F.coalesce("_cut", F.array().cast("array<int>"))
+    out = docs.withColumns(keyed).join(hits, [k, t], "left")
+    cut = F.coalesce(c, F.array().cast("array<int>"))
 
     def kept(of: Column) -> Column:
         """The lines between two dropped ones, for all such stretches."""
@@ -111,8 +112,8 @@ def dedup_lines(
         )
 
     ends = let(lines, lambda x: F.struct(x.alias("lines"), F.concat(F.array(F.lit(-1)), cut, F.array(F.size(x))).alias("ends")))
-    out = out.withColumn("_of", let(ends, kept))
-    return out.select(*docs.columns, "_of.n_lines", "_of.n_dropped", "_of.kept")
+    out = out.withColumn(of_, let(ends, kept))
+    return out.select(*docs.columns, f"{of_}.n_lines", f"{of_}.n_dropped", f"{of_}.kept")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

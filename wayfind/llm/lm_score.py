@@ -4,8 +4,8 @@
 A piece that begins with the word mark only starts a word; so a text's lattice is the product of its words' lattices, and the probability
 of a text is the product of its words' marginal probabilities over all segmentations, times that of the end piece.
 
-*Scores.* The vocabulary's file has ranks in place of scores, so the first probabilities fall with the rank. They are fitted by EM to all distinct
-words of the training documents: each task runs forward-backward over the words of its partition, and expected piece counts are summed by piece. Only
+*Scores.* The vocabulary's file has ranks in place of scores, so the first probabilities fall with the rank. They are fitted by EM to all
+words of the training documents, each as often as it occurs: each task runs forward-backward over the words of its partition, and expected piece counts are summed by piece. Only
 the vocabulary-sized table of scores (bounded by the tokenizer) reaches the driver and the tasks.
 
 *Scoring.* Word scores are joined to documents. The most frequent words of ordinary length (a bounded number, by a threshold from a histogram of
@@ -69,7 +69,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _expect(batches: Iterator[pd.DataFrame], pieces: list[bytes], scores: np.ndarray) -> Iterator[pd.DataFrame]:
     lattice, counts = Lattice(pieces, scores), np.zeros(len(pieces))
     for pdf in batches:
-        counts += lattice.expected(list(pdf["word"]), np.ones(len(pdf)))
+        counts += lattice.expected(list(pdf["word"]), pdf["c"].to_numpy(float))
     yield pd.DataFrame({"piece": np.arange(len(pieces)), "n": counts})
 
 
@@ -100,9 +100,9 @@ def _score(batches: Iterator[pd.DataFrame], hot) -> Iterator[pd.DataFrame]:
 
 
 def fit_scores(words: DataFrame, ends: int, pieces: list[bytes], rounds: int) -> np.ndarray:
-    """The pieces' log scores after ``rounds`` of EM over the distinct training words. Each round sums a table as long as the vocabulary."""
+    """The pieces' log scores after ``rounds`` of EM over the training words, each as often as it occurs. Each round sums a table as long as the vocabulary."""
     scores = first_scores(len(pieces))
-    train = words.where("c > 0").select("word")
+    train = words.where("c > 0").select("word", "c")
     for _ in range(rounds):
         found = train.mapInPandas(functools.partial(_expect, pieces=pieces, scores=scores), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
         found = found.where("n > 0").toPandas()
@@ -110,7 +110,7 @@ def fit_scores(words: DataFrame, ends: int, pieces: list[bytes], rounds: int) ->
         n[found["piece"]] = found["n"]
         if not n.any():
             return scores
-        n[pieces.index(END)] = max(ends, 1) * n.sum() / (n.sum() + ends)
+        n[pieces.index(END)] = max(ends, 1)
         n += TINY * n.sum()
         scores = np.log(n / n.sum())
     return scores

@@ -33,7 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, broadcast_if_small, documents, row_key
+from .common import Tables, broadcast_if_small, documents, fresh, row_key
+from .graph import smallest_reachable
 from .shingles import alike, shingle_set
 
 HASHES, TREES, DEPTH, LEAF, RUN = 64, 16, 3, 12, 4096
@@ -91,8 +92,9 @@ class Forest:
         self.k, self.percent, self.tables = k, percent, Tables(spark, "forest")
         self.likely = Likely(percent)
         self.docs = docs.select("doc_id", "text")
-        sets = self.docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInPandas(functools.partial(_describe, k=k), "doc_id long, t long, n_shingles long, f1 long, f2 long, sig binary")
-        self.sets = self.tables.write(sets, "sets")
+        # Ids go through pandas as texts: a column of numbers with a null in it would become one of floats.
+        sets = self.docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInPandas(functools.partial(_describe, k=k), "doc_id string, t long, n_shingles long, f1 long, f2 long, sig binary")
+        self.sets = self.tables.write(sets.withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
         real = self.sets.where("n_shingles > 0 and doc_id is not null")
         self.reps = self.tables.write(real.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
 
@@ -188,22 +190,7 @@ class Forest:
 
     def labels(self, links: DataFrame, name: str) -> DataFrame:
         """(rep, label): the smallest id reachable over the links, for reps that have any."""
-        both = links.select(F.col("u").alias("rep"), F.col("v").alias("to")).unionByName(links.select(F.col("v").alias("rep"), F.col("u").alias("to")))
-        labels = self.tables.write(both.groupBy("rep").agg(F.min("to").alias("m")).select("rep", F.least("rep", "m").alias("label")), f"{name}-0")
-        step = 0
-        while True:
-            step += 1
-            of = labels.withColumnsRenamed({"rep": "to", "label": "seen"})
-            near = both.join(of, "to").groupBy("rep").agg(F.min("seen").alias("seen"))
-            new = labels.join(near, "rep").select("rep", F.least("label", "seen").alias("mid"), F.col("label").alias("old"))
-            jump = labels.withColumnsRenamed({"rep": "mid", "label": "far"})
-            new = new.join(jump, "mid", "left").select("rep", F.least("mid", F.coalesce("far", "mid")).alias("label"), "old")
-            new = self.tables.write(new, f"{name}-{step}")
-            changed = new.where("label <> old").limit(1).count()
-            self.tables.drop(f"{name}-{step - 1}")
-            labels = new.select("rep", "label")
-            if not changed:
-                return labels
+        return smallest_reachable(self.tables, links, name).withColumnRenamed("node", "rep")
 
     def components(self) -> DataFrame:
         """(rep, label) of all linked representatives."""
@@ -363,8 +350,8 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     found = forest.sets.select("doc_id", "t", "n_shingles", "f1", "f2").distinct().join(reps, ["n_shingles", "f1", "f2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id"))
     found = found.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_k"), F.col("t").alias("_t"), "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
-    k, t = row_key(docs, key, text)
-    out = docs.withColumns({"_k": k, "_t": t}).join(found, ["_k", "_t"])
+    k, t = fresh(docs, "k", "t")
+    out = docs.withColumns(dict(zip((k, t), row_key(docs, key, text), strict=True))).join(found.withColumnsRenamed({"_k": k, "_t": t}), [k, t])
     return out.select(*docs.columns, "n_shingles", "component_id", F.coalesce(docs[key] == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

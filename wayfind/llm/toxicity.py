@@ -210,8 +210,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     counts = tables.write(counts.groupBy("entry", "toxic").agg(F.sum("n").alias("n")), "counts")
     entries, voter = lexicon(counts)
     tables.drop("counts", "sketches", "weights")
-    votes = tables.write(texts.mapInPandas(functools.partial(_vote, entries=entries, voter=voter), "doc_id long, mask long, found array<int>"), "votes")
-    marked = votes.where(~held_out(F.col("doc_id"))).join(broadcast_if_small(known), "doc_id", "left")
+    # Ids go through pandas as texts: a column of numbers with a null in it would become one of floats.
+    named = texts.withColumn("doc_id", F.col("doc_id").cast("string"))
+    votes = tables.write(named.mapInPandas(functools.partial(_vote, entries=entries, voter=voter), "doc_id string, mask long, found array<int>"), "votes")
+    ids = texts.schema["doc_id"].dataType
+    marked = votes.withColumn("doc_id", F.col("doc_id").cast(ids)).where(~held_out(F.col("doc_id"))).join(broadcast_if_small(known), "doc_id", "left")
     seen = marked.groupBy("mask", "toxic").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 3 * 2^voters rows
     model = LabelModel(bits(seen["mask"].to_numpy(np.int64)), seen["toxic"].fillna(-1).to_numpy(float), seen["n"].to_numpy(float))
     rows = marked.orderBy(F.xxhash64("doc_id")).limit(sample).select("mask", "found", "toxic").toPandas()
@@ -222,7 +225,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
         p = model.posterior(v)
         g = rows["toxic"].map({1: GOLD, 0: 1 - GOLD}).fillna(0.5).to_numpy(float)
         weights = train([list(f) for f in rows["found"]], v, p * g / (p * g + (1 - p) * (1 - g)), len(entries))
-    scored = votes.mapInPandas(functools.partial(_score, weights=weights), "doc_id long, score double")
+    scored = votes.mapInPandas(functools.partial(_score, weights=weights), "doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast(ids))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
 
 

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, ascii_lower, broadcast_if_small
+from .common import Tables, ascii_lower, broadcast_if_small, fresh
 
 
 @dataclass(frozen=True)
@@ -107,10 +107,12 @@ def filter_urls(
     """pages with host, path, template, rule and verdict. labels: (url, bad boolean), in addition to the rules' verdicts."""
     spark: SparkSession = pages.sparkSession
     tables = Tables(spark, "urls")
-    parse = lambda df, u: df.withColumns({"host": host_of(df[u]), "path": path_of(df[u])}).withColumn("shape", shape(F.col("path")))
-    pages = parse(pages.drop(*RESULT), url).withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
+    asked = pages.drop(*RESULT)
+    s, r, h, m = fresh(asked, "shape", "rule", "host", "template")
+    parse = lambda df, u, s="shape": df.withColumns({"host": host_of(df[u]), "path": path_of(df[u])}).withColumn(s, shape(F.col("path")))
+    pages = parse(asked, url, s).withColumn(r, rule_of(F.col("host"), F.col("path"), rules))
     sides = lambda bad, good: (F.sum(F.when(bad, 1).otherwise(0)).alias("bad"), F.sum(F.when(good, 1).otherwise(0)).alias("good"))
-    seen = pages.groupBy("host", "shape").agg(*sides(F.col("_r.verdict") == "block", F.col("_r.verdict") == "allow"), F.count(F.lit(1)).alias("urls"))
+    seen = pages.groupBy("host", F.col(s).alias("shape")).agg(*sides(F.col(f"{r}.verdict") == "block", F.col(f"{r}.verdict") == "allow"), F.count(F.lit(1)).alias("urls"))
     if labels is not None:
         known = parse(labels.select("url", "bad"), "url")
         known = known.groupBy("host", "shape").agg(*sides(F.col("bad"), ~F.col("bad")), F.count(F.lit(1)).alias("urls"))
@@ -118,10 +120,11 @@ def filter_urls(
     shapes = tables.write(templates(tables.write(seen, "shapes"), common), "templates")
     judged = judge_templates(tables, shapes, z, smooth, purity, least)
     judged = tables.write(shapes.select("host", "shape", F.array_join("template", "/").alias("template")).join(judged, ["host", "shape"]), "judged")
-    out = pages.join(broadcast_if_small(judged), ["host", "shape"], "left")
-    verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("rejected"), "block").otherwise("allow"))
-    kept = [c for c in pages.columns if c not in ("host", "path", "shape", "_r")]
-    return out.select(*kept, "host", "path", F.concat("host", F.lit("/"), "template").alias("template"), F.col("_r.rule").alias("rule"), verdict.alias("verdict"))
+    bad = f"{m}_rejected"
+    judged = broadcast_if_small(judged).select(F.col("host").alias(h), F.col("shape").alias(f"{s}_of"), F.col("template").alias(m), F.col("rejected").alias(bad))
+    out = pages.join(judged, (F.col("host") == F.col(h)) & (F.col(s) == F.col(f"{s}_of")), "left")
+    verdict = F.coalesce(F.col(f"{r}.verdict"), F.when(F.col(bad), "block").otherwise("allow"))
+    return out.select(*asked.columns, "host", "path", F.concat("host", F.lit("/"), m).alias("template"), F.col(f"{r}.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
