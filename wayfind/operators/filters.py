@@ -33,10 +33,35 @@ def first_specs(numeric: DataFrame, quantities: dict[str, tuple[str, ...]] = QUA
     return rows.groupBy("item_id", "quantity").agg(F.min_by(F.struct("spec_id", "value"), "n").alias("s")).select("item_id", "quantity", "s.*")
 
 
-def constraint_hits(constraints: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(query_id, n, item_id, spec_id, value): constraints (query_id, n, quantity, low, high) with the items that pass. The join is
-    by quantity, so it is a hash join with the range as its condition."""
-    return constraints.join(firsts, "quantity").where(within(F.col("value"), F.col("low"), F.col("high"))).select("query_id", "n", "item_id", "spec_id", "value")
+#: Bins of a quantity, each with about as many items.
+BINS = 256
+
+
+def value_cuts(firsts: DataFrame) -> DataFrame:
+    """(quantity, cuts): values that part a quantity's items into bins of about one size; a row for each quantity."""
+    return firsts.groupBy("quantity").agg(F.array_distinct(F.percentile_approx("value", [i / BINS for i in range(1, BINS)], 16 * BINS)).alias("cuts"))
+
+
+def bin_of(cuts: Column, value: Column) -> Column:
+    """How many cuts lie below the value; it never falls as the value rises."""
+    return F.size(F.filter(cuts, lambda c: c < value))
+
+
+def with_bins(firsts: DataFrame, cuts: DataFrame) -> DataFrame:
+    """firsts with ``bin``."""
+    return firsts.join(F.broadcast(cuts), "quantity").withColumn("bin", bin_of(F.col("cuts"), F.col("value"))).drop("cuts")  # a row for each of few quantities
+
+
+def constraint_hits(constraints: DataFrame, firsts: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+    """(query_id, n, item_id, spec_id, value): constraints (query_id, n, quantity, low, high) with the items that pass. A constraint meets only the bins that its range touches, so the join is
+    by (quantity, bin), and a quantity that most items have is dealt over its bins; values in the bins at the borders are compared. firsts and cuts: with bins, as an index has them."""
+    if cuts is None:
+        cuts = value_cuts(firsts)
+        firsts = with_bins(firsts, cuts)
+    place = lambda c, open_: F.when(F.col(c).isNull(), open_).otherwise(bin_of(F.col("cuts"), F.col(c)))
+    wanted = constraints.join(F.broadcast(cuts), "quantity").withColumns({"_from": place("low", F.lit(0)), "_to": place("high", F.size("cuts"))}).where("_from <= _to")  # a row for each of few quantities
+    wanted = wanted.select("query_id", "n", "quantity", "low", "high", F.explode(F.sequence("_from", "_to")).alias("bin"))
+    return wanted.join(firsts, ["quantity", "bin"]).where(within(F.col("value"), F.col("low"), F.col("high"))).select("query_id", "n", "item_id", "spec_id", "value")
 
 
 def facet_hits(chosen: DataFrame, facets: DataFrame) -> DataFrame:

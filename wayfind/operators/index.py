@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind.functions import text as T
-from wayfind.operators.filters import first_specs
+from wayfind.operators import sequences
+from wayfind.operators.filters import first_specs, value_cuts, with_bins
 
 #: Searched fields by priority at equal value. Fixed values.
 FIELDS = ("name", "brand", "category", "mod", "author", "dlc")
@@ -33,14 +34,16 @@ class Index:
     facets: DataFrame
     numeric: DataFrame
     firsts: DataFrame
+    cuts: DataFrame
     skipped: DataFrame
     meta: DataFrame
 
-    TABLES = ("items", "fields", "postings", "vocabulary", "trigrams", "phrases", "phrase_trigrams", "facets", "numeric", "firsts", "skipped", "meta")
+    TABLES = ("items", "fields", "postings", "vocabulary", "trigrams", "phrases", "phrase_trigrams", "facets", "numeric", "firsts", "cuts", "skipped", "meta")
 
-    def write(self, path: str, more: DataFrame | None = None) -> Index:
+    def write(self, path: str, more: DataFrame | None = None, ready: DataFrame | None = None) -> Index:
         """To a new path: readers change over when all is there. Each table is made from tables already written, so texts are normalised once, and
-        tables that do not need each other are written side by side. Numeric tables are sorted by what constant filters ask for. more: specs of a second source, as for fill_specs."""
+        tables that do not need each other are written side by side. Numeric tables are sorted by what constant filters ask for. more: specs of a second source, as for fill_specs;
+        ready: fields that were already made of the items."""
         spark = self.items.sparkSession
 
         def put(name: str, df: DataFrame) -> DataFrame:
@@ -49,7 +52,8 @@ class Index:
 
         def put_numeric() -> None:
             numeric = put("numeric", numeric_specs(items, more).sortWithinPartitions("spec_id", "value"))
-            put("firsts", first_specs(numeric))
+            firsts = first_specs(numeric)
+            put("firsts", with_bins(firsts, put("cuts", value_cuts(firsts))).sortWithinPartitions("quantity", "bin"))
 
         def put_postings() -> None:
             postings = put("postings", postings_of(fields).sortWithinPartitions("token"))
@@ -59,7 +63,7 @@ class Index:
             jobs = [pool.submit(put, t, getattr(self, t)) for t in ("skipped", "meta")]
             items = put("items", self.items)
             jobs += [pool.submit(put_numeric), pool.submit(put, "facets", facets_of(items))]
-            fields = put("fields", item_fields(items))
+            fields = put("fields", item_fields(items) if ready is None else ready)
             jobs += [pool.submit(put_postings), pool.submit(put, "phrases", phrases_of(fields)), pool.submit(put, "phrase_trigrams", trigrams_of(fields, "norm"))]
             for job in jobs:
                 job.result()
@@ -144,6 +148,25 @@ def signature_of(catalog: DataFrame) -> DataFrame:
     )
 
 
+#: The rolling hash of keys: h = (33 h + byte) mod 2^31 - 1, from 5381 on. Fixed values.
+FACTOR, MODULUS, FIRST = 33, 2**31 - 1, 5381
+
+
+def rolling_signature(catalog: DataFrame, order: str = "item_id") -> DataFrame:
+    """One row (n_items, signature): the rolling hash of all keys in the catalog's order. A text is the function h -> (m h + a) mod MODULUS, with m = 33^length; such functions compose, so
+    stretches of the catalog are hashed side by side. Null keys count as empty."""
+    byte = F.split(T.as_bytes(F.coalesce("key", F.lit(""))), "")
+    byte = F.filter(byte, lambda c: c != "")
+    a = F.aggregate(byte, F.lit(0).cast("long"), lambda h, c: (h * FACTOR + F.ascii(c)) % MODULUS)
+    m = F.aggregate(byte, F.lit(1).cast("long"), lambda m, c: m * FACTOR % MODULUS)
+    rows = sequences.numbered(catalog.select(F.lit(0).alias("k"), F.col(order).alias("o"), "key"), ["o", "key"])
+    rows = rows.select("k", "pos", F.struct(m.alias("m"), a.alias("a")).alias("x"))
+    whole = sequences.composed(rows, "k", lambda x: x, lambda f, g: F.struct((f["m"] * g["m"] % MODULUS).alias("m"), ((f["a"] * g["m"] + g["a"]) % MODULUS).alias("a")))
+    n = catalog.agg(F.count(F.lit(1)).alias("n_items"))
+    one = n.join(F.broadcast(whole.select(((F.lit(FIRST) * F.col("f.m") + F.col("f.a")) % MODULUS).alias("h"))), how="left")  # a row each
+    return one.select("n_items", F.concat_ws(":", F.col("n_items").cast("string"), F.coalesce("h", F.lit(FIRST)).cast("string")).alias("signature"))
+
+
 def phrases_of(fields: DataFrame) -> DataFrame:
     return fields.select("norm", "field").distinct()
 
@@ -154,13 +177,19 @@ def numeric_specs(items: DataFrame, more: DataFrame | None = None) -> DataFrame:
 
 def build_index(catalog: DataFrame) -> Index:
     items = named(valid_items(catalog))
-    fields = item_fields(items)
+    return index_of(catalog, items, item_fields(items))
+
+
+def index_of(catalog: DataFrame, items: DataFrame, fields: DataFrame) -> Index:
+    """The index of a catalog with its valid items and their fields."""
     postings = postings_of(fields)
     vocabulary = vocabulary_of(postings, items.count())
     numeric = numeric_of(items)
+    firsts = first_specs(numeric)
+    cuts = value_cuts(firsts)
     return Index(
         items=items, fields=fields, postings=postings, vocabulary=vocabulary, trigrams=trigrams_of(vocabulary, "token"), phrases=phrases_of(fields), phrase_trigrams=trigrams_of(fields, "norm"),
-        facets=facets_of(items), numeric=numeric, firsts=first_specs(numeric), skipped=skipped_of(catalog), meta=signature_of(catalog),
+        facets=facets_of(items), numeric=numeric, firsts=with_bins(firsts, cuts), cuts=cuts, skipped=skipped_of(catalog), meta=signature_of(catalog),
     )
 
 

@@ -1,11 +1,12 @@
 """The engine of one catalog: keeps a published index up to date with the catalog, answers queries and says what it is doing.
 
-An index is written to a folder of its own and then published as one more row of a small table, which a Spark job commits as a whole; readers take the row with the
-highest version, so they never see half an index. An index is rebuilt when the catalog's signature is not the published one.
+An index is written to a folder of its own and then published as a file named by the next version, which one of several writers can create; the others take the version after it. Readers
+take the highest version, so they never see half an index. An index is rebuilt when the catalog's signature is not the published one: at once, or in steps that go on in another session, too.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -17,10 +18,14 @@ from pyspark.sql import functions as F
 from wayfind.operators import index as I  # noqa: E741
 from wayfind.plans.search import explain, kept, parse_queries, search_compatible
 from wayfind.sources.catalogs import write_xml
+from wayfind.sources.workspace import create_once, exists, remove
+from wayfind.streaming.sliced import SlicedBuild
 
 #: Words for yes and no. Fixed values.
 YES_NO = {"1": True, "true": True, "on": True, "sim": True, "0": False, "false": False, "off": False, "nao": False}
 FAILURES, TOP = 3, 10
+#: Published versions whose tables are kept: the newest, and the one that readers may still be at.
+VERSIONS = 2
 PUBLISHED = "version long, path string, signature string, n_items long"
 
 
@@ -40,18 +45,42 @@ class Engine:
     index: I.Index | None = None
     version: int = 0
     low: list[str] = field(default_factory=list)
+    slice_items: int = 200_000
+    building: str | None = None
 
     # ---- lifecycle
 
     def published(self):
         """The newest published index as a row, or None."""
         try:
-            return self.spark.read.schema(PUBLISHED).parquet(f"{self.folder}/published").orderBy(F.desc("version")).first()
-        except AnalysisException:
+            return self.spark.read.schema(PUBLISHED).json(f"{self.folder}/published").orderBy(F.desc("version")).first()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
     def is_busy(self) -> bool:
-        return self.state == "indexing"
+        """Whether a build is under way, be it between two steps."""
+        return self.state == "indexing" or self.building is not None
+
+    def _publish(self, path: str, index: I.Index) -> None:
+        """As the version after the newest; if another engine was faster, as the one after that."""
+        meta = index.meta.first()
+        while True:
+            last = self.published()
+            version = (last["version"] if last else 0) + 1
+            row = {"version": version, "path": path, "signature": meta["signature"], "n_items": meta["n_items"]}
+            if create_once(self.spark, f"{self.folder}/published", f"v{version:012d}.json", json.dumps(row) + "\n"):
+                break
+        self.version, self.index, self.state, self.failures = version, index, "ready", 0
+        for old in self.spark.read.schema(PUBLISHED).json(f"{self.folder}/published").where(F.col("version") == version - VERSIONS).collect():
+            remove(self.spark, old["path"])
+
+    def _written(self, built: I.Index, fields: DataFrame | None = None) -> None:
+        path = f"{self.folder}/index-{uuid.uuid4().hex}"
+        coverage = I.low_specs(I.spec_coverage(built.items, built.numeric, list(self.spec_ids))) if self.spec_ids else None
+        self.low = sorted(r["spec_id"] for r in coverage.collect()) if coverage is not None else []  # at most the asked specs
+        self._publish(path, built.write(path, self.second(self.low) if self.second and self.low else None, fields))
 
     def ensure(self) -> I.Index | None:
         """The index of the catalog as it is; built anew only if the catalog has changed. None once the engine has failed too often."""
@@ -68,20 +97,47 @@ class Engine:
         """Builds and publishes, whatever is published. A failure leaves the last index in use; the third in a row ends the engine's work."""
         before, self.state = self.state, "indexing"
         try:
-            path = f"{self.folder}/index-{uuid.uuid4().hex}"
-            built = I.build_index(self.catalog())
-            coverage = I.low_specs(I.spec_coverage(built.items, built.numeric, list(self.spec_ids))) if self.spec_ids else None
-            self.low = sorted(r["spec_id"] for r in coverage.collect()) if coverage is not None else []  # at most the asked specs
-            index = built.write(path, self.second(self.low) if self.second and self.low else None)
-            meta, last = index.meta.first(), self.published()
-            self.version = (last["version"] if last else 0) + 1
-            self.spark.createDataFrame([(self.version, path, meta["signature"], meta["n_items"])], PUBLISHED).coalesce(1).write.mode("append").parquet(f"{self.folder}/published")
+            self._written(I.build_index(self.catalog()))
         except Exception:
-            self.failures += 1
-            self.state = "degraded" if self.failures >= FAILURES else before
+            self._failed(before)
             raise
-        self.index, self.state, self.failures = index, "ready", 0
-        return index
+        return self.index
+
+    def _failed(self, before: str) -> None:
+        self.failures += 1
+        self.state = "degraded" if self.failures >= FAILURES else before
+
+    def step(self, budget: float | None = None) -> bool:
+        """Works on the index of the catalog as it is for about ``budget`` seconds, a slice at least. Whether work is left. A build that this or another engine on the folder has begun is gone on
+        with; if the catalog has changed since, it is given up and another begins. The last index stays in use until the new one is published."""
+        if self.state == "degraded":
+            return False
+        now, wanted = self.published(), I.signature_of(self.catalog()).first()["signature"]
+        if now is not None and now["signature"] == wanted:
+            self._give_up()
+            self.ensure()
+            return False
+        path, before = f"{self.folder}/builds/{wanted.replace(':', '-')}", self.state
+        if self.building not in (None, path):
+            self._give_up()
+        self.building, self.state = path, "indexing"
+        try:
+            build = SlicedBuild(self.spark, path, self.catalog, self.slice_items)
+            if not build.step(budget):
+                self.state = before
+                return True
+            self._written(*build.parts())
+        except Exception:
+            self._failed(before)
+            raise
+        self._give_up()
+        return False
+
+    def _give_up(self) -> None:
+        """Removes what a build has written on its way."""
+        if self.building is not None and exists(self.spark, self.building):
+            remove(self.spark, self.building)
+        self.building = None
 
     def release(self) -> None:
         self.index, self.state = None, "uninitialized"

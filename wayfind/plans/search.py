@@ -15,10 +15,10 @@ from wayfind.functions import text as T
 from wayfind.operators import compat, filters, match, reasons, score
 from wayfind.operators.index import Index, named
 from wayfind.plans.query_parser import Parser
-from wayfind.sources.workspace import new_folder
+from wayfind.sources.workspace import kept
 
 PARSED = (
-    "query_id long, terms array<struct<pos int, text string>>, concepts array<struct<c int, kind string, value string, confidence double, words int, text string>>, "
+    "query_id string, terms array<struct<pos int, text string>>, concepts array<struct<c int, kind string, value string, confidence double, words int, text string>>, "
     "constraints array<struct<n int, quantity string, op string, low double, high double, unit string, factor double>>, context string, target array<string>, warnings array<string>"
 )
 
@@ -26,13 +26,15 @@ PARSED = (
 def _parse(batches: Iterator[pd.DataFrame], locales: tuple[str, ...]) -> Iterator[pd.DataFrame]:
     parser = Parser(locales)
     for pdf in batches:
-        yield pd.DataFrame([(i, *parser.parse_normal(norm).as_row()) for i, norm in zip(pdf["query_id"], pdf["norm"], strict=True)], columns=["query_id", "terms", "concepts", "constraints", "context", "target", "warnings"])
+        yield pd.DataFrame([(i, *parser.parse_normal(norm).as_row()) for i, norm in zip(pdf["id"], pdf["norm"], strict=True)], columns=["query_id", "terms", "concepts", "constraints", "context", "target", "warnings"])
 
 
 def parse_queries(queries: DataFrame, locales: tuple[str, ...] = ("en",)) -> DataFrame:
     """queries (query_id, text) as their terms, concepts and constraints. Normalising is native; the scan of a short text is Python."""
-    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), T.normalize(F.col("text")).alias("norm"))
-    return rows.mapInPandas(functools.partial(_parse, locales=locales), PARSED)
+    # Ids go through pandas as texts: a column of numbers with a null in it would become one of floats.
+    rows = queries.select(F.col("query_id").cast("long").cast("string").alias("id"), T.normalize(F.col("text")).alias("norm"))
+    out = rows.mapInPandas(functools.partial(_parse, locales=locales), PARSED)
+    return out.withColumn("query_id", F.col("query_id").cast("long"))
 
 
 @dataclass
@@ -58,15 +60,16 @@ def matched(index: Index, parsed: DataFrame, chosen: DataFrame | None = None, ra
     n_unknown = terms.where("not known").count()
     n = asking.agg(*[F.coalesce(F.sum(F.size(c)), F.lit(0)).alias(c) for c in ("concepts", "constraints")]).first()
     concepts, constraints = (df if n[c] else df.where("false") for c, df in (("concepts", concepts), ("constraints", constraints)))
+    # What kept() has written is of known size: Spark broadcasts a batch's queries, terms and hits if they are small enough, rather than shuffle the index.
     # What is allowed, for queries that restrict anything.
-    sets = filters.constraint_hits(constraints, index.firsts).select("query_id", F.concat(F.lit("c:"), F.col("n").cast("string")).alias("n"), "item_id")
+    sets = filters.constraint_hits(constraints, index.firsts, index.cuts).select("query_id", F.concat(F.lit("c:"), F.col("n").cast("string")).alias("n"), "item_id")
     asked = constraints.select("query_id", F.concat(F.lit("c:"), F.col("n").cast("string")).alias("n"))
     if chosen is not None:
         sets = sets.unionByName(filters.facet_hits(chosen, index.facets))
         asked = asked.unionByName(chosen.join(asking.select("query_id"), "query_id", "left_semi").select("query_id", F.concat(F.lit("facet:"), "facet").alias("n")).distinct())
     if ranges is not None:
         ranges = ranges.join(asking.select("query_id"), "query_id", "left_semi").withColumn("n", F.concat(F.lit("range:"), "spec_id"))
-        sets = sets.unionByName(F.broadcast(ranges).join(index.numeric.select("spec_id", "value", "item_id"), "spec_id").where(filters.within(F.col("value"), F.col("low"), F.col("high"))).select("query_id", "n", "item_id"))  # one row for each field of a form
+        sets = sets.unionByName(ranges.join(index.numeric.select("spec_id", "value", "item_id"), "spec_id").where(filters.within(F.col("value"), F.col("low"), F.col("high"))).select("query_id", "n", "item_id"))  # one row for each field of a form
         asked = asked.unionByName(ranges.select("query_id", "n").distinct())
     asked = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_sets"))
     allowed = filters.intersect(sets, asked)
@@ -146,12 +149,5 @@ def search_compatible(index: Index, parsed: DataFrame, vehicles: DataFrame, impl
     return ranked.join(found.select("query_id", "item_id", "detail"), ["query_id", "item_id"])
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, written once, where the parts of a search read it more than once. Tables of a batch's queries, terms and hits are small beside the index, and once
-    written their size is known: Spark then broadcasts them if they are small enough, rather than shuffle the index."""
-    df.write.parquet(path := new_folder(df.sparkSession, "search"))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def search_many(index: Index, queries: DataFrame, locales: tuple[str, ...] = ("en",), chosen: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:
     return search(index, kept(parse_queries(queries, locales)), chosen, ranges=ranges)

@@ -182,6 +182,14 @@ def catalog_signature(spark, sf_dir):
     return a.join(b.select("signature"), "signature").select("n_items").crossJoin(F.broadcast(keys))  # one row each
 
 
+_KEYS = "(select string_agg('part/' || p_partkey, '' order by p_partkey) as t, count(*) as n from part)"
+
+
+@query("rolling_signature", f"select n::bigint as n_items, n || ':' || list_reduce(list_prepend(5381::bigint, list_transform(string_split(t, ''), lambda c: ascii(c)::bigint)), lambda h, b: (h * 33 + b) % 2147483647) as signature from {_KEYS}")
+def rolling_signature(spark, sf_dir):
+    return index.rolling_signature(catalogs.parts(spark, sf_dir))
+
+
 @query("spec_coverage", "select s as spec_id, (case s when 'price' then (select count(*) from customer where c_acctbal >= 0) when 'late' then 0 else (select count(*) from customer where c_custkey % 3 = 0) end) / (select count(*) from customer) as coverage from (values ('price'), ('power'), ('late')) t(s)")
 def spec_coverage(spark, sf_dir):
     c = table(spark, sf_dir, "customer").withColumn("item_id", F.col("c_custkey"))
@@ -574,6 +582,32 @@ def generated_catalog(spark, sf_dir):
     return catalogs.generated(spark, 3000).select("item_id", "key", "name", "brand", "category", "origin", "price")
 
 
+@query("resumed_build", f"with {O.PARTS} select token, df, round(idf, 6) as idf from vocabulary")
+def resumed_build(spark, sf_dir):
+    """The part catalog's index, built in four slices by engines that each stop after one."""
+    from wayfind.plans.engine import Engine
+
+    folder, parts = new_folder(spark, "engine"), lambda: catalogs.parts(spark, sf_dir)
+    size = max(1, -(-parts().count() // 4))
+    while (engine := Engine(spark, folder, parts, slice_items=size)).step(0.0):
+        pass
+    return engine.index.vocabulary.select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+_RING = "row_number() over (partition by event_type order by ts desc, event_id desc) <= 100"
+
+
+@query("stream_latency_ring", f"select event_type, count(*)::int as n, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95 from (select * from events qualify {_RING}) group by event_type")
+def stream_latency_ring(spark, sf_dir):
+    """Percentiles of the last 100 values of each event type, as a stream over the events leaves them."""
+    from wayfind.streaming.incremental import latency_rings, newest
+
+    root, schema = new_folder(spark, "stream"), table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("event_type").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), "value")
+    latency_rings(events, f"{root}/rings", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return newest(spark, f"{root}/rings").select(F.col("key").alias("event_type"), "n", "p50", "p95")
+
+
 @query("stream_incremental_index", f"with {O.PARTS} select token, df, round(idf, 6) as idf from vocabulary")
 def stream_incremental_index(spark, sf_dir):
     """The part catalog read as a stream, indexed by micro-batches, as it stands when all is read."""

@@ -1,12 +1,15 @@
-"""Streaming: an index that grows by micro-batches, and a rate limiter of log lines with state."""
+"""Streaming: an index that grows by micro-batches, rings of latencies, and a rate limiter of log lines, the latter two with state."""
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wayfind.operators.index import item_fields, postings_of, valid_items, vocabulary_of
@@ -33,6 +36,46 @@ def published(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return postings, vocabulary_of(postings, latest.count())
 
 
+class Ring(StatefulProcessor):
+    """The last ``size`` values of a key, by time and number, whatever order they come in; a key's rows are read frame by frame, and no more than the ring is held."""
+
+    def __init__(self, size: int, ps: tuple[float, ...]):
+        self.size, self.ps = size, ps
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getListState("ring", "at timestamp, seq long, value double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        last = [tuple(r) for r in self.ring.get()] if self.ring.exists() else []
+        heapq.heapify(last)
+        for pdf in rows:
+            for row in zip(pdf["at"], pdf["seq"].astype(int), pdf["value"].astype(float), strict=True):
+                (heapq.heappush if len(last) < self.size else heapq.heappushpop)(last, (row[0].to_pydatetime(), *row[1:]))
+        self.ring.put(sorted(last))
+        values = sorted(v for *_, v in last)
+        rank = lambda p: values[max(1, min(len(values), math.ceil(p * len(values)))) - 1]
+        yield pd.DataFrame([(key[0], len(values), *map(rank, self.ps))], columns=["key", "n", *[f"p{round(p * 100)}" for p in self.ps]])
+
+    def close(self) -> None:
+        pass
+
+
+def latency_rings(values: DataFrame, path: str, checkpoint: str, size: int = 100, ps: tuple[float, ...] = (0.5, 0.95)):
+    """values (key, at, seq, value) as a stream: after each micro-batch, the size and nearest-rank percentiles of the rings of its keys, below the batch's number. Rows with nulls are no values.
+    The rings are kept by RocksDB, which the session is set to."""
+    values.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = "key string, n int, " + ", ".join(f"p{round(p * 100)} double" for p in ps)
+    rings = values.where("at is not null and seq is not null and value is not null").groupBy("key").transformWithStateInPandas(Ring(size, ps), kind, "Update", "None")
+    return rings.writeStream.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")).outputMode("update").option("checkpointLocation", checkpoint)
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """Each key's row of its latest batch."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy("key").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["key", "batch"], "left_semi").drop("batch")
+
+
 def limit_logs(lines: DataFrame, seconds: float = 60.0) -> DataFrame:
     """lines (key, ts) as a stream: (key, ts, suppressed), at most one in ``seconds`` for a key since the last one let through."""
 
