@@ -42,6 +42,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+#: Bytes of a batch that goes to Python at once, where the session has Spark's own bound: with that, two batches of long texts as pandas objects fill a small executor.
+BATCH_BYTES = 8_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session send texts to Python in batches of BATCH_BYTES, if it has no bound of its own below Spark's."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, "67108864b") in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(bound, str(BATCH_BYTES))
+
+
 class Tables:
     """Intermediate tables of one operator run: written once, read often. Those that the (lazy) result does not read are dropped on the way;
     the others stay in the shared folder, as they are read when the result is.
@@ -52,6 +63,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        small_batches(spark)
 
     def write(self, df: DataFrame, name: str, by: str | None = None, codec: str = "uncompressed") -> DataFrame:
         out = df.write.option("compression", codec)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, fresh, let, words
+from .common import documents, fresh, let, small_batches, words
 
 RUN = "array<struct<start:bigint,length:bigint,period:bigint>>"
 MOD, BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
@@ -198,6 +198,7 @@ def _runs(batches: Iterator[pa.RecordBatch], least: int, repeats: int) -> Iterat
 
 def collapse_runs(docs: DataFrame, text: str = "text", least: int = 6, repeats: int = 4, drop_text: bool = False) -> DataFrame:
     """docs (without the text itself, if drop_text) with ``runs`` (start, length, period, in words, by start, then period) and ``collapsed`` (the words left, joined by one space)."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("runs", "collapsed")
     raw = fresh(docs, "raw")[0]
     kept = [f for f in docs.schema.fields if not (drop_text and f.name == text)]
