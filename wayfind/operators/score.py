@@ -85,8 +85,17 @@ def rank(scored: DataFrame, items: DataFrame, most: int = MOST, relative: float
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query_id", "rank", "item_id", "key", "score", "coverage")
 
 
-def resolve_targets(ranked: DataFrame, least: float = 0.6, margin: float = 0.1) -> DataFrame:
-    """(query_id, item_id): the first result where it is good enough and clearly ahead of the second."""
+#: Why no target was taken.
+NOT_FOUND, AMBIGUOUS = "compatibility target not found", "ambiguous compatibility target"
+
+
+def judge_targets(ranked: DataFrame, least: float = 0.6, margin: float = 0.1) -> DataFrame:
+    """(query_id, item_id, warning) of each query with a result: the first one is the target if it is good enough and clearly ahead of the second; else the warning says what it lacks."""
     second = F.lead("score").over(W.partitionBy("query_id").orderBy("rank"))
     rows = ranked.withColumn("second", second).where("rank = 1")
-    return rows.where((F.col("score") >= least) & (F.col("second").isNull() | (F.col("score") - F.col("second") >= margin))).select("query_id", "item_id")
+    return rows.select("query_id", "item_id", F.when(F.col("score") < least, NOT_FOUND).when(F.col("score") - F.col("second") < margin, AMBIGUOUS).alias("warning"))
+
+
+def resolve_targets(ranked: DataFrame, least: float = 0.6, margin: float = 0.1) -> DataFrame:
+    """(query_id, item_id): the first result where it is good enough and clearly ahead of the second."""
+    return judge_targets(ranked, least, margin).where("warning is null").select("query_id", "item_id")

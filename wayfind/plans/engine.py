@@ -16,14 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfind.operators import index as I  # noqa: E741
-from wayfind.plans.search import explain, kept, parse_queries, search_compatible
+from wayfind.plans.search import explain, kept, parse_queries, search, search_compatible, warnings_of
 from wayfind.sources.catalogs import write_xml
+from wayfind.sources.settings import Settings
 from wayfind.sources.workspace import create_once, exists, remove
 from wayfind.streaming.sliced import SlicedBuild
 
 #: Words for yes and no. Fixed values.
 YES_NO = {"1": True, "true": True, "on": True, "sim": True, "0": False, "false": False, "off": False, "nao": False}
 FAILURES, TOP = 3, 10
+#: Settings that a user can switch by name. Fixed values.
+OPTIONS = {"showReasons": "ui#showReasons", "incremental": "ui#incremental"}
 #: Published versions whose tables are kept: the newest, and the one that readers may still be at.
 VERSIONS = 2
 PUBLISHED = "version long, path string, signature string, n_items long"
@@ -39,7 +42,6 @@ class Engine:
     locales: tuple[str, ...] = ("en",)
     spec_ids: tuple[str, ...] = ()
     second: Callable[[list[str]], DataFrame] | None = None
-    options: dict[str, bool] = field(default_factory=lambda: {"showReasons": True, "incremental": True})
     state: str = "uninitialized"
     failures: int = 0
     index: I.Index | None = None
@@ -48,6 +50,9 @@ class Engine:
     slice_items: int = 200_000
     building: str | None = None
 
+    def __post_init__(self) -> None:
+        self.settings = Settings(self.spark, self.folder)
+
     # ---- lifecycle
 
     def published(self):
@@ -150,6 +155,13 @@ class Engine:
     def status(self) -> dict:
         return {"state": self.state, "version": self.version, "n_items": self.index.items.count() if self.index else 0, "failures": self.failures, "low_specs": self.low}
 
+    def search(self, text: str) -> tuple[DataFrame, DataFrame]:
+        """(results, warnings): at most as many results as the settings allow, with lines of reasons if they are to be shown."""
+        index, parsed = self.ensure(), self._asked(text)
+        most = int(self.settings.get("search#maxResults"))
+        found = explain(index, parsed, most=most) if self.option("showReasons") else search(index, parsed, most=most)
+        return found.orderBy("rank"), warnings_of(index, parsed)
+
     def explain_query(self, text: str, top: int = TOP) -> tuple[DataFrame, DataFrame]:
         """What the text was understood as, and its first results with their reasons."""
         parsed = self._asked(text)
@@ -167,13 +179,17 @@ class Engine:
         write_xml(self.catalog(), path)
 
     def set_option(self, name: str, word: str) -> bool:
-        if name not in self.options:
-            raise KeyError(f"unknown option {name}: one of {', '.join(self.options)}")
+        """Stores a switch beside the index, where other engines on the folder find it."""
+        if name not in OPTIONS:
+            raise KeyError(f"unknown option {name}: one of {', '.join(OPTIONS)}")
         if (value := YES_NO.get(str(word).lower())) is None:
             raise ValueError(f"{name} is one of {', '.join(YES_NO)}")
-        self.options[name] = value
+        self.settings.set(OPTIONS[name], value)
         return value
 
+    def option(self, name: str) -> bool:
+        return self.settings.get(OPTIONS[name])
+
 
 @dataclass
 class SearchState:

@@ -126,16 +126,28 @@ def target_of(index: Index, parsed: DataFrame, selected: DataFrame | None = None
     """(query_id, target): the item that a compatibility query is about: the selected one, (query_id, key), or the one that its words name
     exactly or begin, where that is clear. Misspelt words name none."""
     asked = parsed.where("context is not null")
-    words = asked.where("context = 'query'").select("query_id", F.posexplode("target").alias("pos", "text"))
+    found = score.resolve_targets(_target_ranks(index, parsed)).join(index.items.select("item_id", F.col("key").alias("target")), "item_id").select("query_id", "target")
+    if selected is not None:
+        found = found.unionByName(asked.where("context = 'selected'").select("query_id").join(selected.select("query_id", F.col("key").alias("target")), "query_id"))
+    return found
+
+
+def _target_ranks(index: Index, parsed: DataFrame) -> DataFrame:
+    """The items that the words of each compatibility query name, ranked without a cut."""
+    words = parsed.where("context = 'query'").select("query_id", F.posexplode("target").alias("pos", "text"))
     idf = index.vocabulary.select(F.col("token").alias("text"), "idf")
     words = words.join(idf, "text", "left").select("query_id", "pos", "text", F.coalesce("idf", F.lit(1.0)).alias("idf"))
     hits = match.exact_hits(words, index.vocabulary).unionByName(match.prefix_hits(words, index.vocabulary))
     best = match.best_fields(hits, index.postings).withColumn("far", F.lit(False))
-    ranked = score.rank(score.score_items(best, words), names_of(index), relative=0.0, least=0.0)
-    found = score.resolve_targets(ranked).join(index.items.select("item_id", F.col("key").alias("target")), "item_id").select("query_id", "target")
-    if selected is not None:
-        found = found.unionByName(asked.where("context = 'selected'").select("query_id").join(selected.select("query_id", F.col("key").alias("target")), "query_id"))
-    return found
+    return score.rank(score.score_items(best, words), names_of(index), relative=0.0, least=0.0)
+
+
+def warnings_of(index: Index, parsed: DataFrame) -> DataFrame:
+    """(query_id, warning): what the parser passed over, and why a compatibility query has no target."""
+    said = parsed.select("query_id", F.explode("warnings").alias("warning"))
+    judged = score.judge_targets(_target_ranks(index, parsed)).select("query_id", "warning", F.lit(True).alias("seen"))
+    asked = parsed.where("context = 'query'").select("query_id").join(judged, "query_id", "left")
+    return said.unionByName(asked.select("query_id", F.when(F.col("seen").isNull(), score.NOT_FOUND).otherwise(F.col("warning")).alias("warning")).where("warning is not null"))
 
 
 def search_compatible(index: Index, parsed: DataFrame, vehicles: DataFrame, implements: DataFrame, selected: DataFrame | None = None, most: int = score.MOST) -> DataFrame:

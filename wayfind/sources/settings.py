@@ -22,7 +22,9 @@ class Settings:
         """(name, version, value): each name's newest value."""
         try:
             rows = self.spark.read.schema(STORED).parquet(self.path)
-        except AnalysisException:  # nothing was ever stored
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             rows = self.spark.createDataFrame([], STORED)
         return rows.groupBy("name").agg(F.max("version").alias("version"), F.max_by("value", "version").alias("value"))
 
