@@ -1,13 +1,14 @@
 """Media columns by content-defined chunking.
 
-A payload is stored as an 8-bit mono WAV file. The file's bytes are cut where a rolling gear hash has ``bits`` zero bits, so equal stretches of
-different files give equal chunks wherever they stand. A file is described by its *manifest*, the ordered list of its chunk digests.
+A payload is stored as an 8-bit mono WAV file: a header, kept with the file's row, and a body. The body is cut where a rolling gear hash has ``bits`` zero
+bits, so equal stretches of different files give equal chunks wherever they stand; the header, which holds the file's length, is in no chunk. A file is
+described by its *manifest*, the ordered list of its chunk digests. Chunks of some 270 bytes are the size of a paragraph, which is what texts share.
 
 1. Each document's manifest is computed; only digests leave the task. Equal files are one file (by digest), described once.
-2. Joins on digests give each chunk one owner, the first file that has it. Chunks that several files hold are *lent* by their owner.
-3. The store is written: a row for each file, with the chunks that it owns. Lent chunks are written once more, alone, so that a borrower
+2. Joins on digests give each chunk one owner, the first file that has it. Chunks that stand at several places are *lent* by their owner.
+3. The store is written: a row for each file, with the chunks that it has alone. Lent chunks are written once, each in a row, so that a borrower
    need not read its lenders' files.
-4. Reading back: a file that owns all its chunks is put together in place; others join the chunks that they borrow. The file's digest is
+4. Reading back: a file that has all its chunks alone is put together in place; others join the chunks that are lent. The file's digest is
    verified, and features are computed from the samples read.
 
 Cases: a null text is empty; an empty text has one unit of padding; equal texts give equal values; ids may repeat or be null (rows are joined by
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Tables, broadcast_if_small, documents
 
-UNIT, RATE = 576, 8000
+UNIT, RATE, HEADER = 576, 8000, 44
 _GEAR = np.random.default_rng(576).integers(0, 2**32, 256, dtype=np.uint32)
 WINDOW = 32
 RESULT = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -78,29 +79,33 @@ def cuts(data: bytes, least: int, most: int, bits: int) -> list[int]:
     return ends
 
 
+def chunks_of(data: bytes, least: int, most: int, bits: int) -> list[bytes]:
+    ends = cuts(data, least, most, bits)
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def _manifest(batches: Iterator[pd.DataFrame], least: int, most: int, bits: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for text, key in zip(pdf["text"], pdf["_t"], strict=True):
             media = encode_wav(payload_of(text))
-            ends = cuts(media, least, most, bits)
-            digests = [hashlib.blake2b(media[a:b], digest_size=16).digest() for a, b in zip([0, *ends], ends, strict=False)]
+            digests = [hashlib.blake2b(chunk, digest_size=16).digest() for chunk in chunks_of(media[HEADER:], least, most, bits)]
             rows.append((key, hashlib.sha256(media).digest(), digests))
         yield pd.DataFrame(rows, columns=["_t", "sha", "chunks"])
 
 
 def _store(batches: Iterator[pd.DataFrame], least: int, most: int, bits: int) -> Iterator[pd.DataFrame]:
-    """Rows of the store: the chunks that a file owns, in order (kind ``file``), and chunks that it lends (kind ``lent``)."""
+    """Rows of the store: a file whole (kind ``file``) or the chunks that it has alone, in order (``part``), and chunks that it lends (``lent``)."""
     for pdf in batches:
         rows = []
         for text, own, lend in zip(pdf["text"], pdf["own"], pdf["lend"], strict=True):
             media = encode_wav(payload_of(text))
-            ends = cuts(media, least, most, bits)
-            chunks = [media[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            header, body = media[:HEADER], media[HEADER:]
+            chunks = chunks_of(body, least, most, bits)
             mine = range(len(chunks)) if own is None else sorted(own)
-            rows.append(("file" if own is None else "part", hashlib.sha256(media).digest(), list(mine) if own is not None else [], [b"".join(chunks)] if own is None else [chunks[i] for i in mine]))
-            rows += [("lent", hashlib.blake2b(chunks[i], digest_size=16).digest(), [], [chunks[i]]) for i in (lend if lend is not None else [])]
-        yield pd.DataFrame(rows, columns=["kind", "key", "at", "bytes"])
+            rows.append(("file" if own is None else "part", hashlib.sha256(media).digest(), header, list(mine) if own is not None else [], [body] if own is None else [chunks[i] for i in mine]))
+            rows += [("lent", hashlib.blake2b(chunks[i], digest_size=16).digest(), None, [], [chunks[i]]) for i in (lend if lend is not None else [])]
+        yield pd.DataFrame(rows, columns=["kind", "key", "header", "at", "bytes"])
 
 
 def feature_of(samples: bytes) -> str:
@@ -114,12 +119,12 @@ def _read(batches: Iterator[pd.DataFrame], borrow: bool) -> Iterator[pd.DataFram
     """Files put together, verified and described."""
     for pdf in batches:
         rows = []
-        for i, (sha, at, own) in enumerate(zip(pdf["key"], pdf["at"], pdf["bytes"], strict=True)):
+        for i, (sha, header, at, own) in enumerate(zip(pdf["key"], pdf["header"], pdf["at"], pdf["bytes"], strict=True)):
             if borrow:
                 parts = dict(zip(map(int, at), own, strict=True)) | {b["pos"]: b["bytes"] for b in (pdf["borrowed"].iat[i] if pdf["borrowed"].iat[i] is not None else [])}
-                media = b"".join(parts[j] for j in range(len(parts)))
+                media = b"".join([header, *[parts[j] for j in range(len(parts))]])
             else:
-                media = bytes(own[0])
+                media = header + own[0]
             digest = hashlib.sha256(media)
             if digest.digest() != bytes(sha):
                 raise ValueError("a stored file differs from its manifest")
@@ -134,7 +139,7 @@ READ = "sha binary, n_bytes long, payload_bytes long, payload_sha256 string, tai
 class ChunkStore:
     """The media of a table's texts: ``manifests`` (text key, file digest, chunks), ``files`` and ``lent`` (the stored bytes)."""
 
-    def __init__(self, docs: DataFrame, text: str = "text", least: int = 1024, most: int = 65536, bits: int = 12):
+    def __init__(self, docs: DataFrame, text: str = "text", least: int = 128, most: int = 65536, bits: int = 7):
         spark: SparkSession = docs.sparkSession
         self.tables = Tables(spark, "media")
         cut = {"least": least, "most": most, "bits": bits}
@@ -149,10 +154,10 @@ class ChunkStore:
         owners = held.groupBy("digest").agg(F.min(F.struct("_t", "pos")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = self.tables.write(held.join(owners, "digest").select("_t", "pos", "digest", ((F.col("owner._t") == F.col("_t")) & (F.col("owner.pos") == F.col("pos"))).alias("owns")), "shared")
         # What the writer must know: files that share chunks, with what they own and lend.
-        of = shared.groupBy("_t").agg(F.collect_list(F.when(~F.col("owns"), F.col("pos"))).alias("not_own"), F.collect_list(F.when(F.col("owns"), F.col("pos"))).alias("lend"))
+        of = shared.groupBy("_t").agg(F.collect_list("pos").alias("not_own"), F.collect_list(F.when(F.col("owns"), F.col("pos"))).alias("lend"))
         n = self.manifests.select("_t", F.size("chunks").alias("n"), F.col("rows").alias("_rows"))
         of = of.join(n, "_t")
-        own = F.when(F.size("not_own") > 0, F.array_except(F.sequence(F.lit(0), F.col("n") - 1), "not_own"))
+        own = F.array_except(F.sequence(F.lit(0), F.col("n") - 1), "not_own")
         told = of.select("_t", own.alias("own"), "lend")
         # Only texts that occur more than once are shuffled, so that one row of each writes the file.
         copies = self.manifests.where("rows > 1").select("_t")
@@ -160,17 +165,26 @@ class ChunkStore:
         rows = texts.join(broadcast_if_small(told), "_t", "left")
         single = rows.where("copied is null").select("text", "own", "lend")
         copied = rows.where("copied").groupBy("_t").agg(F.first("text").alias("text"), F.first("own").alias("own"), F.first("lend").alias("lend")).select("text", "own", "lend")
-        store = single.unionByName(copied).mapInPandas(functools.partial(_store, **cut), "kind string, key binary, at array<int>, bytes array<binary>")
+        store = single.unionByName(copied).mapInPandas(functools.partial(_store, **cut), "kind string, key binary, header binary, at array<int>, bytes array<binary>")
         self.store = self.tables.write(store, "store", by="kind", codec="zstd")
         self.shared = shared
 
+    def sizes(self) -> DataFrame:
+        """One row: bytes of the different files' bodies, and what is stored of them. A chunk is stored once, however many files hold it."""
+        held = F.aggregate("bytes", F.lit(0).cast("long"), lambda n, b: n + F.octet_length(b))
+        of = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), held)), F.lit(0))
+        lent = self.store.where("kind = 'lent'").select(F.col("key").alias("digest"), held.alias("n"))
+        borrowed = self.shared.join(lent, "digest").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("borrowed"))
+        stored = self.store.agg(of("file", "part").alias("own"), of("lent").alias("lent"))
+        return stored.join(F.broadcast(borrowed), how="left").select((F.col("own") + F.col("borrowed")).alias("body_bytes"), (F.col("own") + F.col("lent")).alias("stored_bytes"))  # a row each
+
     def read(self) -> DataFrame:
         """(sha, RESULT): a row for each file, from the stored bytes."""
-        whole = self.store.where("kind = 'file'").select("key", "at", "bytes").mapInPandas(functools.partial(_read, borrow=False), READ)
+        whole = self.store.where("kind = 'file'").select("key", "header", "at", "bytes").mapInPandas(functools.partial(_read, borrow=False), READ)
         lent = self.store.where("kind = 'lent'").select(F.col("key").alias("digest"), F.get("bytes", F.lit(0)).alias("bytes"))
-        borrowed = self.shared.where("not owns").join(self.manifests.select("_t", "sha"), "_t").select("sha", "pos", "digest").join(lent, "digest")
+        borrowed = self.shared.join(self.manifests.select("_t", "sha"), "_t").select("sha", "pos", "digest").join(lent, "digest")
         borrowed = borrowed.groupBy(F.col("sha").alias("key")).agg(F.collect_list(F.struct("pos", "bytes")).alias("borrowed"))
-        parts = self.store.where("kind = 'part'").select("key", "at", "bytes").join(borrowed, "key", "left")
+        parts = self.store.where("kind = 'part'").select("key", "header", "at", "bytes").join(borrowed, "key", "left")
         return whole.unionByName(parts.mapInPandas(functools.partial(_read, borrow=True), READ))
 
 
