@@ -98,13 +98,16 @@ def _store(batches: Iterator[pd.DataFrame], least: int, most: int, bits: int) ->
     """Rows of the store: a file whole (kind ``file``) or the chunks that it has alone, in order (``part``), and chunks that it lends (``lent``)."""
     for pdf in batches:
         rows = []
-        for text, own, lend in zip(pdf["text"], pdf["own"], pdf["lend"], strict=True):
+        for text, shared, lend in zip(pdf["text"], pdf["shared"], pdf["lend"], strict=True):
             media = encode_wav(payload_of(text))
             header, body = media[:HEADER], media[HEADER:]
             chunks = chunks_of(body, least, most, bits)
-            mine = range(len(chunks)) if own is None else sorted(own)
-            rows.append(("file" if own is None else "part", hashlib.sha256(media).digest(), header, list(mine) if own is not None else [], [body] if own is None else [chunks[i] for i in mine]))
-            rows += [("lent", hashlib.blake2b(chunks[i], digest_size=16).digest(), None, [], [chunks[i]]) for i in (lend if lend is not None else [])]
+            if shared is None:
+                rows.append(("file", hashlib.sha256(media).digest(), header, [], [body]))
+                continue
+            mine = sorted(set(range(len(chunks))) - set(shared))
+            rows.append(("part", hashlib.sha256(media).digest(), header, mine, [chunks[i] for i in mine]))
+            rows += [("lent", hashlib.blake2b(chunks[i], digest_size=16).digest(), None, [], [chunks[i]]) for i in lend]
         yield pd.DataFrame(rows, columns=["kind", "key", "header", "at", "bytes"])
 
 
@@ -144,27 +147,26 @@ class ChunkStore:
         self.tables = Tables(spark, "media")
         cut = {"least": least, "most": most, "bits": bits}
         # A row's key is its text's 128-bit hash, so equal texts are one.
-        key = F.coalesce(F.md5(docs[text].cast("binary")), F.md5(F.lit("").cast("binary"))).alias("_t")
+        key = F.unhex(F.coalesce(F.md5(docs[text].cast("binary")), F.md5(F.lit("").cast("binary")))).alias("_t")
         self.key = key
         texts = docs.select(key, docs[text].alias("text"))
-        every = texts.mapInPandas(functools.partial(_manifest, **cut), "_t string, sha binary, chunks array<binary>")
-        every = self.tables.write(every, "every")
+        every = texts.mapInPandas(functools.partial(_manifest, **cut), "_t binary, sha binary, chunks array<binary>")
         self.manifests = self.tables.write(every.groupBy("_t").agg(F.first("sha").alias("sha"), F.first("chunks").alias("chunks"), F.count(F.lit(1)).alias("rows")), "manifests")
-        held = self.manifests.select("_t", F.posexplode("chunks").alias("pos", "digest"))
+        # Most chunks stand at one place only. Hashes of 8 bytes are counted first, so that digests and places are shuffled only of chunks that may repeat; digests decide.
+        hashes = self.manifests.select(F.explode(F.transform("chunks", lambda x: F.xxhash64(x))).alias("h"))
+        repeated = self.tables.write(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated")
+        held = self.manifests.select("_t", F.posexplode("chunks").alias("pos", "digest")).withColumn("h", F.xxhash64("digest"))
+        held = self.tables.write(held.join(broadcast_if_small(repeated), "h", "left_semi").drop("h"), "held")
         owners = held.groupBy("digest").agg(F.min(F.struct("_t", "pos")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = self.tables.write(held.join(owners, "digest").select("_t", "pos", "digest", ((F.col("owner._t") == F.col("_t")) & (F.col("owner.pos") == F.col("pos"))).alias("owns")), "shared")
-        # What the writer must know: files that share chunks, with what they own and lend.
-        of = shared.groupBy("_t").agg(F.collect_list("pos").alias("not_own"), F.collect_list(F.when(F.col("owns"), F.col("pos"))).alias("lend"))
-        n = self.manifests.select("_t", F.size("chunks").alias("n"), F.col("rows").alias("_rows"))
-        of = of.join(n, "_t")
-        own = F.array_except(F.sequence(F.lit(0), F.col("n") - 1), "not_own")
-        told = of.select("_t", own.alias("own"), "lend")
+        # What the writer must know: files with chunks that are lent, and which of these they own.
+        told = shared.groupBy("_t").agg(F.collect_list("pos").alias("shared"), F.collect_list(F.when(F.col("owns"), F.col("pos"))).alias("lend"))
         # Only texts that occur more than once are shuffled, so that one row of each writes the file.
         copies = self.manifests.where("rows > 1").select("_t")
         told = self.tables.write(told.join(copies.withColumn("copied", F.lit(True)), "_t", "full"), "told")
         rows = texts.join(broadcast_if_small(told), "_t", "left")
-        single = rows.where("copied is null").select("text", "own", "lend")
-        copied = rows.where("copied").groupBy("_t").agg(F.first("text").alias("text"), F.first("own").alias("own"), F.first("lend").alias("lend")).select("text", "own", "lend")
+        single = rows.where("copied is null").select("text", "shared", "lend")
+        copied = rows.where("copied").groupBy("_t").agg(F.first("text").alias("text"), F.first("shared").alias("shared"), F.first("lend").alias("lend")).select("text", "shared", "lend")
         store = single.unionByName(copied).mapInPandas(functools.partial(_store, **cut), "kind string, key binary, header binary, at array<int>, bytes array<binary>")
         self.store = self.tables.write(store, "store", by="kind", codec="zstd")
         self.shared = shared
