@@ -18,8 +18,8 @@ def test_shared_passages_are_stored_once(spark):
     sizes = store.sizes().first()
     assert sizes["body_bytes"] == sum(map(len, bodies)) and sizes["stored_bytes"] == sum(map(len, set(chunks)))
     assert sizes["stored_bytes"] < 0.7 * sizes["body_bytes"]
-    got = {bytes(r["sha"]): r["payload_sha256"] for r in store.read().collect()}
-    assert got == {hashlib.sha256(media.encode_wav(p)).digest(): hashlib.sha256(p).hexdigest() for p in map(media.payload_of, texts)}
+    got = {bytes(r["media_sha256"]): bytes(r["payload_sha256"]) for r in store.read().collect()}
+    assert got == {hashlib.sha256(media.encode_wav(p)).digest(): hashlib.sha256(p).digest() for p in map(media.payload_of, texts)}
 
 
 def test_equal_beginnings_share_though_lengths_differ(spark):

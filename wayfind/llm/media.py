@@ -4,7 +4,7 @@ A payload is stored as an 8-bit mono WAV file: a header, kept with the file's ro
 bits, so equal stretches of different files give equal chunks wherever they stand; the header, which holds the file's length, is in no chunk. A file is
 described by its *manifest*, the ordered list of its chunk digests. Chunks of some 270 bytes are the size of a paragraph, which is what texts share.
 
-1. Each document's manifest is computed; only digests leave the task. Equal files are one file (by digest), described once.
+1. Each document's manifest is computed; only digests leave the task. Equal texts are one file, described once.
 2. Joins on digests give each chunk one owner, the first file that has it. Chunks that stand at several places are *lent* by their owner.
 3. The store is written: a row for each file, with the chunks that it has alone. Lent chunks are written once, each in a row, so that a borrower
    need not read its lenders' files.
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, broadcast_if_small, documents
+from .common import Tables, broadcast_if_small, documents, fresh
 
 UNIT, RATE, HEADER = 576, 8000, 44
 _GEAR = np.random.default_rng(576).integers(0, 2**32, 256, dtype=np.uint32)
@@ -88,27 +88,27 @@ def _manifest(batches: Iterator[pd.DataFrame], least: int, most: int, bits: int)
     for pdf in batches:
         rows = []
         for text, key in zip(pdf["text"], pdf["_t"], strict=True):
-            media = encode_wav(payload_of(text))
-            digests = [hashlib.blake2b(chunk, digest_size=16).digest() for chunk in chunks_of(media[HEADER:], least, most, bits)]
-            rows.append((key, hashlib.sha256(media).digest(), digests))
-        yield pd.DataFrame(rows, columns=["_t", "sha", "chunks"])
+            body = encode_wav(payload_of(text))[HEADER:]
+            digests = [hashlib.blake2b(chunk, digest_size=16).digest() for chunk in chunks_of(body, least, most, bits)]
+            rows.append((key, digests))
+        yield pd.DataFrame(rows, columns=["_t", "chunks"])
 
 
 def _store(batches: Iterator[pd.DataFrame], least: int, most: int, bits: int) -> Iterator[pd.DataFrame]:
     """Rows of the store: a file whole (kind ``file``) or the chunks that it has alone, in order (``part``), and chunks that it lends (``lent``)."""
     for pdf in batches:
         rows = []
-        for text, shared, lend in zip(pdf["text"], pdf["shared"], pdf["lend"], strict=True):
+        for key, text, shared, lend in zip(pdf["_t"], pdf["text"], pdf["shared"], pdf["lend"], strict=True):
             media = encode_wav(payload_of(text))
             header, body = media[:HEADER], media[HEADER:]
             chunks = chunks_of(body, least, most, bits)
             if shared is None:
-                rows.append(("file", hashlib.sha256(media).digest(), header, [], [body]))
+                rows.append(("file", key, hashlib.sha256(media).digest(), header, [], [body]))
                 continue
             mine = sorted(set(range(len(chunks))) - set(shared))
-            rows.append(("part", hashlib.sha256(media).digest(), header, mine, [chunks[i] for i in mine]))
-            rows += [("lent", hashlib.blake2b(chunks[i], digest_size=16).digest(), None, [], [chunks[i]]) for i in lend]
-        yield pd.DataFrame(rows, columns=["kind", "key", "header", "at", "bytes"])
+            rows.append(("part", key, hashlib.sha256(media).digest(), header, mine, [chunks[i] for i in mine]))
+            rows += [("lent", hashlib.blake2b(chunks[i], digest_size=16).digest(), None, None, [], [chunks[i]]) for i in lend]
+        yield pd.DataFrame(rows, columns=["kind", "key", "sha", "header", "at", "bytes"])
 
 
 def feature_of(samples: bytes) -> str:
@@ -122,7 +122,7 @@ def _read(batches: Iterator[pd.DataFrame], borrow: bool) -> Iterator[pd.DataFram
     """Files put together, verified and described."""
     for pdf in batches:
         rows = []
-        for i, (sha, header, at, own) in enumerate(zip(pdf["key"], pdf["header"], pdf["at"], pdf["bytes"], strict=True)):
+        for i, (key, sha, header, at, own) in enumerate(zip(pdf["key"], pdf["sha"], pdf["header"], pdf["at"], pdf["bytes"], strict=True)):
             if borrow:
                 parts = dict(zip(map(int, at), own, strict=True)) | {b["pos"]: b["bytes"] for b in (pdf["borrowed"].iat[i] if pdf["borrowed"].iat[i] is not None else [])}
                 media = b"".join([header, *[parts[j] for j in range(len(parts))]])
@@ -132,11 +132,11 @@ def _read(batches: Iterator[pd.DataFrame], borrow: bool) -> Iterator[pd.DataFram
             if digest.digest() != bytes(sha):
                 raise ValueError("a stored file differs from its manifest")
             payload = decode_wav(media)
-            rows.append((bytes(sha), len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), digest.hexdigest(), feature_of(payload)))
-        yield pd.DataFrame(rows, columns=["sha", *RESULT])
+            rows.append((key, len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-32:]), len(media), digest.digest(), feature_of(payload)))
+        yield pd.DataFrame(rows, columns=["_t", *RESULT])
 
 
-READ = "sha binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "_t binary, n_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 
 
 class ChunkStore:
@@ -150,8 +150,8 @@ class ChunkStore:
         key = F.unhex(F.coalesce(F.md5(docs[text].cast("binary")), F.md5(F.lit("").cast("binary")))).alias("_t")
         self.key = key
         texts = docs.select(key, docs[text].alias("text"))
-        every = texts.mapInPandas(functools.partial(_manifest, **cut), "_t binary, sha binary, chunks array<binary>")
-        self.manifests = self.tables.write(every.groupBy("_t").agg(F.first("sha").alias("sha"), F.first("chunks").alias("chunks"), F.count(F.lit(1)).alias("rows")), "manifests")
+        every = texts.mapInPandas(functools.partial(_manifest, **cut), "_t binary, chunks array<binary>")
+        self.manifests = self.tables.write(every.groupBy("_t").agg(F.first("chunks").alias("chunks"), F.count(F.lit(1)).alias("rows")), "manifests")
         # Most chunks stand at one place only. Hashes of 8 bytes are counted first, so that digests and places are shuffled only of chunks that may repeat; digests decide.
         hashes = self.manifests.select(F.explode(F.transform("chunks", lambda x: F.xxhash64(x))).alias("h"))
         repeated = self.tables.write(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated")
@@ -165,9 +165,9 @@ class ChunkStore:
         copies = self.manifests.where("rows > 1").select("_t")
         told = self.tables.write(told.join(copies.withColumn("copied", F.lit(True)), "_t", "full"), "told")
         rows = texts.join(broadcast_if_small(told), "_t", "left")
-        single = rows.where("copied is null").select("text", "shared", "lend")
-        copied = rows.where("copied").groupBy("_t").agg(F.first("text").alias("text"), F.first("shared").alias("shared"), F.first("lend").alias("lend")).select("text", "shared", "lend")
-        store = single.unionByName(copied).mapInPandas(functools.partial(_store, **cut), "kind string, key binary, header binary, at array<int>, bytes array<binary>")
+        single = rows.where("copied is null").select("_t", "text", "shared", "lend")
+        copied = rows.where("copied").groupBy("_t").agg(F.first("text").alias("text"), F.first("shared").alias("shared"), F.first("lend").alias("lend")).select("_t", "text", "shared", "lend")
+        store = single.unionByName(copied).mapInPandas(functools.partial(_store, **cut), "kind string, key binary, sha binary, header binary, at array<int>, bytes array<binary>")
         self.store = self.tables.write(store, "store", by="kind", codec="zstd")
         self.shared = shared
 
@@ -181,12 +181,11 @@ class ChunkStore:
         return stored.join(F.broadcast(borrowed), how="left").select((F.col("own") + F.col("borrowed")).alias("body_bytes"), (F.col("own") + F.col("lent")).alias("stored_bytes"))  # a row each
 
     def read(self) -> DataFrame:
-        """(sha, RESULT): a row for each file, from the stored bytes."""
-        whole = self.store.where("kind = 'file'").select("key", "header", "at", "bytes").mapInPandas(functools.partial(_read, borrow=False), READ)
+        """(_t, RESULT): a row for each different text, from the stored bytes; digests as bytes."""
+        whole = self.store.where("kind = 'file'").select("key", "sha", "header", "at", "bytes").mapInPandas(functools.partial(_read, borrow=False), READ)
         lent = self.store.where("kind = 'lent'").select(F.col("key").alias("digest"), F.get("bytes", F.lit(0)).alias("bytes"))
-        borrowed = self.shared.join(self.manifests.select("_t", "sha"), "_t").select("sha", "pos", "digest").join(lent, "digest")
-        borrowed = borrowed.groupBy(F.col("sha").alias("key")).agg(F.collect_list(F.struct("pos", "bytes")).alias("borrowed"))
-        parts = self.store.where("kind = 'part'").select("key", "header", "at", "bytes").join(borrowed, "key", "left")
+        borrowed = self.shared.join(lent, "digest").groupBy(F.col("_t").alias("key")).agg(F.collect_list(F.struct("pos", "bytes")).alias("borrowed"))
+        parts = self.store.where("kind = 'part'").select("key", "sha", "header", "at", "bytes").join(borrowed, "key", "left")
         return whole.unionByName(parts.mapInPandas(functools.partial(_read, borrow=True), READ))
 
 
@@ -194,9 +193,11 @@ def media_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_bytes, payload and media figures and features, all read back from the store."""
     docs = docs.drop(*RESULT)
     store = ChunkStore(docs, text)
-    read = store.tables.write(store.read(), "read").join(store.manifests.select("_t", "sha"), "sha").drop("sha")
+    read = store.tables.write(store.read(), "read")
     others = [c for c in docs.columns if c != text]
-    return docs.select(*others, store.key).join(read, "_t").select(*others, *RESULT)
+    shown = [F.lower(F.hex(c)).alias(c) if c.endswith("sha256") else F.col(c) for c in RESULT]
+    (k,) = fresh(docs, "t")
+    return docs.select(*others, store.key.alias(k)).join(read.withColumnRenamed("_t", k), k).select(*others, *shown)
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
