@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wayfind.functions import text as T
 from wayfind.operators import compat, filters, match, reasons, score
 from wayfind.operators.index import Index, named
+from wayfind.plans.lexicon import Lexicon
 from wayfind.plans.query_parser import Parser
 from wayfind.sources.workspace import kept
 
@@ -23,17 +24,18 @@ PARSED = (
 )
 
 
-def _parse(batches: Iterator[pd.DataFrame], locales: tuple[str, ...]) -> Iterator[pd.DataFrame]:
-    parser = Parser(locales)
+def _parse(batches: Iterator[pd.DataFrame], locales: tuple[str, ...], lexicon: Lexicon | None = None) -> Iterator[pd.DataFrame]:
+    parser = Parser(locales, lexicon)
     for pdf in batches:
         yield pd.DataFrame([(i, *parser.parse_normal(norm).as_row()) for i, norm in zip(pdf["id"], pdf["norm"], strict=True)], columns=["query_id", "terms", "concepts", "constraints", "context", "target", "warnings"])
 
 
-def parse_queries(queries: DataFrame, locales: tuple[str, ...] = ("en",)) -> DataFrame:
-    """queries (query_id, text) as their terms, concepts and constraints. Normalising is native; the scan of a short text is Python."""
+def parse_queries(queries: DataFrame, locales: tuple[str, ...] = ("en",), lexicon: Lexicon | None = None) -> DataFrame:
+    """queries (query_id, text) as their terms, concepts and constraints. Normalising is native; the scan of a short text is Python. lexicon: in place of
+    the built-in vocabulary of the locales, as sources.lexicons.load_lexicon() reads it."""
     # Ids go through pandas as texts: a column of numbers with a null in it would become one of floats.
     rows = queries.select(F.col("query_id").cast("long").cast("string").alias("id"), T.normalize(F.col("text")).alias("norm"))
-    out = rows.mapInPandas(functools.partial(_parse, locales=locales), PARSED)
+    out = rows.mapInPandas(functools.partial(_parse, locales=locales, lexicon=lexicon), PARSED)
     return out.withColumn("query_id", F.col("query_id").cast("long"))
 
 
@@ -161,5 +163,5 @@ def search_compatible(index: Index, parsed: DataFrame, vehicles: DataFrame, impl
     return ranked.join(found.select("query_id", "item_id", "detail"), ["query_id", "item_id"])
 
 
-def search_many(index: Index, queries: DataFrame, locales: tuple[str, ...] = ("en",), chosen: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:
-    return search(index, kept(parse_queries(queries, locales)), chosen, ranges=ranges)
+def search_many(index: Index, queries: DataFrame, locales: tuple[str, ...] = ("en",), chosen: DataFrame | None = None, ranges: DataFrame | None = None, lexicon: Lexicon | None = None) -> DataFrame:
+    return search(index, kept(parse_queries(queries, locales, lexicon)), chosen, ranges=ranges)

@@ -13,7 +13,7 @@ from wayfind.functions import text as T
 from wayfind.operators import calibrate, compat, diagnostics, filters, index, match, reasons, score
 from wayfind.plans.lexicon import STOPWORDS
 from wayfind.plans.search import explain, kept, parse_queries, search_compatible, search_many
-from wayfind.sources import catalogs
+from wayfind.sources import catalogs, lexicons
 from wayfind.sources.workspace import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -452,9 +452,11 @@ def stopword_removal(spark, sf_dir):
     return c.join(F.broadcast(stop), "token", "left_anti").groupBy("token").agg(F.count(F.lit(1)).alias("n"))  # a constant table
 
 
-@query("first_wins", "select p_type as word, min_by(p_brand, p_partkey) as meaning from part group by p_type")
+@query("first_wins", "select p_type as word, p_brand as meaning, prio::int as prio from (select *, p_size % 3 as prio from part) qualify row_number() over (partition by p_type order by prio, p_partkey) = 1")
 def first_wins(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("word")).agg(F.min_by("p_brand", "p_partkey").alias("meaning"))
+    """Types as words and brands as their meanings, sizes as locales."""
+    p = table(spark, sf_dir, "part").select(F.col("p_type").alias("word"), (F.col("p_size") % 3).cast("int").alias("prio"), F.col("p_partkey").alias("n"), F.col("p_brand").alias("meaning"))
+    return lexicons.first_wins(p, "word").select("word", "meaning", "prio")
 
 
 @query("phrase_fuzzy")
