@@ -39,8 +39,9 @@ def fold(text: Column) -> Column:
     return text
 
 
-def normalize(text: Column) -> Column:
-    """Lower-case ASCII words, numbers with their points and commas, and currency signs, each apart. Null gives an empty text."""
+def normalize(text: Column, apart: bool = True) -> Column:
+    """Lower-case ASCII words, numbers with their points and commas, and currency signs, each apart. Null gives an empty text. apart: letters and digits that
+    touch become words of their own."""
     x = F.regexp_replace(F.coalesce(text, F.lit("")), "\\$[0-9A-Fa-f]{6}", "")
     x = F.translate(fold(F.regexp_replace(x, "[\\x00-\\x1F\\x7F]", "")), UPPER, LOWER)
     for a, b in PROTECTED:
@@ -50,12 +51,17 @@ def normalize(text: Column) -> Column:
     x = F.regexp_replace(x, "(?<=[0-9])\\.(?=[0-9])", POINT)
     x = F.regexp_replace(x, "(?<=[0-9]),(?=[0-9])", COMMA)
     x = F.replace(x, F.lit("m3"), F.lit(CUBIC))
-    x = F.regexp_replace(x, "(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])", " ")
+    x = F.regexp_replace(x, "(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])", " ") if apart else x
     x = F.regexp_replace(x, "[!-/:-@\\[-`{-~]", " ")
     x = F.replace(F.translate(x, POINT + COMMA + DOLLAR, ".,$"), F.lit(CUBIC), F.lit("m3"))
     return F.trim(F.regexp_replace(x, " +", " "))
 
 
+def joined(text: Column) -> Column:
+    """The normal form in which "6r" stays one word."""
+    return normalize(text, apart=False)
+
+
 def tokens(norm: Column) -> Column:
     return F.array_remove(F.split(norm, " "), "")
 

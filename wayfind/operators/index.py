@@ -2,7 +2,8 @@
 
 A catalog has the columns item_id, key, name, brand, category, mod, author, dlc, species, origin, price (double) and specs (map<string, double>).
 Items without a key are not indexed; specs and prices that are not finite and non-negative are left out, and both are counted in ``skipped``. A
-catalog may also have price_text, the price as it was written, which only the counters read.
+catalog may also have price_text, the price as it was written, which only the counters read,
+and broken, which marks rows that could not be read.
 """
 
 from __future__ import annotations
@@ -74,8 +75,12 @@ class Index:
         return cls(**{t: spark.read.parquet(f"{path}/{t}") for t in cls.TABLES})
 
 
+def _broken(catalog: DataFrame):
+    return F.coalesce("broken", F.lit(False)) if "broken" in catalog.columns else F.lit(False)
+
+
 def valid_items(catalog: DataFrame) -> DataFrame:
-    return catalog.where((F.col("key").isNotNull()) & (F.col("key") != ""))
+    return catalog.where((F.col("key").isNotNull()) & (F.col("key") != "") & ~_broken(catalog))
 
 
 def named(items: DataFrame) -> DataFrame:
@@ -130,8 +135,10 @@ def numeric_of(items: DataFrame) -> DataFrame:
 
 
 def skipped_of(catalog: DataFrame) -> DataFrame:
-    """(reason, n): items without a key, and invalid specs and prices by id."""
-    no_key = catalog.where("key is null or key = ''").agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit("no-id").alias("reason"), "n")
+    """(reason, n): rows that could not be read, items without a key, and invalid specs and prices by id."""
+    broken, empty = _broken(catalog), F.coalesce(F.col("key") == "", F.lit(True))
+    counts = catalog.agg(F.count(F.when(~broken & empty, 1)).alias("no-id"), F.count(F.when(broken, 1)).alias("build-error"))
+    no_key = counts.unpivot([], ["no-id", "build-error"], "reason", "n").where("n > 0")
     items = valid_items(catalog)
     bad = items.select(F.explode("specs").alias("spec", "value")).where(~T.finite(F.col("value"))).select("spec")
     if "price" in items.columns:

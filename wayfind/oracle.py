@@ -17,7 +17,7 @@ def fold(x: str) -> str:
     return x
 
 
-def normalize(x: str) -> str:
+def normalize(x: str, apart: bool = True) -> str:
     point, comma, dollar, cubic = (f"chr({ord(c)})" for c in (T.POINT, T.COMMA, T.DOLLAR, T.CUBIC))
     x = rf"regexp_replace(regexp_replace(coalesce({x}, ''), '\$[0-9A-Fa-f]{{6}}', '', 'g'), '[\x00-\x1F\x7F]', '', 'g')"
     x = f"translate({fold(x)}, '{T.UPPER}', '{T.LOWER}')"
@@ -29,7 +29,7 @@ def normalize(x: str) -> str:
         for _ in range(2):
             x = rf"regexp_replace({x}, '([0-9]){c}([0-9])', '\1' || {mark} || '\2', 'g')"
     x = f"replace({x}, 'm3', {cubic})"
-    x = rf"regexp_replace(regexp_replace({x}, '([a-z])([0-9])', '\1 \2', 'g'), '([0-9])([a-z])', '\1 \2', 'g')"
+    x = rf"regexp_replace(regexp_replace({x}, '([a-z])([0-9])', '\1 \2', 'g'), '([0-9])([a-z])', '\1 \2', 'g')" if apart else x
     x = rf"regexp_replace({x}, '[!-/:-@\[-`{{-~]', ' ', 'g')"
     x = f"replace(translate({x}, {point} || {comma} || {dollar}, '.,$'), {cubic}, 'm3')"
     return f"trim(regexp_replace({x}, ' +', ' ', 'g'), ' ')"

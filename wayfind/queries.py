@@ -82,6 +82,15 @@ def normalize_text(spark, sf_dir):
     return d.select("doc_id", F.md5(F.col("norm").cast("binary")).alias("norm_md5"), F.length("norm").cast("long").alias("n_chars"))
 
 
+_MODEL = "replace(p_brand, '#', '') || '-' || p_size || 'HP ' || p_name"
+
+
+@query("joined_forms", f"select p_partkey, {O.normalize(_MODEL)} as norm, {O.normalize(_MODEL, apart=False)} as joined from part")
+def joined_forms(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(_MODEL).alias("model"))
+    return p.select("p_partkey", T.normalize(F.col("model")).alias("norm"), T.joined(F.col("model")).alias("joined"))
+
+
 @query("fold_accents", f"select doc_id, md5({O.fold('text')}) as folded_md5 from documents")
 def fold_accents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.fold(F.col("text")).cast("binary")).alias("folded_md5"))
@@ -121,13 +130,13 @@ _PRICE = "case when c_custkey % 10 = 1 then 'abc' when c_custkey % 10 = 2 then '
 _INVALID = "not coalesce(isfinite(try_cast({0} as double)) and try_cast({0} as double) >= 0, false)"
 
 
-@query("skip_counters", f"select 'no-id' as reason, count(*) as n from customer where c_nationkey = 0 having count(*) > 0 union all select 'invalid-spec:balance', count(*) from customer where c_nationkey <> 0 and not (c_acctbal >= 0) having count(*) > 0 union all select 'invalid-spec:price', count(*) from (select *, {_PRICE} as p from customer) where c_nationkey <> 0 and p <> '' and {_INVALID.format('p')} having count(*) > 0")
+@query("skip_counters", f"select 'build-error' as reason, count(*) as n from customer where c_custkey % 50 = 7 having count(*) > 0 union all select 'no-id', count(*) as n from customer where c_nationkey = 0 and c_custkey % 50 <> 7 having count(*) > 0 union all select 'invalid-spec:balance', count(*) from customer where c_nationkey <> 0 and c_custkey % 50 <> 7 and not (c_acctbal >= 0) having count(*) > 0 union all select 'invalid-spec:price', count(*) from (select *, {_PRICE} as p from customer) where c_nationkey <> 0 and c_custkey % 50 <> 7 and p <> '' and {_INVALID.format('p')} having count(*) > 0")
 def skip_counters(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     key = F.when(F.col("c_nationkey") == 0, "").otherwise(F.col("c_custkey").cast("string"))
     by = F.col("c_custkey") % 10
     price = F.when(by == 1, "abc").when(by == 2, "").when(by != 3, F.col("c_acctbal").cast("string"))
-    rows = c.select(key.alias("key"), F.create_map(F.lit("balance"), F.col("c_acctbal")).alias("specs"), price.alias("price_text"))
+    rows = c.select(key.alias("key"), F.create_map(F.lit("balance"), F.col("c_acctbal")).alias("specs"), price.alias("price_text"), (F.col("c_custkey") % 50 == 7).alias("broken"))
     return index.skipped_of(rows.withColumn("price", F.col("price_text").try_cast("double")))
 
 
@@ -459,14 +468,38 @@ def first_wins(spark, sf_dir):
     return lexicons.first_wins(p, "word").select("word", "meaning", "prio")
 
 
-@query("phrase_fuzzy")
+_SPELT = [(1, 1, "blu"), (1, 2, "anvill"), (2, 1, "larg"), (2, 2, "bolt"), (2, 3, "xyz"), (3, 1, "blue"), (4, 1, "blu"), (4, 2, "anvil"), (4, 3, "bran"), (4, 4, "10"), (5, 1, "blue"), (5, 2, "anvil"), (6, 1, "gren"), (6, 2, "gizmo"), (6, 3, "redd"), (6, 4, "widgte")]
+_PHRASES = f"""spelt(query_id, pos, text) as (values {', '.join(f"({q}::bigint, {p}, '{t}')" for q, p, t in _SPELT)}),
+numbered as (select *, row_number() over (partition by query_id order by pos) as seq, count(*) over (partition by query_id) as n_terms, text in (select token from vocabulary) as known from spelt),
+stretches as (
+  select query_id, seq as first, w as width, case w when 2 then text || ' ' || t1 else text || ' ' || t1 || ' ' || t2 end as text
+  from (select *, lead(text) over o as t1, lead(text, 2) over o as t2 from numbered where n_terms >= 2 window o as (partition by query_id order by pos)), (values (2), (3)) v(w)
+), windows as (select *, {O.max_distance("length(replace(text, ' ', ''))")} as d from stretches where text is not null),
+phrase_words as (select norm, gram, count(*) as times from (select norm, unnest({O.grams("norm")}) as gram from (select distinct norm from fields)) group by all),
+alike as (
+  select query_id, first, width, text, d, norm, sum(times) as shared from (select *, unnest({O.grams("text")}) as gram from windows where d > 0) join phrase_words using (gram)
+  where abs(length(norm) - length(text)) <= d group by all having sum(times) >= greatest(1, length(text) - 3 * d)
+), close as (
+  select *, {O.osa("text", "norm")} as dist from (select * from alike qualify row_number() over (partition by query_id, first, width order by shared desc, norm) <= 200)
+), chosen as (select * from close where dist <= d qualify row_number() over (partition by query_id, first, width order by dist, shared desc, norm) = 1
+), widest as (select * from chosen qualify row_number() over (partition by query_id, first order by width desc) = 1
+), helping as (
+  select *, row_number() over (partition by query_id order by first) as n from widest w
+  where exists (select 1 from numbered x where x.query_id = w.query_id and not x.known and x.seq >= w.first and x.seq < w.first + w.width)
+), taken(query_id, n, ok, free) as (
+  select query_id, n, true, first + width from helping where n = 1
+  union all select h.query_id, h.n, h.first >= t.free, case when h.first >= t.free then h.first + h.width else t.free end from taken t join helping h on h.query_id = t.query_id and h.n = t.n + 1
+)"""
+
+
+@query("phrase_fuzzy", f"with recursive {O.PARTS}, {_PHRASES} select query_id, first::int as first, width::int as width, norm as matched, dist::int as dist, round(1 - dist / greatest(length(text), length(norm)), 6) as sim from helping join taken using (query_id, n) where ok")
 def phrase_fuzzy(spark, sf_dir):
     """Stretches of two or three words near indexed phrases."""
     _, fields, postings = part_fields(spark, sf_dir)
-    terms = spark.createDataFrame([(1, 1, "blu"), (1, 2, "anvill"), (2, 1, "larg"), (2, 2, "bolt"), (2, 3, "xyz"), (3, 1, "blue")], "query_id long, pos int, text string")
+    terms = spark.createDataFrame(_SPELT, "query_id long, pos int, text string")
     known = postings.select(F.col("token").alias("text"), F.lit(True).alias("known")).distinct()
     terms = terms.join(known, "text", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    return match.phrase_hits(terms, index.trigrams_of(fields.select("norm").distinct(), "norm")).select("query_id", "first", "width", "matched", "dist", "sim")
+    return match.phrase_hits(terms, index.trigrams_of(fields.select("norm").distinct(), "norm")).select("query_id", "first", "width", "matched", "dist", F.round("sim", 6).alias("sim"))
 
 
 # ---- compatibility: customers as vehicles, suppliers as implements

@@ -20,7 +20,7 @@ def first_text(*names: str):
 def from_raw(raw: DataFrame) -> DataFrame:
     """A catalog from raw rows as in the XML files: fallbacks from titles to ids, numbers from texts, origin from what the item has. Of specs with one
     id the last counts. A spec whose text is no number is null, and
-    ``price_text`` keeps the price as it was written, for the index's counters."""
+    ``price_text`` keeps the price as it was written, for the index's counters; ``broken`` marks rows that could not be read."""
     number = lambda c: c.try_cast("double")
     given = F.filter(F.coalesce("spec", F.array().cast("array<struct<_id string, _value string, _unit string>>")), lambda x: x["_id"].isNotNull())
     later = lambda x, i: F.exists(F.slice(given, i + 2, F.greatest(F.size(given), F.lit(1))), lambda y: y["_id"] == x["_id"])
@@ -31,12 +31,14 @@ def from_raw(raw: DataFrame) -> DataFrame:
         F.xxhash64("_xmlFilename", "_name").alias("item_id"), F.col("_xmlFilename").alias("key"), F.col("_name").alias("name"), first_text("_brandTitle", "_brand").alias("brand"), F.col("_brand").alias("brand_id"),
         first_text("_categoryTitle", "_categoryId").alias("category"), F.col("_categoryId").alias("category_id"), first_text("_modTitle", "_modName").alias("mod"), F.col("_author").alias("author"),
         F.col("_dlcTitle").alias("dlc"), F.col("_species").alias("species"), origin.alias("origin"), number(F.col("_price")).alias("price"), specs.alias("specs"),
-        first_text("_price").alias("price_text"),
+        first_text("_price").alias("price_text"), *([F.col("_unread").isNotNull().alias("broken")] if "_unread" in raw.columns else []),
     )
 
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
-    return from_raw(spark.read.format("xml").option("rowTag", "item").option("attributePrefix", "_").schema(XML_ITEM).load(path))
+    """An element that is no proper XML is a row marked as broken, which the index counts and leaves out. It ends its file, as nothing tells where the next begins."""
+    options = {"rowTag": "item", "attributePrefix": "_", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"}
+    return from_raw(spark.read.format("xml").options(**options).schema(f"{XML_ITEM}, _unread string").load(path))
 
 
 def write_xml(catalog: DataFrame, path: str) -> None:
@@ -57,15 +59,28 @@ def in_scope(store: DataFrame, placeables: bool = False) -> DataFrame:
     return store.where(F.col("show") & ~F.col("bundle") & F.lower("species").isin(species))
 
 
+def _unreadable():
+    """Whether ``xml`` is given and no proper XML. Paths are only followed in other texts, as they would end the job in these."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread", "attributePrefix": "_"}
+    return F.coalesce(F.from_xml("xml", "_none string, _unread string", options)["_unread"].isNotNull(), F.lit(False))
+
+
+def secondary_errors(files: DataFrame) -> DataFrame:
+    """(reason, n): how many of the files (item_id, xml) could not be read."""
+    return files.where(_unreadable()).agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit("secondary-error").alias("reason"), "n")
+
+
 def secondary_specs(files: DataFrame) -> DataFrame:
-    """(item_id, spec_id, value) from files (item_id, xml): what the shop does not list."""
+    """(item_id, spec_id, value) from files (item_id, xml): what the shop does not list. Files that cannot be read give nothing."""
+    files = files.withColumn("xml", F.when(~_unreadable(), F.col("xml")))
     paths = {"power": "vehicle/storeData/specs/power", "neededPower": "vehicle/storeData/specs/neededPower", "workingWidth": "vehicle/storeData/specs/workingWidth", "maxSpeed": "vehicle/storeData/specs/maxSpeed"}
     found = files.select("item_id", *[F.xpath_string("xml", F.lit(p)).try_cast("double").alias(s) for s, p in paths.items()])
     return found.unpivot("item_id", list(paths), "spec_id", "value").where("value is not null")
 
 
 def compat_infos(files: DataFrame) -> DataFrame:
-    """(key, joints, input_joints, combinations) from files (key, xml): attacher joints and declared partners."""
+    """(key, joints, input_joints, combinations) from files (key, xml): attacher joints and declared partners. Files that cannot be read give none."""
+    files = files.withColumn("xml", F.when(~_unreadable(), F.col("xml")))
     of = lambda p: F.array_distinct(F.xpath("xml", F.lit(p)))
     return files.select("key", of("//attacherJoint/@jointType").alias("joints"), of("//inputAttacherJoint/@jointType").alias("input_joints"), of("//combination/@xmlFilename").alias("combinations"))
 
