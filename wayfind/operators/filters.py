@@ -26,6 +26,18 @@ def in_range(numeric: DataFrame, spec: str, low: float | None = None, high: floa
     return out.select("item_id").distinct()
 
 
+def spanned(numeric: DataFrame, ranges: DataFrame) -> DataFrame:
+    """numeric within the least stretch of specs and of values that holds all of ranges (spec_id, low, high): comparisons with constants, which reach the scan and pass over
+    files and row groups. ranges is read once for it."""
+    low, high = F.coalesce(F.col("low").cast("double"), F.lit(float("-inf"))), F.coalesce(F.col("high").cast("double"), F.lit(float("inf")))
+    of = ranges.agg(F.min("spec_id").alias("first"), F.max("spec_id").alias("last"), F.min(low).alias("low"), F.max(high).alias("high")).first()
+    if of["first"] is None:
+        return numeric.where("false")
+    out = numeric.where(F.col("spec_id").between(of["first"], of["last"]))
+    out = out if of["low"] == float("-inf") else out.where(F.col("value") >= of["low"])
+    return out if of["high"] == float("inf") else out.where(F.col("value") <= of["high"])
+
+
 def first_specs(numeric: DataFrame, quantities: dict[str, tuple[str, ...]] = QUANTITY_SPECS) -> DataFrame:
     """(item_id, quantity, spec_id, value): for each quantity, the first of its specs that the item has."""
     rank = numeric.sparkSession.createDataFrame([(q, s, i) for q, specs in quantities.items() for i, s in enumerate(specs)], "quantity string, spec_id string, n int")

@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 from wayfind.functions import text as T
 from wayfind.operators import sequences
 from wayfind.operators.filters import first_specs, value_cuts, with_bins
+from wayfind.sources import buckets
+from wayfind.sources.buckets import Buckets
 
 #: Searched fields by priority at equal value. Fixed values.
 FIELDS = ("name", "brand", "category", "mod", "author", "dlc")
 FACETS = ("brand", "category", "origin", "species")
+#: Items of a token that stand under one key; a token of more items is dealt over several.
+SHARD_ITEMS = 1_000_000
 
 
 @dataclass
@@ -28,6 +32,7 @@ class Index:
     items: DataFrame
     fields: DataFrame
     postings: DataFrame
+    wide: DataFrame
     vocabulary: DataFrame
     trigrams: DataFrame
     phrases: DataFrame
@@ -39,40 +44,64 @@ class Index:
     skipped: DataFrame
     meta: DataFrame
 
-    TABLES = ("items", "fields", "postings", "vocabulary", "trigrams", "phrases", "phrase_trigrams", "facets", "numeric", "firsts", "cuts", "skipped", "meta")
+    TABLES = ("items", "fields", "postings", "wide", "vocabulary", "trigrams", "phrases", "phrase_trigrams", "facets", "numeric", "firsts", "cuts", "skipped", "meta")
 
     def write(self, path: str, more: DataFrame | None = None, ready: DataFrame | None = None) -> Index:
         """To a new path: readers change over when all is there. Each table is made from tables already written, so texts are normalised once, and
-        tables that do not need each other are written side by side. Numeric tables are sorted by what constant filters ask for. more: specs of a second source, as for fill_specs;
+        tables that do not need each other are written side by side. What searches join is kept in buckets of the joined columns (BUCKETED), so that
+        a search shuffles none of it; numeric specs are parted by ranges of (spec, value), so a range reads the files that hold it. more: specs of a second source, as for fill_specs;
         ready: fields that were already made of the items."""
         spark = self.items.sparkSession
+        kept: dict[str, Buckets] = {}
 
         def put(name: str, df: DataFrame) -> DataFrame:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
             return spark.read.parquet(f"{path}/{name}")
 
+        def put_bucketed(name: str, df: DataFrame, rows: int | None) -> DataFrame:
+            kept[name] = Buckets.of(self.BUCKETED[name], rows)
+            return buckets.put(df, path, name, kept[name])
+
         def put_numeric() -> None:
-            numeric = put("numeric", numeric_specs(items, more).sortWithinPartitions("spec_id", "value"))
+            numeric = put("numeric", numeric_specs(items, more).repartitionByRange("spec_id", "value").sortWithinPartitions("spec_id", "value"))
             firsts = first_specs(numeric)
             put("firsts", with_bins(firsts, put("cuts", value_cuts(firsts))).sortWithinPartitions("quantity", "bin"))
 
-        def put_postings() -> None:
-            postings = put("postings", postings_of(fields).sortWithinPartitions("token"))
-            put("trigrams", trigrams_of(put("vocabulary", vocabulary_of(postings, items.count())), "token"))
+        def put_words(rows: int) -> None:
+            vocabulary = put("vocabulary", vocabulary_of(postings_of(fields), n_items).sortWithinPartitions("token"))
+            wide = put("wide", wide_of(vocabulary))
+            more_jobs = [
+                pool.submit(put_bucketed, "postings", sharded(postings_of(fields), wide), rows),
+                pool.submit(put_bucketed, "trigrams", trigrams_of(vocabulary, "token"), vocabulary.agg(F.sum(F.octet_length("token"))).first()[0]),
+            ]
+            for job in more_jobs:
+                job.result()
 
         with ThreadPoolExecutor(len(self.TABLES)) as pool:
             jobs = [pool.submit(put, t, getattr(self, t)) for t in ("skipped", "meta")]
             items = put("items", self.items)
+            n_items = items.count()
             jobs += [pool.submit(put_numeric), pool.submit(put, "facets", facets_of(items))]
             fields = put("fields", item_fields(items) if ready is None else ready)
-            jobs += [pool.submit(put_postings), pool.submit(put, "phrases", phrases_of(fields)), pool.submit(put, "phrase_trigrams", trigrams_of(fields, "norm"))]
+            n = fields.agg(F.sum(F.size("tokens")).alias("tokens"), F.sum(F.octet_length("norm")).alias("grams")).first()
+            jobs += [pool.submit(put_words, n["tokens"]), pool.submit(put, "phrases", phrases_of(fields)), pool.submit(put_bucketed, "phrase_trigrams", trigrams_of(fields, "norm"), n["grams"])]
             for job in jobs:
                 job.result()
+        buckets.describe(spark, path, kept)
         return self.read(spark, path)
 
+    #: Tables in buckets, with the columns that searches join them on.
+    BUCKETED = {"postings": ("token", "shard"), "trigrams": ("gram", "size"), "phrase_trigrams": ("gram", "size")}
+
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Index:
-        return cls(**{t: spark.read.parquet(f"{path}/{t}") for t in cls.TABLES})
+        have = buckets.layout(spark, path)
+        return cls(**{t: buckets.opened(spark, path, t, have[t]) if t in have else spark.read.parquet(f"{path}/{t}") for t in cls.TABLES})
+
+    @classmethod
+    def forget(cls, spark: SparkSession, path: str) -> None:
+        """Takes an index whose folder goes out of the session's catalog."""
+        buckets.forget(spark, path, tuple(cls.BUCKETED))
 
 
 def _broken(catalog: DataFrame):
@@ -100,6 +129,17 @@ def postings_of(fields: DataFrame) -> DataFrame:
     return fields.select(F.explode(F.array_distinct("tokens")).alias("token"), "item_id", "field", "prio")
 
 
+def wide_of(vocabulary: DataFrame, most: int = SHARD_ITEMS) -> DataFrame:
+    """(token, shards) of the tokens that more than ``most`` items have. There are at most as many as postings / most."""
+    return vocabulary.where(F.col("df") > most).select("token", F.ceil(F.col("df") / most).cast("int").alias("shards"))
+
+
+def sharded(postings: DataFrame, wide: DataFrame) -> DataFrame:
+    """postings with ``shard``: a wide token's items are dealt over its shards, all others are in shard 0."""
+    out = postings.join(wide, "token", "left")
+    return out.select(*postings.columns, F.coalesce(F.pmod(F.xxhash64("item_id"), "shards").cast("int"), F.lit(0)).alias("shard"))
+
+
 def vocabulary_of(postings: DataFrame, n_items: int) -> DataFrame:
     """(token, df, idf): documents are items, idf = ln(1 + n / df)."""
     return postings.groupBy("token").agg(F.count_distinct("item_id").alias("df")).withColumn("idf", F.log(1 + F.lit(n_items) / F.col("df")))
@@ -191,11 +231,12 @@ def index_of(catalog: DataFrame, items: DataFrame, fields: DataFrame) -> Index:
     """The index of a catalog with its valid items and their fields."""
     postings = postings_of(fields)
     vocabulary = vocabulary_of(postings, items.count())
+    wide = wide_of(vocabulary)
     numeric = numeric_of(items)
     firsts = first_specs(numeric)
     cuts = value_cuts(firsts)
     return Index(
-        items=items, fields=fields, postings=postings, vocabulary=vocabulary, trigrams=trigrams_of(vocabulary, "token"), phrases=phrases_of(fields), phrase_trigrams=trigrams_of(fields, "norm"),
+        items=items, fields=fields, postings=sharded(postings, wide), wide=wide, vocabulary=vocabulary, trigrams=trigrams_of(vocabulary, "token"), phrases=phrases_of(fields), phrase_trigrams=trigrams_of(fields, "norm"),
         facets=facets_of(items), numeric=numeric, firsts=with_bins(firsts, cuts), cuts=cuts, skipped=skipped_of(catalog), meta=signature_of(catalog),
     )
 

@@ -58,7 +58,9 @@ def gram_candidates(terms: DataFrame, trigrams: DataFrame, cap: int = CANDIDATE_
     asked = terms.where("d > 0").withColumn("b", T.as_bytes(F.col("text")))
     asked = asked.select("query_id", "pos", "text", "d", F.length("b").alias("n"), T.grams(F.col("b")).alias("grams"))
     asked = asked.select("query_id", "pos", "text", "d", "n", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
-    pairs = asked.join(trigrams, "gram").where(F.abs(F.col("size") - F.col("n")) <= F.col("d"))
+    # By gram and size, as the index keeps them, so a gram that most words have is dealt over their sizes.
+    asked = asked.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - F.col("d")), F.col("n") + F.col("d"))))
+    pairs = asked.join(trigrams, ["gram", "size"])
     pairs = pairs.groupBy("query_id", "pos", "text", "d", "n_grams", "word").agg(F.sum("times").alias("shared"))
     pairs = pairs.where(F.col("shared") >= F.greatest(F.lit(1), F.col("n_grams") - 3 * F.col("d")))
     best = F.row_number().over(W.partitionBy("query_id", "pos").orderBy(F.desc("shared"), "word"))
@@ -82,9 +84,15 @@ def token_hits(terms: DataFrame, vocabulary: DataFrame, trigrams: DataFrame, kee
     return direct.unionByName(fuzzy_hits(unknown, trigrams))
 
 
+def spread(hits: DataFrame, wide: DataFrame) -> DataFrame:
+    """hits with ``shard``: a row for each shard that the token's postings are in."""
+    shards = F.sequence(F.lit(0), F.coalesce("shards", F.lit(1)) - 1)
+    return hits.join(wide, "token", "left").select(*hits.columns, F.explode(shards).alias("shard"))
+
+
 def best_fields(hits: DataFrame, postings: DataFrame, field_weight: dict[str, float] = FIELD_WEIGHT, kind_weight: dict[str, float] = KIND_WEIGHT) -> DataFrame:
-    """(query_id, pos, item_id, value, field, kind, token, sim): a term's best hit in each item. Equal values: the field that comes first, then the token."""
-    rows = hits.join(postings, "token").withColumn("value", choose("field", field_weight) * choose("kind", kind_weight) * F.col("sim"))
+    """hits of an index's postings are those of spread(). (query_id, pos, item_id, value, field, kind, token, sim): a term's best hit in each item. Equal values: the field that comes first, then the token."""
+    rows = hits.join(postings, [c for c in ("token", "shard") if c in hits.columns]).withColumn("value", choose("field", field_weight) * choose("kind", kind_weight) * F.col("sim"))
     best = F.min_by(F.struct("value", "field", "kind", "token", "sim"), F.struct(-F.col("value"), "prio", "token"))
     return rows.groupBy("query_id", "pos", "item_id").agg(best.alias("b")).select("query_id", "pos", "item_id", "b.*")
 

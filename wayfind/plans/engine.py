@@ -79,6 +79,7 @@ class Engine:
                 break
         self.version, self.index, self.state, self.failures = version, index, "ready", 0
         for old in self.spark.read.schema(PUBLISHED).json(f"{self.folder}/published").where(F.col("version") == version - VERSIONS).collect():
+            I.Index.forget(self.spark, old["path"])
             remove(self.spark, old["path"])
 
     def _written(self, built: I.Index, fields: DataFrame | None = None) -> None:

@@ -71,14 +71,15 @@ def matched(index: Index, parsed: DataFrame, chosen: DataFrame | None = None, ra
         asked = asked.unionByName(chosen.join(asking.select("query_id"), "query_id", "left_semi").select("query_id", F.concat(F.lit("facet:"), "facet").alias("n")).distinct())
     if ranges is not None:
         ranges = ranges.join(asking.select("query_id"), "query_id", "left_semi").withColumn("n", F.concat(F.lit("range:"), "spec_id"))
-        sets = sets.unionByName(ranges.join(index.numeric.select("spec_id", "value", "item_id"), "spec_id").where(filters.within(F.col("value"), F.col("low"), F.col("high"))).select("query_id", "n", "item_id"))  # one row for each field of a form
+        ranges = kept(ranges)
+        sets = sets.unionByName(ranges.join(filters.spanned(index.numeric, ranges).select("spec_id", "value", "item_id"), "spec_id").where(filters.within(F.col("value"), F.col("low"), F.col("high"))).select("query_id", "n", "item_id"))  # one row for each field of a form
         asked = asked.unionByName(ranges.select("query_id", "n").distinct())
     asked = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_sets"))
     allowed = filters.intersect(sets, asked)
     # Terms.
     asked_words = terms.select("query_id", "pos", "text")
     hits = kept(match.token_hits(asked_words, index.vocabulary, index.trigrams, kept) if n_unknown else match.exact_hits(asked_words, index.vocabulary).unionByName(match.prefix_hits(asked_words, index.vocabulary)))
-    best = match.best_fields(hits, index.postings)
+    best = match.best_fields(match.spread(hits, index.wide), index.postings)
     if n_unknown:  # a phrase must help an unknown term
         phrases = kept(match.phrase_hits(terms, index.phrase_trigrams))
         weigh = match.choose("field", match.FIELD_WEIGHT) * match.choose("kind", match.KIND_WEIGHT) * F.col("sim")
@@ -92,7 +93,7 @@ def matched(index: Index, parsed: DataFrame, chosen: DataFrame | None = None, ra
         facet_items = kept(facet_items)
         of = facet_items.join(concepts.select("query_id", "c", "confidence"), ["query_id", "c"]).select("query_id", "c", "item_id", (F.col("confidence") * score.CONCEPT).alias("value"))
         plain = concepts.where("words = 1 and confidence >= 1 and kind in ('brand', 'category')").select("query_id", F.col("c").alias("pos"), "text")
-        alike = match.best_fields(kept(match.fuzzy_hits(plain, index.trigrams)), index.postings).select("query_id", F.col("pos").alias("c"), "item_id", "value")
+        alike = match.best_fields(match.spread(kept(match.fuzzy_hits(plain, index.trigrams)), index.wide), index.postings).select("query_id", F.col("pos").alias("c"), "item_id", "value")
         concept_hits = of.unionByName(alike.join(facet_items, ["query_id", "c", "item_id"], "left_anti"))
         scored = score.score_items(best, terms, concept_hits, concepts).drop("raw")
     else:
@@ -140,7 +141,7 @@ def _target_ranks(index: Index, parsed: DataFrame) -> DataFrame:
     idf = index.vocabulary.select(F.col("token").alias("text"), "idf")
     words = words.join(idf, "text", "left").select("query_id", "pos", "text", F.coalesce("idf", F.lit(1.0)).alias("idf"))
     hits = match.exact_hits(words, index.vocabulary).unionByName(match.prefix_hits(words, index.vocabulary))
-    best = match.best_fields(hits, index.postings).withColumn("far", F.lit(False))
+    best = match.best_fields(match.spread(hits, index.wide), index.postings).withColumn("far", F.lit(False))
     return score.rank(score.score_items(best, words), names_of(index), relative=0.0, least=0.0)
 
 
