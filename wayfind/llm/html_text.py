@@ -14,7 +14,8 @@ decided by the tree, so by how the pages of a site differ:
 * A node with a class or id is less important by the share of pages, on all hosts, where elements of that kind stand outside the article or
   main element; so adverts that differ from page to page go also on pages without such an element.
 
-Branches of low importance go, but for those inside an article or main element.
+Branches of low importance go, inside an article or main element, too: an advert within articles goes if it says the same on many pages, or if elements of its kind stand outside
+articles elsewhere. Only the article and main elements themselves are not judged. An article or main element within a form that spans the page is not part of the form.
 
 Cases: a null or empty html, or one without text, gives an empty text; a ``br`` is white space; unclosed elements end with their parents; an unclosed
 script, style, textarea or comment ends with the page, other unclosed elements do not hide what follows; of pages with the same main text, the
@@ -41,7 +42,7 @@ from .url_filter import host_of
 
 # HTML's elements by use, ARIA's roles, and the names of reader comments, which differ on every page as articles do.
 RAW = "script|style|textarea|iframe|xmp"
-HIDDEN = "title|noscript|template|svg|math|select|object|canvas|audio|video"
+HIDDEN = "title|noscript|button|template|svg|math|select|object|canvas|audio|video"
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 ASIDE = set("aside button dialog footer form head menu nav search".split())
 ROLES = set("alert alertdialog banner comment complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -56,10 +57,11 @@ _NAME = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", r
 
 
 class _Node:
-    __slots__ = ("tag", "path", "kind", "gone", "article", "main")
+    __slots__ = ("tag", "path", "kind", "gone", "article", "main", "form")
 
-    def __init__(self, tag: str, path: int, kind: int, gone: bool, article: bool, main: bool):
-        self.tag, self.path, self.kind, self.gone, self.article, self.main = tag, path, kind, gone, article, main
+    def __init__(self, tag: str, path: int, kind: int, gone: bool, article: bool, main: bool, form: bool = False):
+        """form: gone for no other reason than a form around it."""
+        self.tag, self.path, self.kind, self.gone, self.article, self.main, self.form = tag, path, kind, gone, article, main, form
 
 
 @functools.lru_cache(1 << 16)
@@ -121,9 +123,13 @@ def blocks_of(page: str | None, low: frozenset[int] = frozenset()) -> tuple[list
         step = f"{tag}.{names}"
         kinds.setdefault(up.path, []).append(step)
         path = _step(up.path, step)
-        gone = up.gone or path in low and not (up.article or up.main) or tag in ASIDE or tag == "article" and up.article or tag == "header" and not up.article
-        gone = gone or tag not in ("body", "html", "main") and bool(roles & ROLES or words & COMMENTS)
-        stack.append(_Node(tag, path, _step(0, step) if names else 0, gone, tag == "article" or up.article, tag == "main" or "main" in roles or up.main))
+        framing = tag in ("article", "main") or "main" in roles
+        inherited = up.gone and not (up.form and framing)
+        other = path in low and not framing or tag in ASIDE - {"form"} or tag == "article" and up.article or tag == "header" and not up.article
+        other = other or tag not in ("body", "html", "main") and bool(roles & ROLES or words & COMMENTS)
+        gone = inherited or other or tag == "form"
+        form = gone and not other and (up.form if inherited else not (up.article or up.main))
+        stack.append(_Node(tag, path, _step(0, step) if names else 0, gone, tag == "article" or up.article, tag == "main" or "main" in roles or up.main, form))
     if at < len(page):
         parts.append(page[at:])
     flush()
