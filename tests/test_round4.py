@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from wayfind.operators import compat
+from wayfind.operators import compat, index, score
+from wayfind.sources import catalogs
 
 
 def plan_of(df):
@@ -25,3 +26,27 @@ def test_pairs_are_not_gathered_after_joints_have_met(spark):
     join = next(n for n, x in enumerate(lines) if "Join Inner" in x and "share" in x)
     assert not any("Aggregate" in x for x in lines[:join] if x.index(next(c for c in x if c.isalpha())) < lines[join].index("Join"))
     assert out.where(F.col("level") == "joint").count() == 3
+
+
+def test_texts_are_normalised_once_each(spark):
+    """The normal forms are made of texts without repetitions, after a shuffle, not in the tasks that read the catalog."""
+    c = index.valid_items(catalogs.generated(spark, 40).withColumn("name", F.when(F.col("item_id") > 1, F.concat(F.lit("Big-"), (F.col("item_id") % 3).cast("string")))))
+    items = index.named(c)
+    fields = index.item_fields(items)
+    for df in (items, fields):
+        lines = plan_of(df).splitlines()
+        normal = [n for n, x in enumerate(lines) if "regexp" in x.lower() or "translate(" in x]
+        assert normal and all("Aggregate" in lines[n] or "Aggregate" in lines[n + 1] for n in normal), df._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["name"], r["name_norm"]) for r in items.select("name", "name_norm").distinct().collect()} == {(None, ""), ("Big-0", "big 0"), ("Big-1", "big 1"), ("Big-2", "big 2")}
+    got = {(r["item_id"], r["field"]): (r["norm"], r["tokens"]) for r in fields.collect()}
+    assert fields.columns == ["item_id", "field", "prio", "norm", "tokens"] and got[5, "name"] == ("big 2", ["big", "2"]) and (0, "name") not in got
+    bare = {(r["item_id"], r["field"]): (r["norm"], r["tokens"]) for r in index.item_fields(c).collect()}
+    assert bare == got
+
+
+def test_sums_of_a_query_keep_the_order_of_its_terms(spark):
+    idf = [2.2043674648485996, 1.0, 1.5400915660892769]
+    best = spark.createDataFrame([(1, 1, 7, 1.0, "name", "exact", False)], "query_id long, pos int, item_id long, value double, field string, kind string, far boolean")
+    for order in ([1, 2, 3], [3, 1, 2], [2, 3, 1]):
+        terms = spark.createDataFrame([(1, p, "t", idf[p % 3]) for p in order], "query_id long, pos int, text string, idf double").coalesce(1)
+        assert score.score_parts(best, terms).first()["most"] == (idf[1] + idf[2]) + idf[0]

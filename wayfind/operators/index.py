@@ -114,15 +114,27 @@ def valid_items(catalog: DataFrame) -> DataFrame:
 
 def named(items: DataFrame) -> DataFrame:
     """items with ``name_norm``, the name as it is searched and sorted."""
-    return items if "name_norm" in items.columns else items.withColumn("name_norm", T.normalize(F.col("name")))
+    if "name_norm" in items.columns:
+        return items
+    forms = normal_forms(items.select("name")).withColumnRenamed("norm", "name_norm")
+    return items.join(forms, "name", "left").select(*[items[c] for c in items.columns], F.coalesce("name_norm", F.lit("")).alias("name_norm"))
+
+
+def normal_forms(texts: DataFrame) -> DataFrame:
+    """The one column of texts without repetitions, and ``norm``. Normalising costs far more than all else that is done with a short text, so each is normalised once,
+    in as many tasks as a shuffle has rather than in those of a file."""
+    (name,) = texts.columns
+    return texts.where(F.col(name).isNotNull()).distinct().withColumn("norm", T.normalize(F.col(name)))
 
 
 def item_fields(items: DataFrame) -> DataFrame:
     """(item_id, field, prio, norm, tokens): fields with an empty form are left out."""
     norm = lambda f: F.col("name_norm") if f == "name" and "name_norm" in items.columns else F.lit(None).cast("string")
     long = items.select("item_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("prio"), F.col(f).alias("raw"), norm(f).alias("done")) for i, f in enumerate(FIELDS)])).alias("x"))
-    long = long.select("item_id", "x.*").where("raw is not null").withColumn("norm", F.coalesce("done", T.normalize(F.col("raw"))))
-    return long.where("norm <> ''").withColumn("tokens", T.tokens(F.col("norm"))).drop("raw", "done")
+    long = long.select("item_id", "x.*").where("raw is not null")
+    forms = normal_forms(long.where("done is null").select("raw"))
+    long = long.join(forms, "raw", "left").select("item_id", "field", "prio", F.coalesce("done", "norm").alias("norm"))
+    return long.where("norm <> ''").withColumn("tokens", T.tokens(F.col("norm")))
 
 
 def postings_of(fields: DataFrame) -> DataFrame:

@@ -48,7 +48,9 @@ def score_parts(best: DataFrame, terms: DataFrame, concept_hits: DataFrame | Non
     """(query_id, item_id, raw, most, coverage, n_short, n_far, side): all that scores are made of, before weights. best: term hits with value, field,
     kind, far; terms: (query_id, pos, text, idf); concept_hits: (query_id, c, item_id, value); concepts: (query_id, c, confidence)."""
     t = terms.select("query_id", "pos", "text", "idf")
-    total = t.groupBy("query_id").agg(F.sum("idf").alias("most"), F.count(F.lit(1)).alias("n"))
+    # In the order of the terms: sums of three numbers or more depend on it in the last digit. A query has few terms.
+    in_order = F.aggregate(F.array_sort(F.collect_list(F.struct("pos", F.col("idf").cast("double").alias("idf")))), F.lit(0.0), lambda s, x: s + x["idf"])
+    total = t.groupBy("query_id").agg(in_order.alias("most"), F.count(F.lit(1)).alias("n"))
     rows = best.join(t, ["query_id", "pos"])
     short = (F.col("kind") == "prefix") & (F.length("text") <= 3)
     rows = rows.select("query_id", "item_id", (F.col("value") * F.col("idf")).alias("raw"), F.lit(1).alias("term"), short.cast("int").alias("short"), F.col("far").cast("int").alias("away"), F.col("field").isin(*SECONDARY_FIELDS).alias("side"))
