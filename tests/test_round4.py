@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from wayfind.operators import compat, index, score
+from wayfind.plans import query_parser
 from wayfind.sources import catalogs
 
 
@@ -50,3 +51,20 @@ def test_sums_of_a_query_keep_the_order_of_its_terms(spark):
     for order in ([1, 2, 3], [3, 1, 2], [2, 3, 1]):
         terms = spark.createDataFrame([(1, p, "t", idf[p % 3]) for p in order], "query_id long, pos int, text string, idf double").coalesce(1)
         assert score.score_parts(best, terms).first()["most"] == (idf[1] + idf[2]) + idf[0]
+
+
+def test_parser_tries_only_what_may_begin_or_be_near():
+    """A word that no pattern begins with meets no pattern, one that repeats is looked up once, and lengths out of reach cost no trigram."""
+    parser = query_parser.Parser(("pt", "en", "de", "fr"))
+    tried, looked = [], []
+    parser._range = lambda pattern, tokens, i: tried.append(pattern)
+    assert parser.constraint(["anvil"], 0) is None and len(tried) < len(parser.ranges)
+    book = query_parser.PhraseBook([(("john", "deere"), 1), (("fendt",), 2)])
+    book._grams = lambda text: looked.append(text) or query_parser.PhraseBook._grams(text)
+    assert [book.near(t, 2) for t in ("jhon deere", "jhon deere", "a text of far more letters", "fedt", "fnedt")] == [(1, "john deere"), (1, "john deere"), None, (1, "fendt"), (1, "fendt")]
+    assert looked == ["jhon deere", "fedt", "fnedt"]
+    words = [b"", b"ab", b"ba", b"abc", b"cab", b"acb", b"abdc", b"xyzabc", b"john", b"jhon", b"deere", b"dreee"]
+    for a in words:
+        for b in words:
+            d = query_parser.osa_distance(a, b)
+            assert all(query_parser.osa_distance(a, b, m) == d if d <= m else query_parser.osa_distance(a, b, m) > m for m in range(4))
