@@ -9,7 +9,7 @@ that may be similar enough (two documents at the limit share no region of any tr
   deep that is. (A region of more than ``RUN`` documents is dealt into sorted runs.)
 
 Candidates whose sizes and signatures allow the asked similarity are confirmed on full shingle sets, best partners first, then those that still
-lie between different components. Components come from minimum labels with pointer jumping, on tables in the shared folder.
+lie between different components. Components come from contraction (``graph.py``), which goes on from those found before.
 
 What neighbours leave open in *crowds* (the documents of large regions with a common centre) is settled exactly, without listing pairs. Every
 member's Jaccard distance to the centre is computed on full sets. Distances obey the triangle inequality, so members outside the crowd's main
@@ -120,7 +120,7 @@ class Forest:
         centre = broadcast_if_small(self.tables.write(centre, "centres"))
         centred = wide.join(centre, "region").groupBy("crowd", "rep").agg(F.max("size").alias("size"))
         self.crowds = self.tables.write(centred, "crowds")
-        self.home_of = self.crowds.groupBy("rep").agg(F.max_by("crowd", F.struct("size", "crowd")).alias("crowd"))
+        self.home_of = broadcast_if_small(self.tables.write(self.crowds.groupBy("rep").agg(F.max_by("crowd", F.struct("size", "crowd")).alias("crowd")), "home-of"))
         return found
 
     # ---- crowds
@@ -188,9 +188,10 @@ class Forest:
         rows = hosts.unionByName(guests).join(texts, "doc_id").repartition("block").sortWithinPartitions("block", F.col("hosts").isNotNull())
         return self.tables.write(rows.mapInPandas(functools.partial(_verify, k=self.k, percent=self.percent), "u long, v long"), f"links-{name}")
 
-    def labels(self, links: DataFrame, name: str) -> DataFrame:
-        """(rep, label): the smallest id reachable over the links, for reps that have any."""
-        return smallest_reachable(self.tables, links, name).withColumnRenamed("node", "rep")
+    def labels(self, links: DataFrame, name: str, before: DataFrame | None = None) -> DataFrame:
+        """(rep, label): the smallest id reachable over the links and those of the labels before, for reps that have any."""
+        before = None if before is None else before.withColumnRenamed("rep", "node")
+        return smallest_reachable(self.tables, links, name, before).withColumnRenamed("node", "rep")
 
     def components(self) -> DataFrame:
         """(rep, label) of all linked representatives."""
@@ -199,16 +200,14 @@ class Forest:
         ends = found.select(F.col("v").alias("x"), F.col("u").alias("y"), "est").unionByName(found.select(F.col("u").alias("x"), F.col("v").alias("y"), "est"))
         best = ends.groupBy("x").agg(F.max_by("y", F.struct("est", -F.col("y"))).alias("y"))
         best = self.tables.write(best.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "pairs-best")
-        links = self.confirmed(best, "best")
-        labels = self.labels(links, "labels-best")
+        labels = self.labels(self.confirmed(best, "best"), "labels-best")
         of = lambda c: labels.withColumnsRenamed({"rep": c, "label": f"l{c}"})
         rest = found.join(best, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
         rest = self.tables.write(rest.where("coalesce(lu, u) <> coalesce(lv, v)").select("u", "v"), "pairs-rest")
         if not rest.isEmpty():
-            links = links.unionByName(self.confirmed(rest, "rest"))
-            labels = self.labels(links, "labels-rest")
+            labels = self.labels(self.confirmed(rest, "rest"), "labels-rest", labels)
         if (more := self.crowd_links(labels)) is not None:
-            labels = self.labels(links.unionByName(more), "labels-crowds")
+            labels = self.labels(more, "labels-crowds", labels)
         return labels
 
 
