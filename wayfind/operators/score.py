@@ -29,6 +29,12 @@ def clamp(x: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
 
 
+def sum_in_order(value: str, *order: str | Column) -> Column:
+    """The sum of a group's few numbers in a fixed order: of three or more it depends on the order in the last digit, and ranks compare all digits."""
+    rows = F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_value")))
+    return F.aggregate(F.array_sort(rows), F.lit(0.0), lambda s, x: s + x["_value"])
+
+
 def merge_phrases(best: DataFrame, phrases: DataFrame, terms: DataFrame, fields: DataFrame, weigh) -> DataFrame:
     """best with phrase hits where they are worth more. phrases: as from phrase_hits; terms: (query_id, pos, seq)."""
     items = phrases.join(fields.select(F.col("norm").alias("matched"), "item_id", "field", "prio"), "matched")
@@ -48,18 +54,16 @@ def score_parts(best: DataFrame, terms: DataFrame, concept_hits: DataFrame | Non
     """(query_id, item_id, raw, most, coverage, n_short, n_far, side): all that scores are made of, before weights. best: term hits with value, field,
     kind, far; terms: (query_id, pos, text, idf); concept_hits: (query_id, c, item_id, value); concepts: (query_id, c, confidence)."""
     t = terms.select("query_id", "pos", "text", "idf")
-    # In the order of the terms: sums of three numbers or more depend on it in the last digit. A query has few terms.
-    in_order = F.aggregate(F.array_sort(F.collect_list(F.struct("pos", F.col("idf").cast("double").alias("idf")))), F.lit(0.0), lambda s, x: s + x["idf"])
-    total = t.groupBy("query_id").agg(in_order.alias("most"), F.count(F.lit(1)).alias("n"))
+    total = t.groupBy("query_id").agg(sum_in_order("idf", "pos").alias("most"), F.count(F.lit(1)).alias("n"))
     rows = best.join(t, ["query_id", "pos"])
     short = (F.col("kind") == "prefix") & (F.length("text") <= 3)
-    rows = rows.select("query_id", "item_id", (F.col("value") * F.col("idf")).alias("raw"), F.lit(1).alias("term"), short.cast("int").alias("short"), F.col("far").cast("int").alias("away"), F.col("field").isin(*SECONDARY_FIELDS).alias("side"))
+    rows = rows.select("query_id", "item_id", F.col("pos").alias("at"), (F.col("value") * F.col("idf")).alias("raw"), F.lit(1).alias("term"), short.cast("int").alias("short"), F.col("far").cast("int").alias("away"), F.col("field").isin(*SECONDARY_FIELDS).alias("side"))
     if concepts is not None and concept_hits is not None:
-        more = concept_hits.select("query_id", "item_id", F.col("value").alias("raw"), F.lit(0).alias("term"), F.lit(0).alias("short"), F.lit(0).alias("away"), F.lit(None).cast("boolean").alias("side"))
+        more = concept_hits.select("query_id", "item_id", F.col("c").alias("at"), F.col("value").alias("raw"), F.lit(0).alias("term"), F.lit(0).alias("short"), F.lit(0).alias("away"), F.lit(None).cast("boolean").alias("side"))
         rows = rows.unionByName(more)
-        of = concepts.groupBy("query_id").agg((F.sum("confidence") * CONCEPT).alias("most"), F.count(F.lit(1)).alias("n"))
+        of = concepts.groupBy("query_id").agg((sum_in_order("confidence", "c") * CONCEPT).alias("most"), F.count(F.lit(1)).alias("n"))
         total = total.unionByName(of).groupBy("query_id").agg(F.sum("most").alias("most"), F.sum("n").alias("n"))
-    sums = rows.groupBy("query_id", "item_id").agg(F.sum("raw").alias("raw"), F.count(F.lit(1)).alias("hits"), F.sum("term").alias("term_hits"), F.sum("short").alias("n_short"), F.sum("away").alias("n_far"), F.bool_and("side").alias("side"))
+    sums = rows.groupBy("query_id", "item_id").agg(sum_in_order("raw", -F.col("term"), "at").alias("raw"), F.count(F.lit(1)).alias("hits"), F.sum("term").alias("term_hits"), F.sum("short").alias("n_short"), F.sum("away").alias("n_far"), F.bool_and("side").alias("side"))
     out = sums.join(total, "query_id")
     return out.select("query_id", "item_id", "raw", "most", (F.col("hits") / F.col("n")).alias("coverage"), "n_short", "n_far", ((F.col("term_hits") > 0) & F.coalesce("side", F.lit(False))).alias("side"))
 
