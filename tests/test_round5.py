@@ -4,7 +4,9 @@ import functools
 import itertools
 import operator
 
-from wayfind.operators import score
+from pyspark.sql import functions as F
+
+from wayfind.operators import compat, score
 
 BEST = "query_id long, pos int, item_id long, value double, field string, kind string, far boolean"
 
@@ -21,3 +23,20 @@ def test_items_with_the_same_hits_score_the_same(spark):
         got = {r["raw"] for r in score.score_parts(best, terms, *more).collect()}
         want = (0.55125 * idf[1] + idf[2]) + idf[0]
         assert len(sums) > 1 and got == {(want + 0.3) + 0.4 if more else want}
+
+
+def test_copies_of_implements_are_not_broadcast(spark, monkeypatch):
+    """Spark takes the copies of implements, one for each share of vehicles, for as small as one; the join must not pass them through the driver."""
+    schema = "key string, {} double, joints array<string>, combinations array<string>"
+    v = spark.createDataFrame([(f"v{n}", 1.0 * n, ["a", "b"][n % 2 :], [f"i{n}"]) for n in range(9)], schema.format("power"))
+    i = spark.createDataFrame([(f"i{n}", 4.0, ["b"], []) for n in range(5)], schema.format("needed"))
+    got = []
+    for rows in (1, 3, 4096):
+        monkeypatch.setattr(compat, "SHARE_ROWS", rows, raising=False)
+        out = compat.compatible(v, i)
+        got.append(sorted(map(tuple, out.collect())))
+        lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert any("SortMergeJoin" in x and "share#" in x for x in lines) and not any("BroadcastHashJoin" in x and "share#" in x for x in lines)
+    assert got[0] == got[1] == got[2] and len(got[0]) == 45
+    targets = spark.createDataFrame([(1, "v2"), (2, "i3")], "query_id long, target string")
+    assert {(r["query_id"], r["n"]) for r in compat.for_targets(targets, v, i).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {(1, 5), (2, 9)}
