@@ -6,7 +6,9 @@ import operator
 
 from pyspark.sql import functions as F
 
-from wayfind.operators import compat, score
+from wayfind.operators import compat, index, score
+from wayfind.plans import search
+from wayfind.sources import catalogs
 
 BEST = "query_id long, pos int, item_id long, value double, field string, kind string, far boolean"
 
@@ -40,3 +42,19 @@ def test_copies_of_implements_are_not_broadcast(spark, monkeypatch):
     assert got[0] == got[1] == got[2] and len(got[0]) == 45
     targets = spark.createDataFrame([(1, "v2"), (2, "i3")], "query_id long, target string")
     assert {(r["query_id"], r["n"]) for r in compat.for_targets(targets, v, i).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {(1, 5), (2, 9)}
+
+
+def test_names_of_the_catalog_are_not_broadcast_for_targets(spark, tmp_path):
+    """A search for partners meets the catalog by shuffles: what looks small in compressed files would go through the driver with all its items."""
+    built = index.build_index(catalogs.generated(spark, 40)).write(f"file://{tmp_path}/index")
+    asked = search.kept(search.parse_queries(spark.createDataFrame([(1, "compatible with model 1003")], "query_id long, text string")))
+    schema = "key string, {} double, joints array<string>, combinations array<string>"
+    v = spark.createDataFrame([("bench/item_00003.xml", 9.0, ["a"], [])], schema.format("power"))
+    i = spark.createDataFrame([("bench/item_00005.xml", 5.0, ["a"], []), ("bench/item_00006.xml", 10.0, ["a"], []), ("none", 1.0, ["a"], [])], schema.format("needed"))
+    ranks, found = search._target_ranks(built, asked), search.search_compatible(built, asked, v, i)
+    assert [r["key"] for r in ranks.where("rank = 1").collect()] == ["bench/item_00003.xml"]
+    got = [(r["rank"], r["key"], round(r["score"], 2)) for r in found.orderBy("rank").collect()]
+    assert got == [(1, "bench/item_00005.xml", 0.7), (2, "bench/item_00006.xml", 0.4)]
+    for df in (ranks, found):
+        joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [item_id#" in x or "Join [key#" in x]
+        assert joins and not any("BroadcastHashJoin" in x for x in joins)

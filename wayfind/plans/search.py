@@ -111,6 +111,11 @@ def names_of(index: Index) -> DataFrame:
     return named(index.items).select("item_id", "key", "name_norm")
 
 
+def _shuffled(names: DataFrame) -> DataFrame:
+    """names, never broadcast: a few columns of a compressed catalog look small to Spark, and all its items would go through the driver."""
+    return names.hint("merge")
+
+
 def search(index: Index, parsed: DataFrame, chosen: DataFrame | None = None, most: int = score.MOST, ranges: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, item_id, key, score, coverage)."""
     return score.rank(matched(index, parsed, chosen, ranges).scored, names_of(index), most)
@@ -129,7 +134,8 @@ def target_of(index: Index, parsed: DataFrame, selected: DataFrame | None = None
     """(query_id, target): the item that a compatibility query is about: the selected one, (query_id, key), or the one that its words name
     exactly or begin, where that is clear. Misspelt words name none."""
     asked = parsed.where("context is not null")
-    found = score.resolve_targets(_target_ranks(index, parsed)).join(index.items.select("item_id", F.col("key").alias("target")), "item_id").select("query_id", "target")
+    clear = kept(score.resolve_targets(_target_ranks(index, parsed)))  # at most one for each query, and known to be few
+    found = clear.join(index.items.select("item_id", F.col("key").alias("target")), "item_id").select("query_id", "target")
     if selected is not None:
         found = found.unionByName(asked.where("context = 'selected'").select("query_id").join(selected.select("query_id", F.col("key").alias("target")), "query_id"))
     return found
@@ -141,8 +147,8 @@ def _target_ranks(index: Index, parsed: DataFrame) -> DataFrame:
     idf = index.vocabulary.select(F.col("token").alias("text"), "idf")
     words = words.join(idf, "text", "left").select("query_id", "pos", "text", F.coalesce("idf", F.lit(1.0)).alias("idf"))
     hits = match.exact_hits(words, index.vocabulary).unionByName(match.prefix_hits(words, index.vocabulary))
-    best = match.best_fields(match.spread(hits, index.wide), index.postings).withColumn("far", F.lit(False))
-    return score.rank(score.score_items(best, words), names_of(index), relative=0.0, least=0.0)
+    best = match.best_fields(kept(match.spread(hits, index.wide)), index.postings).withColumn("far", F.lit(False))
+    return score.rank(score.score_items(best, words), _shuffled(names_of(index)), relative=0.0, least=0.0)
 
 
 def warnings_of(index: Index, parsed: DataFrame) -> DataFrame:
@@ -157,9 +163,10 @@ def search_compatible(index: Index, parsed: DataFrame, vehicles: DataFrame, impl
     """(query_id, rank, item_id, key, score, coverage, detail): partners of each compatibility query's target, by declared evidence only. vehicles and
     implements: as for compat.compatible."""
     found = compat.for_targets(target_of(index, parsed, selected), vehicles, implements).withColumnRenamed("item", "key")
-    names = names_of(index)
+    names = _shuffled(names_of(index))
     found = found.join(names.select("item_id", "key"), "key")
     found = found.withColumn("detail", F.concat("evidence", F.when(F.coalesce(~F.col("power_ok"), F.lit(False)), F.lit(reasons.TOO_WEAK)).otherwise(F.lit(""))))
+    found = kept(found)  # read twice
     ranked = score.rank(found.select("query_id", "item_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"), F.lit(1.0).alias("coverage")), names, most)
     return ranked.join(found.select("query_id", "item_id", "detail"), ["query_id", "item_id"])
 
